@@ -23,12 +23,12 @@ STAGED_DOUBLES = (
 SUMMARY_DOUBLES = f"{twins.STATS_DOUBLES} {twins.EFFICIENCY_DOUBLES} {twins.RANK_DOUBLES}"
 
 
-def staged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return staging.stage_results(results(spark, sf_dir))
+def staged(spark: SparkSession, sf_dir: str, heavy: bool = False) -> DataFrame:
+    return staging.stage_results(results(spark, sf_dir, heavy))
 
 
 def stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mart.policy_stats(staged(spark, sf_dir))
+    return mart.policy_stats(staged(spark, sf_dir, heavy=True))
 
 
 def summary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,7 +95,7 @@ _PERCENTILES = " ".join(p.name for p in mart.PERCENTILES)
 )
 def group_percentiles(spark, sf_dir):
     keys = ["policy_name", "benchmark"]
-    return rounded(exact_percentiles(results(spark, sf_dir), keys, mart.PERCENTILES))
+    return rounded(exact_percentiles(results(spark, sf_dir, heavy=True), keys, mart.PERCENTILES))
 
 
 _SHARES = "pct_fast_latency pct_high_throughput pct_high_quality"
@@ -277,7 +277,7 @@ def order_summary(spark, sf_dir):
 )
 def materialize_view_table(spark, sf_dir):
     """Staging as a view, the mart as a table, read back by name."""
-    view = materialize_view(staged(spark, sf_dir), "stg_benchmark_results")
+    view = materialize_view(staged(spark, sf_dir, heavy=True), "stg_benchmark_results")
     built = mart.build_summary(mart.policy_stats(view))
     saved = materialize_table(built, "bench_summary", scratch(spark, "bench_summary"))
     columns = ["policy_name", "benchmark", "sample_count", "efficiency_score"]

@@ -172,7 +172,9 @@ def distinct_values(spark, sf_dir):
     return filters.distinct_values(results(spark, sf_dir), "prompt")
 
 
-def _grouped(name: str, build, keys: str, columns: dict[str, str], counts: str = "") -> None:
+def _grouped(
+    name: str, build, keys: str, columns: dict[str, str], counts: str = "", heavy: bool = False
+) -> None:
     """A plain group-by report and its twin."""
     aggregates = ", ".join(f"{sql} AS {column}" for column, sql in columns.items())
     tail = f"GROUP BY {keys}" if keys else ""
@@ -181,7 +183,7 @@ def _grouped(name: str, build, keys: str, columns: dict[str, str], counts: str =
 
     @query(name, _from_results(f"SELECT {head}{aggregates} FROM results {tail}", doubles))
     def report(spark, sf_dir):
-        return rounded(build(results(spark, sf_dir)))
+        return rounded(build(results(spark, sf_dir, heavy)))
 
 
 _PAIR = "policy_name, benchmark"
@@ -196,6 +198,7 @@ _grouped(
         "avg_throughput": "avg(throughput)",
         "avg_quality": "avg(rouge_l)",
     },
+    heavy=True,
 )
 _grouped("perf_summary", reports.performance_summary, _PAIR, _AVG)
 _COUNTS = {f"count_{c}": f"count({c})" for c in reports.HEADLINE}
@@ -293,7 +296,7 @@ _METRICS = (
     ),
 )
 def aggregate_metrics(spark, sf_dir):
-    return rounded(reports.aggregate_metrics(results(spark, sf_dir)))
+    return rounded(reports.aggregate_metrics(results(spark, sf_dir, heavy=True)))
 
 
 @query(
@@ -309,7 +312,7 @@ def aggregate_metrics(spark, sf_dir):
     ),
 )
 def nearest_rank_percentiles(spark, sf_dir):
-    rows = results(spark, sf_dir)
+    rows = results(spark, sf_dir, heavy=True)
     keys = ["policy_name", "benchmark"]
     return rounded(reports.nearest_rank_percentiles(rows, keys, "first_token_latency"))
 
@@ -333,7 +336,7 @@ def _boxes(column: str) -> str:
     ),
 )
 def box_stats(spark, sf_dir):
-    return rounded(reports.box_stats(results(spark, sf_dir)))
+    return rounded(reports.box_stats(results(spark, sf_dir, heavy=True)))
 
 
 @query(
@@ -346,7 +349,7 @@ def box_stats(spark, sf_dir):
     ),
 )
 def box_outliers(spark, sf_dir):
-    return rounded(reports.box_outliers(results(spark, sf_dir), "length_ratio"))
+    return rounded(reports.box_outliers(results(spark, sf_dir, heavy=True), "length_ratio"))
 
 
 @query(
@@ -383,7 +386,7 @@ def uniqueness_report(spark, sf_dir):
     ),
 )
 def slo_scorecard(spark, sf_dir):
-    return rounded(reports.slo_scorecard(results(spark, sf_dir)))
+    return rounded(reports.slo_scorecard(results(spark, sf_dir, heavy=True)))
 
 
 _TREND = "mean_first_token_latency mean_throughput mean_rouge_l mean_f1"
@@ -466,7 +469,7 @@ def head_n(spark, sf_dir):
     ),
 )
 def sample_sequence(spark, sf_dir):
-    numbered = reports.sample_sequence(results(spark, sf_dir), ["timestamp", "sample_id"])
+    numbered = reports.sample_sequence(results(spark, sf_dir, heavy=True), ["timestamp", "sample_id"])
     return numbered.select("sample_id", "sample_number", "sequence_id")
 
 

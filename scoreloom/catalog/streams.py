@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from scoreloom.catalog import twins
 from scoreloom.catalog.registry import query, rounded, rounded_sql
-from scoreloom.catalog.runs import _TIMINGS, TIMED_SQL
+from scoreloom.catalog.runs import _TIMINGS, TIMED_SQL, TIMING_PLACES
 from scoreloom.session import scratch
 from scoreloom.sources.results import scan_results
 from scoreloom.sources.tables import chunks_from, results_from, table
@@ -29,6 +29,7 @@ def arriving(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
         SELECT * EXCLUDE (e) FROM timed
         WHERE e + 86400000000 <= (SELECT max(epoch_us(chunk_ts)) FROM chunks) - 3600000000""",
         _TIMINGS,
+        TIMING_PLACES,
     ),
 )
 def stream_generation_metrics(spark, sf_dir):
@@ -37,7 +38,7 @@ def stream_generation_metrics(spark, sf_dir):
     path = scratch(spark, "timings")
     flows.append_files(stream, path, scratch(spark, "timings-log")).awaitTermination()
     schema = flows.stream_generation_metrics(chunks_from(table(spark, sf_dir, "events"))).schema
-    return rounded(spark.read.schema(schema).parquet(path))
+    return rounded(spark.read.schema(schema).parquet(path), TIMING_PLACES)
 
 
 @query(

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from scoreloom.functions.text import ngrams
 
-# Up to this many shared grams, counting copies by array_remove beats sorting.
-FEW_SHARED = 64
+# Up to this many tokens on the right, looking up its repeats beats sorting both sides.
+SHORT = 512
 
 
 def ratio_or_zero(top: Column, bottom: Column) -> Column:
@@ -61,16 +61,22 @@ def _shared_copies_by_sort(left: Column, right: Column) -> Column:
     return F.aggregate(both, start, walk, lambda state: state["hits"])
 
 
-def shared_copies(left: Column, right: Column) -> Column:
-    """Size of the multiset intersection of two token arrays."""
-    shared = F.array_intersect(left, right)
-    few = F.aggregate(
-        shared,
+def _shared_copies_of_short(left: Column, right: Column) -> Column:
+    """One for every shared gram, and more only for grams the short side repeats."""
+    shared = F.array_size(F.array_intersect(left, right))
+    repeats = F.filter(right, lambda gram, i: F.array_position(right, gram) <= i)
+    return shared + F.aggregate(
+        F.array_intersect(repeats, left),
         F.lit(0),
-        lambda total, gram: total + F.least(_copies(left, gram), _copies(right, gram)),
+        lambda total, gram: total + F.least(_copies(left, gram), _copies(right, gram)) - 1,
     )
-    return F.when(F.array_size(shared) <= FEW_SHARED, few).when(
-        shared.isNotNull(), _shared_copies_by_sort(left, right)
+
+
+def shared_copies(left: Column, right: Column) -> Column:
+    """Size of the multiset intersection of two token arrays."""
+    size = F.array_size(right)
+    return F.when(size <= SHORT, _shared_copies_of_short(left, right)).when(
+        size.isNotNull() & left.isNotNull(), _shared_copies_by_sort(left, right)
     )
 
 

@@ -10,12 +10,15 @@ from collections import Counter
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from scoreloom.functions.overlap import rouge_from_hits, rouge_n
 from scoreloom.functions.porter import stem
 from scoreloom.functions.text import rouge_text, rouge_tokens
 
-MATCHES = "hits_1 long, hits_2 long, lcs long, predicted long, expected long"
+MATCHES = T.StructType(
+    [T.StructField(c, T.LongType()) for c in ("hits_1", "hits_2", "lcs", "predicted", "expected")]
+)
 
 
 def lcs_length(left, right):
@@ -55,10 +58,10 @@ def stemmed_matches(prediction: pd.Series, reference: pd.Series) -> pd.DataFrame
         (None,) * 5 if p is None or r is None else _match(p, r)
         for p, r in zip(prediction, reference)
     ]
-    return pd.DataFrame(rows, columns=["hits_1", "hits_2", "lcs", "predicted", "expected"], dtype="Int64")
+    return pd.DataFrame(rows, columns=MATCHES.fieldNames(), dtype="Int64")
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(T.LongType())
 def common_subsequence(prediction: pd.Series, reference: pd.Series) -> pd.Series:
     return pd.Series(
         [
@@ -69,7 +72,7 @@ def common_subsequence(prediction: pd.Series, reference: pd.Series) -> pd.Series
     )
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def stem_tokens(text: pd.Series) -> pd.Series:
     """Stem every token of space-separated text."""
     return text.map(lambda line: None if line is None else " ".join(map(stem, line.split())))

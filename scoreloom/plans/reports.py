@@ -109,25 +109,34 @@ def numeric_metrics(df: DataFrame) -> list[str]:
 def aggregate_metrics(results: DataFrame) -> DataFrame:
     """mean, min, max, population std and count of every numeric metric, as rows.
 
-    The aggregate is one wide row; only that row is turned, never the table.
+    Values are unpivoted in place and combined map-side, so only one partial row
+    per metric and task is shuffled; a single wide aggregate of all metrics would
+    be too large to compile.
     """
     names = numeric_metrics(results)
-    wide = results.agg(
-        *(
-            F.struct(
-                F.lit(name).alias("metric"),
-                F.avg(value).alias("mean"),
-                F.min(value).alias("min"),
-                F.max(value).alias("max"),
-                F.stddev_pop(value).alias("std"),
-                F.count(value).alias("count"),
-            ).alias(name)
-            for name in names
-            for value in [F.col(name).cast("double")]
+    long = results.select(
+        F.inline(
+            F.array(
+                *(
+                    F.struct(F.lit(i).alias("place"), F.col(name).cast("double").alias("value"))
+                    for i, name in enumerate(names)
+                )
+            )
         )
     )
-    rows = wide.select(F.inline(F.array(*(F.col(name) for name in names))))
-    return rows.where(F.col("count") > 0)
+    labels = F.array(*(F.lit(name) for name in names))
+    return (
+        long.where(F.col("value").isNotNull())
+        .groupBy("place")
+        .agg(
+            F.avg("value").alias("mean"),
+            F.min("value").alias("min"),
+            F.max("value").alias("max"),
+            F.stddev_pop("value").alias("std"),
+            F.count("*").alias("count"),
+        )
+        .select(F.get(labels, F.col("place")).alias("metric"), "mean", "min", "max", "std", "count")
+    )
 
 
 def nearest_rank_percentiles(

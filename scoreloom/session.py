@@ -64,6 +64,18 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+def spread(scan: DataFrame, *keys: str) -> DataFrame:
+    """Use every core for heavy per-row work on a table of few files.
+
+    A table with at least as many files as there are cores is read as it is, so
+    nothing is shuffled at scale; only a small table is redistributed.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    if len(scan.inputFiles()) >= cores:
+        return scan
+    return scan.repartition(max(cores, scan.rdd.getNumPartitions()), *keys)
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh folder name on the shared storage."""
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from scoreloom.plans.generation import policy_overhead
 from scoreloom.plans.policies import POLICIES
 from scoreloom.schemas import RESULTS
+from scoreloom.session import spread
 from scoreloom.sources.jobs import fold_turns
 
 
@@ -71,8 +72,10 @@ def results_from(lineitem: DataFrame) -> DataFrame:
     )
 
 
-def results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return results_from(table(spark, sf_dir, "lineitem"))
+def results(spark: SparkSession, sf_dir: str, heavy: bool = False) -> DataFrame:
+    """heavy=True spreads a small table over all cores, for costly per-row work."""
+    lines = table(spark, sf_dir, "lineitem")
+    return results_from(spread(lines, "l_orderkey") if heavy else lines)
 
 
 def chat_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,7 +95,7 @@ def text_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = table(spark, sf_dir, "benchmark")
     count = items.agg(F.count("*")).scalar()
     documents = (
-        table(spark, sf_dir, "documents")
+        spread(table(spark, sf_dir, "documents"), "doc_id")
         .withColumn("item_id", F.col("doc_id") % count)
         .join(items.withColumnRenamed("text", "ground_truth"), "item_id")
         .select(
