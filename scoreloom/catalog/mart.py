@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from scoreloom.catalog import twins
 from scoreloom.catalog.registry import query, rounded, rounded_sql
@@ -72,10 +71,10 @@ def _tier(name: str, column) -> None:
         return results(spark, sf_dir).select("sample_id", column().alias(name))
 
 
-_tier("policy_category", lambda: staging.policy_category(F.col("policy_name")))
-_tier("latency_tier", lambda: staging.latency_tier(F.col("first_token_latency")))
-_tier("throughput_tier", lambda: staging.throughput_tier(F.col("throughput")))
-_tier("quality_tier", lambda: staging.quality_tier(F.col("f1")))
+_tier("policy_category", staging.policy_category)
+_tier("latency_tier", staging.latency_tier)
+_tier("throughput_tier", staging.throughput_tier)
+_tier("quality_tier", staging.quality_tier)
 
 
 @query("policy_stats", rounded_sql(f"WITH {twins.STATS} SELECT * FROM stats", twins.STATS_DOUBLES))
@@ -233,11 +232,11 @@ def cte_ranks(spark, sf_dir):
 )
 def window_percentile(spark, sf_dir):
     return rounded(
-        _means_only(spark, sf_dir).select(
+        _means_only(spark, sf_dir).selectExpr(
             "policy_name",
             "benchmark",
-            mart.quartile_within_suite("mean_first_token_latency", 0.25).alias("p25_latency"),
-            mart.quartile_within_suite("mean_f1", 0.75).alias("p75_f1"),
+            f"{mart.quartile_within_suite('mean_first_token_latency', 0.25)} AS p25_latency",
+            f"{mart.quartile_within_suite('mean_f1', 0.75)} AS p75_f1",
         )
     )
 

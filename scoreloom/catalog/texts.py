@@ -32,6 +32,11 @@ def _tokenised(spark, sf_dir) -> DataFrame:
     )
 
 
+def _counted(spark, sf_dir) -> DataFrame:
+    counts = overlap.overlap_counts("p", "r")
+    return _tokenised(spark, sf_dir).select("sample_id", counts.alias("counts"))
+
+
 _TOKENISED = f"""{twins.PAIRS},
 tokenised AS (SELECT sample_id, {twins.tokens_sql("response")} AS p,
                      {twins.tokens_sql("ground_truth")} AS r FROM pairs)"""
@@ -65,8 +70,12 @@ def normalize_text(spark, sf_dir):
     FROM pairs""",
 )
 def exact_match(spark, sf_dir):
-    match = overlap.exact_match(text.normalize_text(_pred()), text.normalize_text(_ref()))
-    return text_pairs(spark, sf_dir).select("sample_id", match.alias("exact_match"))
+    normalized = text_pairs(spark, sf_dir).select(
+        "sample_id",
+        text.normalize_text(_pred()).alias("p"),
+        text.normalize_text(_ref()).alias("r"),
+    )
+    return _keyed(normalized, {"exact_match": overlap.exact_match("p", "r")})
 
 
 @query(
@@ -84,8 +93,7 @@ def exact_match(spark, sf_dir):
     ),
 )
 def token_overlap(spark, sf_dir):
-    pairs = _tokenised(spark, sf_dir)
-    return _keyed(pairs, overlap.token_overlap(F.col("p"), F.col("r")))
+    return _keyed(_counted(spark, sf_dir), overlap.token_overlap("counts"))
 
 
 @query(
@@ -99,8 +107,8 @@ def token_overlap(spark, sf_dir):
     ),
 )
 def semantic_similarity(spark, sf_dir):
-    score = overlap.semantic_similarity(F.col("p"), F.col("r"))
-    return _keyed(_tokenised(spark, sf_dir), {"semantic_similarity": score})
+    score = overlap.semantic_similarity("counts")
+    return _keyed(_counted(spark, sf_dir), {"semantic_similarity": score})
 
 
 @query(
@@ -128,16 +136,30 @@ def rouge_n(spark, sf_dir):
     pairs = text_pairs(spark, sf_dir).select(
         "sample_id", text.rouge_tokens(_pred()).alias("p"), text.rouge_tokens(_ref()).alias("r")
     )
-    p, r = F.col("p"), F.col("r")
+    counted = pairs.select(
+        "sample_id",
+        overlap.gram_counts("p", "r", 1).alias("ones"),
+        overlap.gram_counts("p", "r", 2).alias("twos"),
+    )
     return _keyed(
-        pairs, {"rouge_1": overlap.rouge_n(p, r, 1), "rouge_2": overlap.rouge_n(p, r, 2)}
+        counted, {"rouge_1": overlap.rouge_n("ones"), "rouge_2": overlap.rouge_n("twos")}
     )
 
 
 @query("rouge_l")
 def rouge_l(spark, sf_dir):
-    scores = rouge.plain_rouge_scores(_pred(), _ref())
-    return _keyed(text_pairs(spark, sf_dir), {"rouge_l": scores["rouge_l"]})
+    p, r = F.col("p"), F.col("r")
+    counted = (
+        text_pairs(spark, sf_dir)
+        .select("sample_id", text.rouge_text(_pred()).alias("p"), text.rouge_text(_ref()).alias("r"))
+        .select(
+            "sample_id",
+            rouge.common_subsequence(p, r).alias("lcs"),
+            text.word_count(p).alias("np"),
+            text.word_count(r).alias("nr"),
+        )
+    )
+    return _keyed(counted, {"rouge_l": F.expr(overlap.f_measure("lcs", "np", "nr"))})
 
 
 @query("rouge_stemmed")
@@ -145,7 +167,7 @@ def rouge_stemmed(spark, sf_dir):
     matched = text_pairs(spark, sf_dir).withColumn(
         "m", rouge.stemmed_matches(text.rouge_text(_pred()), text.rouge_text(_ref()))
     )
-    return _keyed(matched, rouge.rouge_scores_from_matches(F.col("m")))
+    return _keyed(matched, rouge.rouge_scores("m"))
 
 
 @query("porter_stem")
@@ -183,7 +205,7 @@ def length_metrics(spark, sf_dir):
         F.array_size(text.word_tokens(_pred())).alias("p"),
         F.array_size(text.word_tokens(_ref())).alias("r"),
     )
-    return _keyed(pairs, overlap.length_metrics(F.col("p"), F.col("r")))
+    return _keyed(pairs, overlap.length_metrics("p", "r"))
 
 
 @query(
@@ -223,12 +245,20 @@ _WORF_SQL = f"""{_covered_sql(coverage.ANALYSIS_WORDS)} AS analytical_coverage,
     least({_STRUCTURE_RATIO}, 1.0::DOUBLE) AS structure_coverage"""
 
 
+def _hits(spark, sf_dir, count) -> DataFrame:
+    return text_pairs(spark, sf_dir).select(
+        "sample_id", count("response").alias("p"), count("ground_truth").alias("r")
+    )
+
+
 @query(
     "crm_coverage",
     rounded_sql(f"WITH {twins.PAIRS} SELECT sample_id, {_CRM_SQL} FROM pairs", " ".join(CRM_COLUMNS)),
 )
 def crm_coverage(spark, sf_dir):
-    return _keyed(text_pairs(spark, sf_dir), coverage.crm_coverage(_pred(), _ref()))
+    return _keyed(
+        _hits(spark, sf_dir, coverage.crm_hits), coverage.crm_coverage("p", "r")
+    )
 
 
 @query(
@@ -240,7 +270,9 @@ def crm_coverage(spark, sf_dir):
     ),
 )
 def worf_coverage(spark, sf_dir):
-    return _keyed(text_pairs(spark, sf_dir), coverage.worf_coverage(_pred(), _ref()))
+    return _keyed(
+        _hits(spark, sf_dir, coverage.worf_hits), coverage.worf_coverage("p", "r")
+    )
 
 
 @query("quality_metrics")

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -29,45 +26,57 @@ STRUCTURE_PATTERNS = [
 ]
 
 
-def _hits(tests: Iterable[Column]) -> Column:
-    return reduce(lambda a, b: a + b, (test.cast("int") for test in tests))
+def _keyword_hits(lowered: str, keywords: list[str]) -> str:
+    """How many of the keywords occur anywhere in the text."""
+    return " + ".join(f"CAST(contains({lowered}, '{word}') AS INT)" for word in keywords)
 
 
-def keyword_hits(lowered: Column, keywords: Iterable[str]) -> Column:
-    """How many of the keywords occur anywhere in the text."""
-    return _hits(F.contains(lowered, F.lit(word)) for word in keywords)
+def _structure_hits(lowered: str) -> str:
+    return " + ".join(f"CAST({lowered} RLIKE r'{p}' AS INT)" for p in STRUCTURE_PATTERNS)
 
 
-def structure_hits(lowered: Column) -> Column:
-    return _hits(F.rlike(lowered, F.lit(pattern)) for pattern in STRUCTURE_PATTERNS)
+def covered(predicted: str, expected: str) -> str:
+    """Share of the reference's hits that the prediction has, cut at 1; NULL stays NULL."""
+    ratio = ratio_or_zero(predicted, expected)
+    return f"CASE WHEN {predicted} > {expected} AND {expected} > 0 THEN 1D ELSE {ratio} END"
 
 
-def covered(predicted: Column, expected: Column) -> Column:
-    return F.least(ratio_or_zero(predicted.cast("double"), expected), F.lit(1.0))
+def crm_hits(text: str) -> Column:
+    """Keywords of each family found in raw text. The families share no keyword."""
+    fields = (f"{_keyword_hits('t', ws)} AS {name}" for name, ws in CRM_KEYWORDS.items())
+    return F.expr(f"transform(array(lower({text})), t -> struct({', '.join(fields)}))[0]")
 
 
-def crm_coverage(prediction: Column, reference: Column) -> dict[str, Column]:
-    """Coverage per keyword family and over all families, on raw text."""
-    pred, ref = F.lower(prediction), F.lower(reference)
-    families = dict(CRM_KEYWORDS)
-    everything = [word for words in CRM_KEYWORDS.values() for word in words]
+def crm_coverage(predicted: str, expected: str) -> dict[str, Column]:
+    """Coverage per keyword family and over all, from :func:`crm_hits` of both texts."""
     scores = {
-        f"{family}_coverage": covered(keyword_hits(pred, words), keyword_hits(ref, words))
-        for family, words in families.items()
+        f"{family}_coverage": F.expr(covered(f"{predicted}.{family}", f"{expected}.{family}"))
+        for family in CRM_KEYWORDS
     }
-    scores["overall_keyword_coverage"] = covered(
-        keyword_hits(pred, everything), keyword_hits(ref, everything)
+    totals = (
+        "(" + " + ".join(f"{side}.{family}" for family in CRM_KEYWORDS) + ")"
+        for side in (predicted, expected)
     )
+    scores["overall_keyword_coverage"] = F.expr(covered(*totals))
     return scores
 
 
-def worf_coverage(prediction: Column, reference: Column) -> dict[str, Column]:
-    """Coverage of reasoning words and of list structure, and their mean, on raw text."""
-    pred, ref = F.lower(prediction), F.lower(reference)
-    analytical = covered(keyword_hits(pred, ANALYSIS_WORDS), keyword_hits(ref, ANALYSIS_WORDS))
-    structure = covered(structure_hits(pred), structure_hits(ref))
+def worf_hits(text: str) -> Column:
+    """Reasoning words and kinds of list structure found in raw text."""
+    return F.expr(
+        f"transform(array(lower({text})), t -> struct("
+        f"{_keyword_hits('t', ANALYSIS_WORDS)} AS analytical, "
+        f"{_structure_hits('t')} AS structure))[0]"
+    )
+
+
+def worf_coverage(predicted: str, expected: str) -> dict[str, Column]:
+    """Coverage of reasoning words and of structure, and their mean, from :func:`worf_hits`."""
+    analytical, structure = (
+        covered(f"{predicted}.{kind}", f"{expected}.{kind}") for kind in ("analytical", "structure")
+    )
     return {
-        "analytical_coverage": analytical,
-        "structure_coverage": structure,
-        "reasoning_depth": (analytical + structure) / 2,
+        "analytical_coverage": F.expr(analytical),
+        "structure_coverage": F.expr(structure),
+        "reasoning_depth": F.expr(f"(({analytical}) + ({structure})) / 2"),
     }

@@ -1,109 +1,137 @@
-"""Set, multiset and length comparisons of two token arrays."""
+"""Set, multiset and length comparisons of two token arrays.
+
+The expressions are SQL over named columns: counts first, as one struct, then
+scores from the fields of that struct, so that nothing is computed twice.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from scoreloom.functions.text import ngrams
-
 # Up to this many tokens on the right, looking up its repeats beats sorting both sides.
 SHORT = 512
 
 
-def ratio_or_zero(top: Column, bottom: Column) -> Column:
-    return F.when(bottom > 0, top / bottom).when(bottom.isNotNull(), F.lit(0.0))
+def ratio_or_zero(top: str, bottom: str) -> str:
+    """Quotient, 0 for a zero denominator, NULL when either side is NULL."""
+    return (
+        f"CASE WHEN {bottom} > 0 THEN ({top}) / CAST({bottom} AS DOUBLE) "
+        f"WHEN ({top}) IS NOT NULL AND ({bottom}) IS NOT NULL THEN 0D END"
+    )
 
 
-def f_measure(precision: Column, recall: Column) -> Column:
-    return ratio_or_zero(2 * precision * recall, precision + recall)
+def f_measure(hits: str, predicted: str, expected: str) -> str:
+    """Harmonic mean of hits/predicted and hits/expected, 0 without hits."""
+    return ratio_or_zero(f"2D * {hits}", f"({predicted} + {expected})")
 
 
-def exact_match(left: Column, right: Column) -> Column:
+def exact_match(left: str, right: str) -> Column:
     """1.0 when two normalised texts are equal, else 0.0; NULL when either is NULL."""
-    return (left == right).cast("double")
+    return F.expr(f"CAST({left} = {right} AS DOUBLE)")
 
 
-def token_overlap(prediction: Column, reference: Column) -> dict[str, Column]:
-    """Precision, recall and F1 over token sets."""
-    shared = F.array_size(F.array_intersect(prediction, reference))
-    precision = ratio_or_zero(shared, F.array_size(F.array_distinct(prediction)))
-    recall = ratio_or_zero(shared, F.array_size(F.array_distinct(reference)))
-    return {"precision": precision, "recall": recall, "f1": f_measure(precision, recall)}
+def _copies(tokens: str, gram: str) -> str:
+    return f"(array_size({tokens}) - array_size(array_remove({tokens}, {gram})))"
 
 
-def _copies(tokens: Column, gram: Column) -> Column:
-    return F.array_size(tokens) - F.array_size(F.array_remove(tokens, gram))
+def shared_copies_of_short(left: str, right: str) -> str:
+    """One for every shared gram, and more only for grams the short right side repeats."""
+    repeats = f"filter({right}, (x, i) -> array_position({right}, x) <= i)"
+    more = f"least({_copies(left, 'g')}, {_copies(right, 'g')}) - 1"
+    return (
+        f"(array_size(array_intersect({left}, {right})) + "
+        f"aggregate(array_intersect({repeats}, {left}), 0, (total, g) -> total + {more}))"
+    )
 
 
-def _shared_copies_by_sort(left: Column, right: Column) -> Column:
+def shared_copies_by_sort(left: str, right: str) -> str:
     """One ordered walk: copies from the left stock up, copies from the right use them up."""
-
-    def tagged(tokens: Column, side: int) -> Column:
-        return F.transform(tokens, lambda g: F.struct(g.alias("gram"), F.lit(side).alias("side")))
-
-    def walk(state: Column, item: Column) -> Column:
-        stock = F.when(item["gram"] == state["gram"], state["stock"]).otherwise(F.lit(0))
-        used = (item["side"] == 1) & (stock > 0)
-        return F.struct(
-            item["gram"].alias("gram"),
-            F.when(item["side"] == 0, stock + 1)
-            .when(used, stock - 1)
-            .otherwise(F.lit(0))
-            .alias("stock"),
-            (state["hits"] + used.cast("int")).alias("hits"),
-        )
-
-    start = F.struct(
-        F.lit(None).cast("string").alias("gram"), F.lit(0).alias("stock"), F.lit(0).alias("hits")
-    )
-    both = F.sort_array(F.concat(tagged(left, 0), tagged(right, 1)))
-    return F.aggregate(both, start, walk, lambda state: state["hits"])
-
-
-def _shared_copies_of_short(left: Column, right: Column) -> Column:
-    """One for every shared gram, and more only for grams the short side repeats."""
-    shared = F.array_size(F.array_intersect(left, right))
-    repeats = F.filter(right, lambda gram, i: F.array_position(right, gram) <= i)
-    return shared + F.aggregate(
-        F.array_intersect(repeats, left),
-        F.lit(0),
-        lambda total, gram: total + F.least(_copies(left, gram), _copies(right, gram)) - 1,
+    stock = "(CASE WHEN x.gram = s.gram THEN s.stock ELSE 0 END)"
+    used = f"(x.side = 1 AND {stock} > 0)"
+    return f"""aggregate(
+      sort_array(concat(transform({left}, g -> named_struct('gram', g, 'side', 0)),
+                        transform({right}, g -> named_struct('gram', g, 'side', 1)))),
+      named_struct('gram', CAST(NULL AS STRING), 'stock', 0, 'hits', 0),
+      (s, x) -> named_struct(
+        'gram', x.gram,
+        'stock', CASE WHEN x.side = 0 THEN {stock} + 1 WHEN {used} THEN {stock} - 1 ELSE 0 END,
+        'hits', s.hits + CAST({used} AS INT)),
+      s -> s.hits)"""
+
+
+def shared_copies(left: str, right: str) -> str:
+    """Size of the multiset intersection of two token arrays."""
+    return (
+        f"CASE WHEN array_size({right}) <= {SHORT} THEN {shared_copies_of_short(left, right)} "
+        f"WHEN {left} IS NOT NULL AND {right} IS NOT NULL "
+        f"THEN {shared_copies_by_sort(left, right)} END"
     )
 
 
-def shared_copies(left: Column, right: Column) -> Column:
-    """Size of the multiset intersection of two token arrays."""
-    size = F.array_size(right)
-    return F.when(size <= SHORT, _shared_copies_of_short(left, right)).when(
-        size.isNotNull() & left.isNotNull(), _shared_copies_by_sort(left, right)
+def overlap_counts(prediction: str, reference: str) -> Column:
+    """Set and multiset sizes of two token arrays, counted once for all scores below."""
+    p, r = prediction, reference
+    return F.expr(
+        f"""struct(
+          array_size(array_intersect({p}, {r})) AS shared,
+          array_size(array_distinct({p})) AS predicted,
+          array_size(array_distinct({r})) AS expected,
+          {shared_copies(p, r)} AS copies,
+          array_size({p}) AS predicted_size,
+          array_size({r}) AS expected_size)"""
     )
 
 
-def semantic_similarity(prediction: Column, reference: Column) -> Column:
+def token_overlap(counts: str) -> dict[str, Column]:
+    """Precision, recall and F1 over token sets, from an :func:`overlap_counts` column."""
+    shared, predicted, expected = (f"{counts}.{c}" for c in ("shared", "predicted", "expected"))
+    return {
+        "precision": F.expr(ratio_or_zero(shared, predicted)),
+        "recall": F.expr(ratio_or_zero(shared, expected)),
+        "f1": F.expr(f_measure(shared, predicted, expected)),
+    }
+
+
+def semantic_similarity(counts: str) -> Column:
     """Shared token copies over the geometric mean of both lengths."""
-    weight = F.array_size(prediction).cast("double") * F.array_size(reference)
-    return ratio_or_zero(shared_copies(prediction, reference), F.sqrt(weight))
+    weight = f"sqrt(CAST({counts}.predicted_size AS DOUBLE) * {counts}.expected_size)"
+    return F.expr(ratio_or_zero(f"{counts}.copies", weight))
+
+
+def _ngrams(tokens: str, n: int) -> str:
+    if n == 1:
+        return tokens
+    return (
+        f"CASE WHEN array_size({tokens}) >= {n} THEN "
+        f"transform(sequence(1, array_size({tokens}) - {n - 1}), "
+        f"i -> array_join(slice({tokens}, i, {n}), ' ')) "
+        f"WHEN {tokens} IS NOT NULL THEN CAST(array() AS ARRAY<STRING>) END"
+    )
+
 
+def gram_counts(prediction: str, reference: str, n: int) -> Column:
+    """Matched, predicted and expected n-grams of two token arrays.
 
-def rouge_from_hits(hits: Column, predicted: Column, expected: Column) -> Column:
-    """F-measure from matched, predicted and expected gram counts."""
-    return f_measure(
-        hits / F.greatest(predicted, F.lit(1)), hits / F.greatest(expected, F.lit(1))
+    Both gram arrays are bound to a lambda variable, so that each is built once.
+    """
+    return F.expr(
+        f"""transform(
+          array(named_struct('l', {_ngrams(prediction, n)}, 'r', {_ngrams(reference, n)})),
+          b -> named_struct('hits', {shared_copies('b.l', 'b.r')},
+                            'predicted', array_size(b.l), 'expected', array_size(b.r)))[0]"""
     )
 
 
-def rouge_n(prediction: Column, reference: Column, n: int) -> Column:
-    """ROUGE-N F-measure of two token arrays, without stemming."""
-    left, right = ngrams(prediction, n), ngrams(reference, n)
-    return rouge_from_hits(shared_copies(left, right), F.array_size(left), F.array_size(right))
+def rouge_n(counts: str) -> Column:
+    """ROUGE-N F-measure from a :func:`gram_counts` column, without stemming."""
+    return F.expr(f_measure(f"{counts}.hits", f"{counts}.predicted", f"{counts}.expected"))
 
 
-def length_metrics(predicted: Column, expected: Column) -> dict[str, Column]:
-    predicted, expected = predicted.cast("long"), expected.cast("long")
+def length_metrics(predicted: str, expected: str) -> dict[str, Column]:
     return {
-        "prediction_length": predicted,
-        "reference_length": expected,
-        "length_ratio": ratio_or_zero(predicted.cast("double"), expected),
-        "length_difference": F.abs(predicted - expected),
+        "prediction_length": F.expr(f"CAST({predicted} AS BIGINT)"),
+        "reference_length": F.expr(f"CAST({expected} AS BIGINT)"),
+        "length_ratio": F.expr(ratio_or_zero(predicted, expected)),
+        "length_difference": F.expr(f"CAST(abs({predicted} - {expected}) AS BIGINT)"),
     }

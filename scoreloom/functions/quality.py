@@ -7,17 +7,8 @@ from pyspark.sql import functions as F
 
 from scoreloom.functions import overlap
 from scoreloom.functions.registry import SUITES, registered_metrics
-from scoreloom.functions.rouge import (
-    common_subsequence,
-    rouge_scores_from_matches,
-    stemmed_matches,
-)
-from scoreloom.functions.text import (
-    normalize_text,
-    normalized_tokens,
-    rouge_text,
-    word_tokens,
-)
+from scoreloom.functions.rouge import common_subsequence, rouge_scores, stemmed_matches
+from scoreloom.functions.text import normalize_text, normalized_tokens, rouge_text, word_tokens
 
 
 def score_pairs(
@@ -29,53 +20,52 @@ def score_pairs(
 ) -> DataFrame:
     """Append every quality metric to df; suite metrics are NULL outside their suite.
 
-    Texts are normalised and tokenised once, in their own projections, and the
-    arrays are shared by the metrics. There is no shuffle; the one Python stage
-    is the ROUGE match count.
+    Three projections: prepared texts, counts, scores. What a later step mentions
+    more than once is a column of the step before, so it is computed once. There is
+    no shuffle; the one Python stage counts ROUGE matches.
     """
     pred, ref = F.col(prediction), F.col(reference)
-    prepared = df.withColumns(
-        {
-            "_norm_p": normalize_text(pred),
-            "_norm_r": normalize_text(ref),
-            "_rouge_p": rouge_text(pred),
-            "_rouge_r": rouge_text(ref),
-            "_len_p": F.array_size(word_tokens(pred)),
-            "_len_r": F.array_size(word_tokens(ref)),
-        }
-    )
-    split = {
+    prepared = {
+        "_norm_p": normalize_text(pred),
+        "_norm_r": normalize_text(ref),
+        "_rouge_p": rouge_text(pred),
+        "_rouge_r": rouge_text(ref),
+        "_len_p": F.array_size(word_tokens(pred)),
+        "_len_r": F.array_size(word_tokens(ref)),
+    }
+    for name, suite in SUITES.items():
+        inside = F.col(benchmark) == name
+        prepared[f"_{name}_p"] = F.when(inside, suite.hits(prediction))
+        prepared[f"_{name}_r"] = F.when(inside, suite.hits(reference))
+    tokens = {
         "_tok_p": normalized_tokens(F.col("_norm_p")),
         "_tok_r": normalized_tokens(F.col("_norm_r")),
     }
+    counts = {"_counts": overlap.overlap_counts("_tok_p", "_tok_r")}
     if stem:
-        split["_match"] = stemmed_matches("_rouge_p", "_rouge_r")
+        counts["_match"] = stemmed_matches("_rouge_p", "_rouge_r")
     else:
-        split["_gram_p"] = F.array_remove(F.split("_rouge_p", " "), "")
-        split["_gram_r"] = F.array_remove(F.split("_rouge_r", " "), "")
-        split["_lcs"] = common_subsequence("_rouge_p", "_rouge_r")
-    tokenised = prepared.withColumns(split)
+        for side in "pr":
+            tokens[f"_gram_{side}"] = F.expr(f"array_remove(split(_rouge_{side}, ' '), '')")
+        for n in (1, 2):
+            counts[f"_grams_{n}"] = overlap.gram_counts("_gram_p", "_gram_r", n)
+        counts["_lcs"] = common_subsequence("_rouge_p", "_rouge_r")
+    counted = df.withColumns(prepared).withColumns(tokens).withColumns(counts)
 
-    tok_p, tok_r = F.col("_tok_p"), F.col("_tok_r")
-    metrics: dict[str, Column] = {
-        "exact_match": overlap.exact_match(F.col("_norm_p"), F.col("_norm_r"))
-    }
-    metrics |= overlap.token_overlap(tok_p, tok_r)
+    metrics: dict[str, Column] = {"exact_match": overlap.exact_match("_norm_p", "_norm_r")}
+    metrics |= overlap.token_overlap("_counts")
     if stem:
-        metrics |= rouge_scores_from_matches(F.col("_match"))
+        metrics |= rouge_scores("_match")
     else:
-        gram_p, gram_r = F.col("_gram_p"), F.col("_gram_r")
-        metrics["rouge_1"] = overlap.rouge_n(gram_p, gram_r, 1)
-        metrics["rouge_2"] = overlap.rouge_n(gram_p, gram_r, 2)
-        metrics["rouge_l"] = overlap.rouge_from_hits(
-            F.col("_lcs"), F.array_size(gram_p), F.array_size(gram_r)
-        )
-    metrics["semantic_similarity"] = overlap.semantic_similarity(tok_p, tok_r)
-    metrics |= overlap.length_metrics(F.col("_len_p"), F.col("_len_r"))
+        metrics["rouge_1"] = overlap.rouge_n("_grams_1")
+        metrics["rouge_2"] = overlap.rouge_n("_grams_2")
+        sizes = ("_grams_1.predicted", "_grams_1.expected")
+        metrics["rouge_l"] = F.expr(overlap.f_measure("_lcs", *sizes))
+    metrics["semantic_similarity"] = overlap.semantic_similarity("_counts")
+    metrics |= overlap.length_metrics("_len_p", "_len_r")
     for name, suite in SUITES.items():
-        inside = F.col(benchmark) == name
-        metrics |= {k: F.when(inside, c) for k, c in suite.extra(pred, ref).items()}
+        metrics |= suite.scores(f"_{name}_p", f"_{name}_r")
     metrics |= {name: metric(pred, ref) for name, metric in registered_metrics().items()}
 
     kept = [c for c in df.columns if c not in metrics]
-    return tokenised.select(*kept, *(column.alias(name) for name, column in metrics.items()))
+    return counted.select(*kept, *(column.alias(name) for name, column in metrics.items()))

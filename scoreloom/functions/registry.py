@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from scoreloom.functions.coverage import crm_coverage, worf_coverage
+from scoreloom.functions.coverage import crm_coverage, crm_hits, worf_coverage, worf_hits
 from scoreloom.functions.text import clean_crm_answer, clean_markdown
 
 PairMetric = Callable[[Column, Column], Column]
@@ -17,16 +17,20 @@ PairMetric = Callable[[Column, Column], Column]
 
 @dataclass(frozen=True)
 class Suite:
-    """Cleaning expression, headline metric and extra metrics of one suite."""
+    """Cleaning, headline metric, and extra metrics: hits per text, scores from both hits.
+
+    Hits and scores take column names.
+    """
 
     clean: Callable[[Column], Column]
     headline: str
-    extra: Callable[[Column, Column], dict[str, Column]]
+    hits: Callable[[str], Column]
+    scores: Callable[[str, str], dict[str, Column]]
 
 
 SUITES: dict[str, Suite] = {
-    "crmarena": Suite(clean_crm_answer, "exact_match", crm_coverage),
-    "worfbench": Suite(clean_markdown, "rouge_l", worf_coverage),
+    "crmarena": Suite(clean_crm_answer, "exact_match", crm_hits, crm_coverage),
+    "worfbench": Suite(clean_markdown, "rouge_l", worf_hits, worf_coverage),
 }
 
 _metrics: dict[str, PairMetric] = {}

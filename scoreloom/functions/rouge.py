@@ -12,9 +12,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from scoreloom.functions.overlap import rouge_from_hits, rouge_n
+from scoreloom.functions.overlap import f_measure
 from scoreloom.functions.porter import stem
-from scoreloom.functions.text import rouge_text, rouge_tokens
 
 MATCHES = T.StructType(
     [T.StructField(c, T.LongType()) for c in ("hits_1", "hits_2", "lcs", "predicted", "expected")]
@@ -78,32 +77,12 @@ def stem_tokens(text: pd.Series) -> pd.Series:
     return text.map(lambda line: None if line is None else " ".join(map(stem, line.split())))
 
 
-def rouge_scores_from_matches(match: Column) -> dict[str, Column]:
-    """ROUGE F-measures from one :func:`stemmed_matches` struct."""
-    predicted, expected = match["predicted"], match["expected"]
-    none = F.lit(0)
+def rouge_scores(match: str) -> dict[str, Column]:
+    """ROUGE-1, ROUGE-2 and ROUGE-L F-measures from a :func:`stemmed_matches` column."""
+    sizes = (f"{match}.predicted", f"{match}.expected")
+    pairs = [f"greatest({size} - 1, 0)" for size in sizes]
     return {
-        "rouge_1": rouge_from_hits(match["hits_1"], predicted, expected),
-        "rouge_2": rouge_from_hits(
-            match["hits_2"], F.greatest(predicted - 1, none), F.greatest(expected - 1, none)
-        ),
-        "rouge_l": rouge_from_hits(match["lcs"], predicted, expected),
-    }
-
-
-def rouge_scores(prediction: Column, reference: Column) -> dict[str, Column]:
-    """Stemmed ROUGE-1, ROUGE-2 and ROUGE-L F-measures of two raw text columns."""
-    return rouge_scores_from_matches(
-        stemmed_matches(rouge_text(prediction), rouge_text(reference))
-    )
-
-
-def plain_rouge_scores(prediction: Column, reference: Column) -> dict[str, Column]:
-    """The same without stemming; ROUGE-1 and ROUGE-2 need no Python at all."""
-    left, right = rouge_tokens(prediction), rouge_tokens(reference)
-    lcs = common_subsequence(rouge_text(prediction), rouge_text(reference))
-    return {
-        "rouge_1": rouge_n(left, right, 1),
-        "rouge_2": rouge_n(left, right, 2),
-        "rouge_l": rouge_from_hits(lcs, F.array_size(left), F.array_size(right)),
+        "rouge_1": F.expr(f_measure(f"{match}.hits_1", *sizes)),
+        "rouge_2": F.expr(f_measure(f"{match}.hits_2", *pairs)),
+        "rouge_l": F.expr(f_measure(f"{match}.lcs", *sizes)),
     }

@@ -7,8 +7,7 @@ run by another SQL engine as a check.
 from __future__ import annotations
 
 import string
-from collections.abc import Iterable
-from functools import reduce
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -68,14 +67,24 @@ def normalize_text(text: Column) -> Column:
 
 def _has_any(text: Column, parts: Iterable[str]) -> Column:
     """A byte search: far cheaper than a pattern that rarely matches."""
-    return reduce(lambda a, b: a | b, (F.contains(text, F.lit(part)) for part in parts))
+    listed = F.split(F.lit(" ".join(parts)), " ")
+    return F.exists(listed, lambda part: F.contains(text, part))
+
+
+def _bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value computed once however often body mentions it."""
+    return F.get(F.transform(F.array(value), body), 0)
 
 
 def normalized_tokens(normalized: Column) -> Column:
     """Word tokens of text that went through :func:`normalize_text`."""
-    rewrite = _has_any(normalized, [*JOINED_WORDS, *QUOTES])
-    split = _replace(normalized, CONTRACTIONS_AND_QUOTES)
-    return _words(F.when(rewrite, split).otherwise(normalized))
+    spaced = _bound(
+        normalized,
+        lambda line: F.when(
+            _has_any(line, [*JOINED_WORDS, *QUOTES]), _replace(line, CONTRACTIONS_AND_QUOTES)
+        ).otherwise(line),
+    )
+    return _words(spaced)
 
 
 def word_tokens(text: Column) -> Column:
@@ -86,12 +95,18 @@ def word_tokens(text: Column) -> Column:
     spaced = F.concat(F.lit(" "), text, F.lit(" "))
     for rule in (END_PERIOD, SYMBOLS, COLON_COMMA):
         spaced = _replace(spaced, rule)
-    quoted = spaced
-    for rule in APOSTROPHES:
-        quoted = _replace(quoted, rule)
-    spaced = F.when(F.contains(text, F.lit("'")), quoted).otherwise(spaced)
-    joined = _has_any(F.lower(text), JOINED_WORDS)
-    spaced = F.when(joined, _replace(spaced, CONTRACTIONS)).otherwise(spaced)
+
+    def split_quoted(line: Column) -> Column:
+        quoted = line
+        for rule in APOSTROPHES:
+            quoted = _replace(quoted, rule)
+        return F.when(F.contains(line, F.lit("'")), quoted).otherwise(line)
+
+    def split_joined(line: Column) -> Column:
+        joined = _bound(F.lower(line), lambda low: _has_any(low, JOINED_WORDS))
+        return F.when(joined, _replace(line, CONTRACTIONS)).otherwise(line)
+
+    spaced = _bound(_bound(spaced, split_quoted), split_joined)
     return F.array_remove(F.split(spaced, SPACES), "")
 
 
@@ -109,17 +124,6 @@ def rouge_tokens(text: Column) -> Column:
     return _words(rouge_text(text))
 
 
-def ngrams(tokens: Column, n: int) -> Column:
-    """All n-grams of a token array, joined by a space."""
-    if n == 1:
-        return tokens
-    starts = F.sequence(F.lit(1), F.array_size(tokens) - (n - 1))
-    grams = F.transform(starts, lambda i: F.array_join(F.slice(tokens, i, n), " "))
-    return F.when(F.array_size(tokens) >= n, grams).otherwise(
-        F.when(tokens.isNotNull(), F.array().cast("array<string>"))
-    )
-
-
 def clean_crm_answer(text: Column) -> Column:
     """The answer part of a service reply, lower case, without trailing periods."""
     whole = strip(text)

@@ -19,7 +19,7 @@ def _cut_points(df: DataFrame, key: Column, ranges: int, sample: int) -> Column:
     The sample is chosen by hash, so any recomputation finds the same cuts.
     """
     scale = 1 << 30
-    share = df.agg(F.lit(float(sample)) / F.count("*") * scale).scalar()
+    share = df.agg(F.lit(float(sample)) / F.greatest(F.count("*"), F.lit(1)) * scale).scalar()
     picked = df.select(key.alias("_key")).where(F.pmod(F.xxhash64("_key"), F.lit(scale)) < share)
     ordered = picked.agg(F.sort_array(F.collect_list("_key")).alias("k"))
     size = F.array_size("k")

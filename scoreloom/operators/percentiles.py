@@ -6,6 +6,8 @@ sketches each group and brackets every wanted rank between two nearby sketch
 quantiles; a second scan counts what lies below the bracket and keeps only the
 values inside it, about 0.1 % of the group. Ranks are then read off exact counts,
 so the sketch decides how much work is left and never the answer.
+
+A table that was counted and found small goes through the built-in in one scan.
 """
 
 from __future__ import annotations
@@ -19,6 +21,8 @@ from pyspark.sql import functions as F
 from scoreloom.session import settle, small_side
 
 ACCURACY = 10_000
+# Tables of at most this many rows may keep a whole group's values in one buffer.
+INLINE_ROWS = 1_000_000
 BELOW, INSIDE, ABOVE = -1, 0, 1
 
 
@@ -32,18 +36,18 @@ class Percentile:
 
 
 def _sketches(wanted: Sequence[Percentile], accuracy: int) -> list[Column]:
-    """Per column: the non-NULL count and the two bracket ends of every percentile."""
+    """Per column, the two bracket ends of every percentile wanted of it."""
     slack = 5.0 / accuracy
     aggregates = []
     for column in dict.fromkeys(w.column for w in wanted):
         ends = [
-            end
+            f"{end}D"
             for w in wanted
             if w.column == column
             for end in (max(w.p - slack, 0.0), min(w.p + slack, 1.0))
         ]
-        aggregates.append(F.percentile_approx(column, ends, accuracy).alias(f"_ends_{column}"))
-        aggregates.append(F.count(column).alias(f"_n_{column}"))
+        sketch = f"percentile_approx(`{column}`, array({', '.join(ends)}), {accuracy})"
+        aggregates.append(F.expr(f"{sketch} AS `_ends_{column}`"))
     return aggregates
 
 
@@ -52,14 +56,50 @@ def _bracketed(wanted: Sequence[Percentile]) -> Column:
     offers = []
     for index, w in enumerate(wanted):
         place = [v.name for v in wanted if v.column == w.column].index(w.name)
-        low = F.col(f"_ends_{w.column}")[2 * place]
-        high = F.col(f"_ends_{w.column}")[2 * place + 1]
-        value = F.col(w.column).cast("double")
-        zone = F.when(value < low, BELOW).when(value <= high, INSIDE).otherwise(ABOVE)
+        value, ends = f"`{w.column}`", f"`_ends_{w.column}`"
         offers.append(
-            F.struct(F.lit(index).alias("want"), zone.alias("zone"), value.alias("value"))
+            f"struct({index} AS want, {value} AS value, "
+            f"CASE WHEN {value} < {ends}[{2 * place}] THEN {BELOW} "
+            f"WHEN {value} <= {ends}[{2 * place + 1}] THEN {INSIDE} ELSE {ABOVE} END AS zone)"
         )
-    return F.explode(F.array(*offers))
+    return F.expr(f"inline(array({', '.join(offers)}))")
+
+
+def _value_at(index: int, rank: str) -> str:
+    """The group's value at a zero-based rank, if it is one the bracket knows."""
+    return (
+        f"max(CASE WHEN want = {index} AND before <= {rank} AND {rank} < past THEN "
+        f"CASE WHEN zone = {INSIDE} THEN inside "
+        f"WHEN zone = {BELOW} AND {rank} = past - 1 THEN most "
+        f"WHEN zone = {ABOVE} AND {rank} = before THEN least END END)"
+    )
+
+
+def _percentile(index: int, wanted: Percentile, interpolate: bool) -> Column:
+    position = f"({wanted.p}D * (n - 1))"
+    low = _value_at(index, f"floor{position}")
+    value = low
+    if interpolate:
+        high = _value_at(index, f"ceil{position}")
+        share = f"max(CASE WHEN want = {index} THEN {position} - floor{position} END)"
+        value = f"{low} + ({high} - {low}) * {share}"
+    # A rank outside its bracket would mean that the sketch broke its error bound.
+    return F.expr(
+        f"CASE WHEN max(want = {index}) AND ({value}) IS NULL "
+        f"THEN raise_error('rank of {wanted.name} is outside its bracket') "
+        f"ELSE {value} END AS `{wanted.name}`"
+    )
+
+
+def _inline(wanted: Percentile, interpolate: bool) -> Column:
+    """The percentile of a group that is known to be small."""
+    if interpolate:
+        return F.expr(f"percentile(`{wanted.column}`, {wanted.p}D) AS `{wanted.name}`")
+    place = f"CAST(floor({wanted.p}D * (count(`{wanted.column}`) - 1)) AS INT)"
+    values = f"sort_array(collect_list(CAST(`{wanted.column}` AS DOUBLE)))"
+    return F.expr(
+        f"CASE WHEN count(`{wanted.column}`) > 0 THEN get({values}, {place}) END AS `{wanted.name}`"
+    )
 
 
 def exact_percentiles(
@@ -69,6 +109,7 @@ def exact_percentiles(
     extra: Sequence[Column] = (),
     interpolate: bool = True,
     accuracy: int = ACCURACY,
+    inline_rows: int = INLINE_ROWS,
 ) -> DataFrame:
     """One row per group: keys, the extra aggregates, and every wanted percentile.
 
@@ -76,6 +117,8 @@ def exact_percentiles(
     floor(p * (n - 1)). NULLs are ignored; a group without values gets NULL.
     """
     keys = list(keys)
+    if df.count() <= inline_rows:
+        return df.groupBy(*keys).agg(*extra, *(_inline(w, interpolate) for w in wanted))
     grouped = df.groupBy(F.struct(*keys).alias("_group") if keys else F.lit(0).alias("_group"))
     stats = settle(grouped.agg(*extra, *_sketches(wanted, accuracy)))
     side = small_side(stats)
@@ -84,65 +127,36 @@ def exact_percentiles(
     ends = [f"_ends_{c}" for c in columns]
     values = df.select(
         (F.struct(*keys) if keys else F.lit(0)).alias("_group"),
-        *(F.col(c).cast("double").alias(c) for c in columns),
+        *(F.expr(f"CAST(`{c}` AS DOUBLE) AS `{c}`") for c in columns),
     )
     offers = values.join(side.select("_group", *ends), "_group").select(
-        "_group", _bracketed(wanted).alias("o")
+        "_group", _bracketed(wanted)
     )
     # Outside the bracket only the count and the value next to the bracket matter.
     counted = (
-        offers.where(F.col("o.value").isNotNull())
-        .groupBy(
-            "_group",
-            F.col("o.want").alias("want"),
-            F.col("o.zone").alias("zone"),
-            F.when(F.col("o.zone") == INSIDE, F.col("o.value")).alias("inside"),
-        )
+        offers.where("value IS NOT NULL")
+        .groupBy("_group", "want", "zone", F.expr(f"IF(zone = {INSIDE}, value, NULL) AS inside"))
         .agg(
-            F.count("*").alias("copies"),
-            F.min("o.value").alias("least"),
-            F.max("o.value").alias("most"),
+            F.expr("count(*) AS copies"),
+            F.expr("min(value) AS least"),
+            F.expr("max(value) AS most"),
         )
     )
-    whole = Window.partitionBy("_group", "want")
-    upto = whole.orderBy("zone", "inside").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = counted.withColumns(
-        {"past": F.sum("copies").over(upto), "n": F.sum("copies").over(whole)}
-    ).withColumn("before", F.col("past") - F.col("copies"))
-
-    outputs = []
-    for index, w in enumerate(wanted):
-        position = F.lit(w.p) * (F.col("n") - 1)
-        low = _value_at(index, F.floor(position))
-        high = _value_at(index, F.ceil(position)) if interpolate else low
-        share = F.max(F.when(F.col("want") == index, position - F.floor(position)))
-        found = F.max(F.col("want") == index)
-        value = low + (high - low) * share if interpolate else low
-        outputs.append(
-            F.when(value.isNotNull() | ~found, value)
-            .otherwise(F.raise_error(F.lit(f"rank of {w.name} is outside its bracket")))
-            .alias(w.name)
-        )
+    within = "OVER (PARTITION BY _group, want"
+    upto = "ORDER BY zone, inside ROWS UNBOUNDED PRECEDING"
+    ranked = counted.selectExpr(
+        "*", f"sum(copies) {within} {upto}) AS past", f"sum(copies) {within}) AS n"
+    ).selectExpr("*", "past - copies AS before")
+    outputs = [_percentile(index, w, interpolate) for index, w in enumerate(wanted)]
     percentiles = ranked.groupBy("_group").agg(*outputs)
 
-    extras = [c for c in stats.columns if c not in ends and not c.startswith("_")]
+    extras = [c for c in stats.columns if c not in ends and c != "_group"]
     names = [F.col("_group")[k].alias(k) for k in keys]
     return stats.join(percentiles, "_group", "left").select(
         *names, *extras, *(w.name for w in wanted)
     )
 
 
-def _value_at(index: int, rank: Column) -> Column:
-    """The group's value at a zero-based rank, if it is one the bracket knows."""
-    covers = (F.col("want") == index) & (F.col("before") <= rank) & (rank < F.col("past"))
-    value = (
-        F.when(F.col("zone") == INSIDE, F.col("inside"))
-        .when((F.col("zone") == BELOW) & (rank == F.col("past") - 1), F.col("most"))
-        .when((F.col("zone") == ABOVE) & (rank == F.col("before")), F.col("least"))
-    )
-    return F.max(F.when(covers, value))
-
-
 def approximate_percentiles(
     df: DataFrame,
     keys: Sequence[str],

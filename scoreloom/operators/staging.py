@@ -10,30 +10,35 @@ from scoreloom.plans.policies import FAMILIES
 from scoreloom.schemas import RESULTS, SUITE_COLUMNS
 
 
-def policy_category(policy: Column) -> Column:
+def policy_category() -> Column:
     """Family by LIKE prefix; as in SQL, `_` matches any one character."""
-    family = F.when(F.lit(False), F.lit(""))
-    for prefix, label in FAMILIES.items():
-        family = family.when(policy.like(f"{prefix}%"), label)
-    return family.otherwise("Other")
+    cases = " ".join(
+        f"WHEN policy_name LIKE '{prefix}%' THEN '{label}'" for prefix, label in FAMILIES.items()
+    )
+    return F.expr(f"CASE {cases} ELSE 'Other' END")
 
 
-def latency_tier(latency: Column) -> Column:
-    return F.when(latency < 0.1, "Fast").when(latency < 0.5, "Medium").otherwise("Slow")
+def latency_tier() -> Column:
+    return F.expr(
+        "CASE WHEN first_token_latency < 0.1 THEN 'Fast' "
+        "WHEN first_token_latency < 0.5 THEN 'Medium' ELSE 'Slow' END"
+    )
 
 
-def throughput_tier(throughput: Column) -> Column:
-    return F.when(throughput > 100, "High").when(throughput > 50, "Medium").otherwise("Low")
+def throughput_tier() -> Column:
+    return F.expr(
+        "CASE WHEN throughput > 100 THEN 'High' WHEN throughput > 50 THEN 'Medium' ELSE 'Low' END"
+    )
 
 
-def quality_tier(f1: Column) -> Column:
-    return F.when(f1 > 0.8, "High").when(f1 > 0.6, "Medium").otherwise("Low")
+def quality_tier() -> Column:
+    return F.expr("CASE WHEN f1 > 0.8 THEN 'High' WHEN f1 > 0.6 THEN 'Medium' ELSE 'Low' END")
 
 
 def suite_guard() -> list[Column]:
     """Suite columns, NULL on rows of another suite."""
     return [
-        F.when(F.col("benchmark") == suite, F.col(name)).alias(name)
+        F.expr(f"IF(benchmark = '{suite}', {name}, NULL) AS {name}")
         for suite, names in SUITE_COLUMNS.items()
         for name in names
     ]
@@ -48,8 +53,8 @@ def stage_results(results: DataFrame) -> DataFrame:
         *suite_guard(),
         F.to_date(started).alias("run_date"),
         F.hour(started).alias("run_hour"),
-        policy_category(F.col("policy_name")).alias("policy_category"),
-        latency_tier(F.col("first_token_latency")).alias("latency_tier"),
-        throughput_tier(F.col("throughput")).alias("throughput_tier"),
-        quality_tier(F.col("f1")).alias("quality_tier"),
+        policy_category().alias("policy_category"),
+        latency_tier().alias("latency_tier"),
+        throughput_tier().alias("throughput_tier"),
+        quality_tier().alias("quality_tier"),
     )

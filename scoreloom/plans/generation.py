@@ -20,11 +20,12 @@ def seconds_between(start: Column, end: Column) -> Column:
     return (F.unix_micros(end) - F.unix_micros(start)) / F.lit(1e6)
 
 
-def policy_overhead(policy: Column) -> Column:
-    cost = F.when(F.lit(False), F.lit(0.0))
-    for prefix, seconds in OVERHEAD.items():
-        cost = cost.when(F.startswith(policy, F.lit(prefix)), F.lit(seconds))
-    return cost.otherwise(F.lit(0.0))
+def policy_overhead(policy: str) -> str:
+    """SQL for the fixed overhead in seconds of the policy named in a column."""
+    cases = " ".join(
+        f"WHEN startswith({policy}, '{prefix}') THEN {cost}D" for prefix, cost in OVERHEAD.items()
+    )
+    return f"CASE {cases} ELSE 0D END"
 
 
 def chunk_aggregates() -> list[Column]:

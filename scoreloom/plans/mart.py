@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scoreloom.operators.percentiles import (
@@ -45,30 +45,28 @@ STATS_ORDER = (
 
 def share_of(column: str, value: str, name: str) -> Column:
     """Percentage of rows in one tier."""
-    return F.avg(F.when(F.col(column) == value, 100.0).otherwise(0.0)).alias(name)
-
-
-def _suite_mean(column: str, suite: str, name: str) -> Column:
-    return F.avg(F.when(F.col("benchmark") == suite, F.col(column))).alias(name)
+    return F.expr(f"avg(IF({column} = '{value}', 100D, 0D)) AS {name}")
 
 
 def plain_statistics() -> list[Column]:
     """Every statistic that merges from partial aggregates."""
     return [
-        F.count("*").alias("sample_count"),
-        *(F.avg(c).alias(f"mean_{c}") for c in MEANS),
-        *(F.min(c).alias(f"min_{c}") for c in SPREADS),
-        *(F.max(c).alias(f"max_{c}") for c in SPREADS),
-        *(F.stddev_samp(c).alias(f"std_{c}") for c in SPREADS),
+        F.expr("count(*) AS sample_count"),
+        *(F.expr(f"avg({c}) AS mean_{c}") for c in MEANS),
+        *(
+            F.expr(f"{function}({c}) AS {name}_{c}")
+            for c in SPREADS
+            for name, function in (("min", "min"), ("max", "max"), ("std", "stddev_samp"))
+        ),
         share_of("latency_tier", "Fast", "pct_fast_latency"),
         share_of("throughput_tier", "High", "pct_high_throughput"),
         share_of("quality_tier", "High", "pct_high_quality"),
-        _suite_mean("overall_keyword_coverage", "crmarena", "mean_crm_keyword_coverage"),
-        _suite_mean("reasoning_depth", "worfbench", "mean_worf_reasoning_depth"),
-        F.min("run_date").alias("first_run_date"),
-        F.max("run_date").alias("last_run_date"),
+        F.expr("avg(IF(benchmark = 'crmarena', overall_keyword_coverage, NULL)) AS mean_crm_keyword_coverage"),
+        F.expr("avg(IF(benchmark = 'worfbench', reasoning_depth, NULL)) AS mean_worf_reasoning_depth"),
+        F.expr("min(run_date) AS first_run_date"),
+        F.expr("max(run_date) AS last_run_date"),
         # Calendar days are few; a set of them merges map-side where DISTINCT would expand rows.
-        F.size(F.collect_set("run_date")).cast("long").alias("run_days"),
+        F.expr("CAST(size(collect_set(run_date)) AS BIGINT) AS run_days"),
     ]
 
 
@@ -79,37 +77,32 @@ def policy_stats(staged: DataFrame, exact: bool = True, **options: int) -> DataF
     return stats.select(*STATS_ORDER)
 
 
-def _over(order: Column) -> Window:
-    """Within the suite; ties go to the policy that comes first by name."""
-    return Window.partitionBy("benchmark").orderBy(order, F.col("policy_name").asc())
-
-
-def rank_within_suite(order: Column) -> Column:
-    return F.row_number().over(_over(order))
+def rank_within_suite(order: str) -> str:
+    """SQL row number within the suite; ties go to the policy that comes first by name."""
+    return f"row_number() OVER (PARTITION BY benchmark ORDER BY {order}, policy_name)"
 
 
-def percent_rank_within_suite(order: Column) -> Column:
-    return F.percent_rank().over(Window.partitionBy("benchmark").orderBy(order))
+def percent_rank_within_suite(order: str) -> str:
+    return f"percent_rank() OVER (PARTITION BY benchmark ORDER BY {order})"
 
 
-def quartile_within_suite(column: str, p: float) -> Column:
-    return F.percentile(column, F.lit(p)).over(Window.partitionBy("benchmark"))
+def quartile_within_suite(column: str, p: float) -> str:
+    return f"percentile({column}, {p}D) OVER (PARTITION BY benchmark)"
 
 
 def with_efficiency(stats: DataFrame) -> DataFrame:
     """Ratios, the composite score, and the quartile test for good trade-offs."""
-    latency, f1 = F.col("mean_first_token_latency"), F.col("mean_f1")
-    rate, overhead = F.col("mean_throughput"), F.col("mean_policy_overhead")
-    fast = latency <= quartile_within_suite("mean_first_token_latency", 0.25)
-    good = f1 >= quartile_within_suite("mean_f1", 0.75)
-    return stats.withColumns(
-        {
-            "throughput_latency_ratio": F.try_divide(rate, latency),
-            "quality_latency_ratio": F.try_divide(f1, latency),
-            "quality_overhead_ratio": F.try_divide(f1, overhead),
-            "efficiency_score": F.try_divide(f1 * rate, latency + overhead),
-            "is_pareto_efficient": F.when(fast & good, True).otherwise(False),
-        }
+    fast = quartile_within_suite("mean_first_token_latency", 0.25)
+    good = quartile_within_suite("mean_f1", 0.75)
+    total = "mean_first_token_latency + mean_policy_overhead"
+    return stats.selectExpr(
+        "*",
+        "try_divide(mean_throughput, mean_first_token_latency) AS throughput_latency_ratio",
+        "try_divide(mean_f1, mean_first_token_latency) AS quality_latency_ratio",
+        "try_divide(mean_f1, mean_policy_overhead) AS quality_overhead_ratio",
+        f"try_divide(mean_f1 * mean_throughput, {total}) AS efficiency_score",
+        f"coalesce(mean_first_token_latency <= {fast} AND mean_f1 >= {good}, FALSE) "
+        "AS is_pareto_efficient",
     )
 
 
@@ -127,29 +120,28 @@ def join_stats_efficiency(stats: DataFrame, efficiency: DataFrame) -> DataFrame:
 
 
 def with_ranks(mart: DataFrame) -> DataFrame:
-    latency = F.col("mean_first_token_latency").asc_nulls_last()
-    rate, f1 = F.col("mean_throughput").desc_nulls_last(), F.col("mean_f1").desc_nulls_last()
-    return mart.withColumns(
-        {
-            "latency_rank": rank_within_suite(latency),
-            "throughput_rank": rank_within_suite(rate),
-            "quality_rank": rank_within_suite(f1),
-            "efficiency_rank": rank_within_suite(F.col("efficiency_score").desc_nulls_last()),
-            "latency_percentile": percent_rank_within_suite(latency),
-            "throughput_percentile": percent_rank_within_suite(rate),
-            "quality_percentile": percent_rank_within_suite(f1),
-        }
+    latency = "mean_first_token_latency ASC NULLS LAST"
+    rate, f1 = "mean_throughput DESC NULLS LAST", "mean_f1 DESC NULLS LAST"
+    efficiency = "efficiency_score DESC NULLS LAST"
+    return mart.selectExpr(
+        "*",
+        f"{rank_within_suite(latency)} AS latency_rank",
+        f"{rank_within_suite(rate)} AS throughput_rank",
+        f"{rank_within_suite(f1)} AS quality_rank",
+        f"{rank_within_suite(efficiency)} AS efficiency_rank",
+        f"{percent_rank_within_suite(latency)} AS latency_percentile",
+        f"{percent_rank_within_suite(rate)} AS throughput_percentile",
+        f"{percent_rank_within_suite(f1)} AS quality_percentile",
     )
 
 
 def performance_profile() -> Column:
-    fast, good = F.col("latency_rank") <= 3, F.col("quality_rank") <= 3
-    return (
-        F.when(fast & good, "Optimal")
-        .when(fast, "Fast")
-        .when(good, "High Quality")
-        .when(F.col("throughput_rank") <= 3, "High Throughput")
-        .otherwise("Balanced")
+    return F.expr(
+        """CASE WHEN latency_rank <= 3 AND quality_rank <= 3 THEN 'Optimal'
+                WHEN latency_rank <= 3 THEN 'Fast'
+                WHEN quality_rank <= 3 THEN 'High Quality'
+                WHEN throughput_rank <= 3 THEN 'High Throughput'
+                ELSE 'Balanced' END"""
     )
 
 

@@ -262,7 +262,7 @@ def radar_scores(mart: DataFrame, policies: Sequence[str] | None = None) -> Data
         value = F.col("row")[name]
         if name == "mean_first_token_latency":
             return F.when(value > 0, 1 / (1 + value)).otherwise(F.lit(1.0))
-        return F.least(value, F.lit(1.0))
+        return F.when(value > 1, 1.0).otherwise(value)
 
     return first.select("policy_name", *(score(c).alias(n) for n, c in metrics.items()))
 

@@ -19,6 +19,10 @@ SETTINGS = {
     "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "4096",
 }
 
+# Recording a Python call site for every expression costs seconds on wide plans; this can
+# only be chosen when a session is created.
+STATIC = {"spark.python.sql.dataFrameDebugging.enabled": "false"}
+
 # A broadcast side above this many rows is joined by shuffle instead.
 BROADCAST_ROWS = 100_000
 
@@ -27,7 +31,7 @@ def build_session(app: str = "scoreloom", master: str | None = None, **conf: str
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
-    for key, value in {**SETTINGS, **conf}.items():
+    for key, value in {**SETTINGS, **STATIC, **conf}.items():
         builder = builder.config(key, value)
     return attach(builder.getOrCreate())
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scoreloom.plans.generation import policy_overhead
@@ -16,59 +16,63 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+# Result columns as expressions over a line item; first, predicted and expected are
+# written out where other columns need them.
+_FIRST = "0.02D + 10 * l_discount"
+_PREDICTED, _EXPECTED = "CAST(l_quantity AS BIGINT) + 5", "20 + CAST(l_linenumber AS BIGINT)"
+_METRICS = {
+    "first_token_latency": _FIRST,
+    "avg_token_latency": "0.001D * (1 + l_linenumber) + l_tax / 10",
+    "generation_time": f"{_FIRST} + l_quantity / 20",
+    "policy_overhead": policy_overhead("policy_name"),
+    "throughput": "4 * l_quantity",
+    "total_tokens": "CAST(8 * l_quantity AS BIGINT)",
+    "exact_match": "IF(l_tax >= 0.075D, 1D, 0D)",
+    "precision": "10 * l_tax + l_discount",
+    "recall": "8 * l_tax + 2 * l_discount",
+    "f1": "12.5D * l_tax",
+    "rouge_1": "11 * l_tax",
+    "rouge_2": "6 * l_tax",
+    "rouge_l": "9 * l_tax + l_discount",
+    "semantic_similarity": "5 * l_tax + 5 * l_discount",
+    "prediction_length": _PREDICTED,
+    "reference_length": _EXPECTED,
+    "length_ratio": f"CAST({_PREDICTED} AS DOUBLE) / ({_EXPECTED})",
+    "length_difference": f"abs({_PREDICTED} - ({_EXPECTED}))",
+    "customer_service_coverage": "10 * l_discount",
+    "sales_coverage": "9 * l_discount",
+    "support_coverage": "12.5D * l_tax",
+    "retention_coverage": "6 * l_tax",
+    "overall_keyword_coverage": "5 * l_discount + 5 * l_tax",
+    "analytical_coverage": "8 * l_discount",
+    "structure_coverage": "4 * l_tax",
+    "reasoning_depth": "(8 * l_discount + 4 * l_tax) / 2",
+}
+_NAMES = ", ".join(f"'{p.name}'" for p in POLICIES)
+_SHIPPED = "unix_seconds(CAST(l_shipdate AS TIMESTAMP))"
+_PLAIN = {
+    "sample_id": "concat_ws('-', l_orderkey, l_partkey, l_suppkey, l_linenumber, "
+    f"CAST(floor({_SHIPPED} / 86400) AS BIGINT))",
+    "policy_name": "policy_name",
+    "benchmark": "IF(l_partkey % 2 = 0, 'crmarena', 'worfbench')",
+    "prompt": "concat('Question about part ', l_partkey)",
+    "response": "concat('Supplier ', l_suppkey, ' ships part ', l_partkey)",
+    "ground_truth": "concat('Part ', l_partkey, ' is available')",
+    "timestamp": f"CAST({_SHIPPED} AS DOUBLE) + (l_partkey % 24) * 3600 + 0.25D",
+    "error": "IF(l_linenumber = 7, 'timeout', NULL)",
+}
+
+
 def results_from(lineitem: DataFrame) -> DataFrame:
     """One result per line item; lines numbered 7 are failed samples without metrics."""
-    discount, tax, quantity = F.col("l_discount"), F.col("l_tax"), F.col("l_quantity")
-    line, part, supplier = F.col("l_linenumber"), F.col("l_partkey"), F.col("l_suppkey")
-    shipped = F.unix_seconds(F.col("l_shipdate").cast("timestamp"))
-    names = F.array(*(F.lit(p.name) for p in POLICIES))
-    policy = F.get(names, (supplier % len(POLICIES)).cast("int"))
-    failed = line == 7
-    predicted, expected = quantity.cast("long") + 5, 20 + line.cast("long")
-    first = 0.02 + 10 * discount
-    metrics = {
-        "first_token_latency": first,
-        "avg_token_latency": 0.001 * (1 + line) + tax / 10,
-        "generation_time": first + quantity / 20,
-        "policy_overhead": policy_overhead(policy),
-        "throughput": 4 * quantity,
-        "total_tokens": (8 * quantity).cast("long"),
-        "exact_match": F.when(tax >= 0.075, 1.0).otherwise(0.0),
-        "precision": 10 * tax + discount,
-        "recall": 8 * tax + 2 * discount,
-        "f1": 12.5 * tax,
-        "rouge_1": 11 * tax,
-        "rouge_2": 6 * tax,
-        "rouge_l": 9 * tax + discount,
-        "semantic_similarity": 5 * tax + 5 * discount,
-        "prediction_length": predicted,
-        "reference_length": expected,
-        "length_ratio": predicted / expected,
-        "length_difference": F.abs(predicted - expected),
-        "customer_service_coverage": 10 * discount,
-        "sales_coverage": 9 * discount,
-        "support_coverage": 12.5 * tax,
-        "retention_coverage": 6 * tax,
-        "overall_keyword_coverage": 5 * discount + 5 * tax,
-        "analytical_coverage": 8 * discount,
-        "structure_coverage": 4 * tax,
-        "reasoning_depth": (8 * discount + 4 * tax) / 2,
-    }
-    columns: dict[str, Column] = {
-        "sample_id": F.concat_ws(
-            "-", "l_orderkey", part, supplier, line, F.floor(shipped / 86400).cast("string")
-        ),
-        "policy_name": policy,
-        "benchmark": F.when(part % 2 == 0, "crmarena").otherwise("worfbench"),
-        "prompt": F.concat(F.lit("Question about part "), part),
-        "response": F.concat(F.lit("Supplier "), supplier, F.lit(" ships part "), part),
-        "ground_truth": F.concat(F.lit("Part "), part, F.lit(" is available")),
-        "timestamp": shipped.cast("double") + (part % 24) * 3600 + F.lit(0.25),
-        **{name: F.when(~failed, value) for name, value in metrics.items()},
-        "error": F.when(failed, "timeout"),
-    }
-    return lineitem.select(
-        *(columns[f.name].cast(f.dataType).alias(f.name) for f in RESULTS)
+    measured = {name: f"IF(l_linenumber = 7, NULL, {sql})" for name, sql in _METRICS.items()}
+    columns = {**_PLAIN, **measured}
+    policy = f"array({_NAMES})[CAST(l_suppkey % {len(POLICIES)} AS INT)]"
+    return lineitem.selectExpr("*", f"{policy} AS policy_name").selectExpr(
+        *(
+            f"CAST({columns[f.name]} AS {f.dataType.simpleString()}) AS `{f.name}`"
+            for f in RESULTS
+        )
     )
 
 
