@@ -8,7 +8,13 @@ from pyspark.sql import functions as F
 from scoreloom.functions import overlap
 from scoreloom.functions.registry import SUITES, registered_metrics
 from scoreloom.functions.rouge import common_subsequence, rouge_scores, stemmed_matches
-from scoreloom.functions.text import normalize_text, normalized_tokens, rouge_text, word_tokens
+from scoreloom.functions.text import (
+    normalize_text,
+    normalized_tokens,
+    rouge_text,
+    rouge_tokens,
+    word_tokens,
+)
 
 
 def score_pairs(
@@ -20,16 +26,15 @@ def score_pairs(
 ) -> DataFrame:
     """Append every quality metric to df; suite metrics are NULL outside their suite.
 
-    Three projections: prepared texts, counts, scores. What a later step mentions
-    more than once is a column of the step before, so it is computed once. There is
-    no shuffle; the one Python stage counts ROUGE matches.
+    Prepared texts, then counts, then scores: what a later step mentions more than
+    once is a column of the step before, so it is computed once. There is no shuffle.
+    The one Python stage counts ROUGE matches; it comes first, so that no token array
+    has to wait beside it.
     """
     pred, ref = F.col(prediction), F.col(reference)
     prepared = {
         "_norm_p": normalize_text(pred),
         "_norm_r": normalize_text(ref),
-        "_rouge_p": rouge_text(pred),
-        "_rouge_r": rouge_text(ref),
         "_len_p": F.array_size(word_tokens(pred)),
         "_len_r": F.array_size(word_tokens(ref)),
     }
@@ -41,18 +46,24 @@ def score_pairs(
         "_tok_p": normalized_tokens(F.col("_norm_p")),
         "_tok_r": normalized_tokens(F.col("_norm_r")),
     }
-    counts = {"_counts": overlap.overlap_counts("_tok_p", "_tok_r")}
-    if stem:
-        counts["_match"] = stemmed_matches("_rouge_p", "_rouge_r")
-    else:
+    counts = {
+        "_exact": overlap.exact_match("_norm_p", "_norm_r"),
+        "_counts": overlap.overlap_counts("_tok_p", "_tok_r"),
+    }
+    if not stem:
         for side in "pr":
-            tokens[f"_gram_{side}"] = F.expr(f"array_remove(split(_rouge_{side}, ' '), '')")
+            tokens[f"_gram_{side}"] = rouge_tokens(pred if side == "p" else ref)
         for n in (1, 2):
             counts[f"_grams_{n}"] = overlap.gram_counts("_gram_p", "_gram_r", n)
-        counts["_lcs"] = common_subsequence("_rouge_p", "_rouge_r")
-    counted = df.withColumns(prepared).withColumns(tokens).withColumns(counts)
+    matches = stemmed_matches if stem else common_subsequence
+    counted = (
+        df.withColumn("_match", matches(rouge_text(pred), rouge_text(ref)))
+        .withColumns(prepared)
+        .withColumns(tokens)
+        .withColumns(counts)
+    )
 
-    metrics: dict[str, Column] = {"exact_match": overlap.exact_match("_norm_p", "_norm_r")}
+    metrics: dict[str, Column] = {"exact_match": F.col("_exact")}
     metrics |= overlap.token_overlap("_counts")
     if stem:
         metrics |= rouge_scores("_match")
@@ -60,7 +71,7 @@ def score_pairs(
         metrics["rouge_1"] = overlap.rouge_n("_grams_1")
         metrics["rouge_2"] = overlap.rouge_n("_grams_2")
         sizes = ("_grams_1.predicted", "_grams_1.expected")
-        metrics["rouge_l"] = F.expr(overlap.f_measure("_lcs", *sizes))
+        metrics["rouge_l"] = F.expr(overlap.f_measure("_match", *sizes))
     metrics["semantic_similarity"] = overlap.semantic_similarity("_counts")
     metrics |= overlap.length_metrics("_len_p", "_len_r")
     for name, suite in SUITES.items():

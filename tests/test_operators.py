@@ -57,15 +57,16 @@ def test_numbering_matches_a_window_on_a_hot_group(spark):
     df = spark.createDataFrame(rows, "g string, k int, id long")
     plain = F.row_number().over(Window.partitionBy("g").orderBy("k", "id"))
     expected = {r["id"]: r["m"] for r in df.select("id", plain.alias("m")).collect()}
-    for options in ({}, {"ranges": 16, "sample": 200}):
+    for options in ({}, {"inline_rows": 0}, {"inline_rows": 0, "ranges": 16, "sample": 200}):
         numbered = number_rows(df, ["g"], ["k", "id"], **options).collect()
         assert {r["id"]: r["n"] for r in numbered} == expected
 
 
 def test_numbering_without_groups_and_empty(spark):
     df = spark.range(100)
-    assert [r["n"] for r in number_rows(df, [], ["id"]).orderBy("id").collect()] == list(range(1, 101))
-    assert number_rows(df.where("id < 0"), [], ["id"]).count() == 0
+    numbered = number_rows(df, [], ["id"], inline_rows=0).orderBy("id").collect()
+    assert [r["n"] for r in numbered] == list(range(1, 101))
+    assert number_rows(df.where("id < 0"), [], ["id"], inline_rows=0).count() == 0
 
 
 def test_numbering_spreads_a_hot_group(spark):
