@@ -23,21 +23,16 @@ def normalize_conversations(spark, sf_dir):
 
 @query(
     "normalize_nested_conversations",
-    f"WITH {twins.CHATS} SELECT {_CHAT_COLUMNS} FROM chats",
+    """SELECT conv_id || '/' || turn AS id, CASE WHEN role = 'user' THEN text ELSE 'Go on.' END AS prompt,
+      CASE WHEN role = 'assistant' THEN text ELSE '' END AS ground_truth,
+      'worfbench' AS source, 'eval' AS category FROM conversations""",
 )
 def normalize_nested_conversations(spark, sf_dir):
-    """The nested JSON-lines form of the same chats, written out and read back."""
-    turn = F.struct("turn", F.col("role"), F.col("text").alias("content"))
-    nested = (
-        table(spark, sf_dir, "conversations")
-        .groupBy("conv_id")
-        .agg(F.sort_array(F.collect_list(turn)).alias("turns"))
-        .select(
-            F.concat(F.lit("worf_"), "conv_id").alias("id"),
-            F.transform(
-                "turns", lambda t: F.struct(t["role"].alias("role"), t["content"].alias("content"))
-            ).alias("conversations"),
-        )
+    """Nested chats, an opening and one turn each, written as JSON lines and read back."""
+    nested = table(spark, sf_dir, "conversations").selectExpr(
+        "concat(conv_id, '/', turn) AS id",
+        "array(named_struct('role', 'user', 'content', 'Go on.'), "
+        "named_struct('role', role, 'content', text)) AS conversations",
     )
     path = scratch(spark, "chats")
     job_source.write_jobs(nested, path)

@@ -22,8 +22,13 @@ def ratio_or_zero(top: str, bottom: str) -> str:
 
 
 def f_measure(hits: str, predicted: str, expected: str) -> str:
-    """Harmonic mean of hits/predicted and hits/expected, 0 without hits."""
-    return ratio_or_zero(f"2D * {hits}", f"({predicted} + {expected})")
+    """Harmonic mean of precision and recall, 0 without hits, NULL when a side is NULL."""
+    precision = f"(CAST({hits} AS DOUBLE) / {predicted})"
+    recall = f"(CAST({hits} AS DOUBLE) / {expected})"
+    return (
+        f"CASE WHEN {hits} > 0 THEN 2 * {precision} * {recall} / ({precision} + {recall}) "
+        f"WHEN {hits} IS NOT NULL THEN 0D END"
+    )
 
 
 def exact_match(left: str, right: str) -> Column:

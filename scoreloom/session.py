@@ -58,7 +58,7 @@ def shared_dir(spark: SparkSession) -> str:
     context = spark.sparkContext
     folder = context.getCheckpointDir()
     if folder is None:
-        named = context.getConf().get("spark.checkpoint.dir")
+        named = spark.conf.get("spark.checkpoint.dir", None)
         if named is None:
             if not context.master.startswith("local"):
                 raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")

@@ -28,14 +28,20 @@ def scan_results(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(RESULTS).parquet(path).select(RESULTS.fieldNames())
 
 
+def _write(df: DataFrame, path: str, mode: str) -> None:
+    """Rebalanced first: few files per folder, and a hot policy is split over many tasks."""
+    balanced = conform(df).hint("rebalance", *PARTITIONS)
+    balanced.write.mode(mode).partitionBy(*PARTITIONS).parquet(path)
+
+
 def write_results(df: DataFrame, path: str) -> None:
     """Replace the table; partitioned so that suite and policy filters prune folders."""
-    conform(df).write.mode("overwrite").partitionBy(*PARTITIONS).parquet(path)
+    _write(df, path, "overwrite")
 
 
 def append_results(df: DataFrame, path: str) -> None:
     """Add files to the table; what is there is neither read nor rewritten."""
-    conform(df).write.mode("append").partitionBy(*PARTITIONS).parquet(path)
+    _write(df, path, "append")
 
 
 def union_runs(runs: Iterable[DataFrame]) -> DataFrame:
