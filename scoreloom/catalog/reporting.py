@@ -342,14 +342,14 @@ def box_stats(spark, sf_dir):
 @query(
     "box_outliers",
     _from_results(
-        f"""{_boxes('length_ratio')}
-        SELECT sample_id, r.policy_name, benchmark, length_ratio
-        FROM results r JOIN fenced f USING (policy_name) WHERE length_ratio < lo OR length_ratio > hi""",
-        "length_ratio",
+        f"""{_boxes('exact_match')}
+        SELECT sample_id, r.policy_name, benchmark, exact_match
+        FROM results r JOIN fenced f USING (policy_name) WHERE exact_match < lo OR exact_match > hi""",
+        "exact_match",
     ),
 )
 def box_outliers(spark, sf_dir):
-    return rounded(reports.box_outliers(results(spark, sf_dir, heavy=True), "length_ratio"))
+    return rounded(reports.box_outliers(results(spark, sf_dir, heavy=True), "exact_match"))
 
 
 @query(

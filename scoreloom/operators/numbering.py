@@ -86,7 +86,7 @@ def number_rows(
 
 
 def first_per_group(
-    df: DataFrame, by: Sequence[str], order: Sequence[str | Column], n: int, salts: int = SALTS
+    df: DataFrame, by: Sequence[str], order: Sequence[str], n: int, salts: int = SALTS
 ) -> DataFrame:
     """The first n rows of each group. Salted parts are cut first, so the last step
     sees at most salts * n rows of a group however large it is."""

@@ -44,7 +44,11 @@ def stream_distinct_results(results: DataFrame, remember: str = "1 day") -> Data
 
 
 def stream_run_trend(results: DataFrame, delay: str = "1 day") -> DataFrame:
-    """Headline means per hour of run time."""
+    """Headline means per hour of run time.
+
+    An hour stays open until the watermark is `delay` past it; choose the delay by how late
+    runs may arrive, since rows later than that no longer count.
+    """
     timed = results.withColumn("run_at", run_time(F.col("timestamp")))
     return (
         timed.withWatermark("run_at", delay)

@@ -44,6 +44,17 @@ def test_percentiles_are_exact(spark, interpolate, options):
             assert found[group][w.name] == pytest.approx(expected), (group, w.name)
 
 
+def test_large_path_shuffles_only_partial_counts(spark, sf_dir):
+    wanted = [Percentile("p95", "throughput", 0.95)]
+    found = exact_percentiles(results(spark, sf_dir), ["policy_name"], wanted, inline_rows=0)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    scan = plan[: plan.index("FileScan")].splitlines()
+    # From the scan up: broadcast join, explode, partial count, and only then an exchange.
+    last_exchange = max(i for i, line in enumerate(scan) if "Exchange hashpartitioning" in line)
+    below = "\n".join(scan[last_exchange:])
+    assert "partial_count" in below and "BroadcastHashJoin" in below and "Generate" in below
+
+
 def test_percentiles_without_keys_and_with_null_keys(spark):
     df = spark.createDataFrame([(None, float(i)) for i in range(101)], "g string, v double")
     assert exact_percentiles(df, [], WANTED, inline_rows=0).first()["p95"] == 95.0
