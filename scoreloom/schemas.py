@@ -45,15 +45,3 @@ RESULTS = T.StructType(
 )
 
 RESULT_KEYS = ["sample_id", "policy_name", "benchmark"]
-
-GENERATION = T.StructType(
-    _fields(T.DoubleType(), "first_token_latency avg_token_latency")
-    + _fields(T.LongType(), "total_tokens")
-    + _fields(T.DoubleType(), "throughput policy_overhead generation_time")
-)
-
-CHUNK = T.StructType(
-    _fields(T.StringType(), "request_id")
-    + _fields(T.TimestampType(), "started_at chunk_ts")
-    + _fields(T.StringType(), "content")
-)
