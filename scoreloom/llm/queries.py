@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scoreloom.llm import quality, simhash, toxicity
+from scoreloom.llm import quality, repeats, simhash, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,10 +41,16 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that no earlier document's passage covers."""
+    return repeats.find_repeats(_table(spark, sf_dir, "documents")).drop("kept")
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op3_toxicity": op3_toxicity,
     "op7_simhash": op7_simhash,
+    "op10_substring_dedup": op10_substring_dedup,
 }
 
 SQL: dict[str, str] = {}
