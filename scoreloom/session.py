@@ -15,6 +15,9 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Whole documents go to Python tasks: bound a batch by its bytes, not only its rows.
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
+    "spark.sql.execution.arrow.maxBytesPerBatch": "16m",
     # More than the default 128 (policy, suite) groups stay in hash aggregation.
     "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "4096",
 }
