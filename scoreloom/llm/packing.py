@@ -50,7 +50,7 @@ class Chunk:
 
 
 def _closed(number: int, ids: list, lengths: list, codes: list, distinct: dict) -> pa.RecordBatch:
-    pieces = list(distinct)
+    pieces = [p.encode() if isinstance(p, str) else p for p in distinct]
     row = {
         "chunk": number,
         "ids": squeeze(np.array([0 if i is None else i for i in ids], np.int64)),
@@ -66,11 +66,11 @@ def _closed(number: int, ids: list, lengths: list, codes: list, distinct: dict)
 
 
 def packed(
-    docs: DataFrame, split: Callable[[bytes], list[bytes]], id_col: str = "doc_id", text_col: str = "text", size: int = CHUNK
+    docs: DataFrame, split: Callable[[bytes], list], id_col: str = "doc_id", text_col: str = "text", size: int = CHUNK
 ) -> DataFrame:
     """Chunks of all documents, stored bucketed by chunk so that joins do not move them.
 
-    split makes a text's pieces; a null text has none.
+    split makes a text's pieces, bytes or strings; a null text has none.
     """
 
     def work(batches):

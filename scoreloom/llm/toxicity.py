@@ -29,7 +29,7 @@ THRESHOLD = 0.7
 # The model is fitted on at most this many labelled rows, those of smallest hash of their id.
 MAX_LABELLED = 12_000
 EPOCHS = 4
-ALPHA, BETA, L1, L2 = 1.5, 1.0, 0.15, 0.05
+ALPHA, BETA, L1, L2 = 2.5, 1.0, 2.0, 0.05
 
 
 def _features(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
