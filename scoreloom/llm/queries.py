@@ -6,7 +6,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scoreloom.llm import bpe, quality, repeats, simhash, toxicity
+from scoreloom.llm import bpe, mixing, quality, repeats, sharding, simhash, toxicity
+
+# Target weights of languages; domains and sources weigh 1 each.
+WEIGHTS = {"en": 4.0, "de": 2.0, "fr": 2.0, "es": 1.0}
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,6 +47,20 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 16 shards of nearly equal bytes."""
+    found = sharding.shard_by_bytes(_table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id",
+        "size",
+        "text_crc32",
+        F.lit("bytes").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
     found = simhash.near_duplicates(_table(spark, sf_dir, "documents"))
@@ -54,17 +71,77 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which documents are taken how often, so that languages and sources meet their weights."""
+    return mixing.select_mix(_table(spark, sf_dir, "documents"), WEIGHTS)
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document that no earlier document's passage covers."""
     return repeats.find_repeats(_table(spark, sf_dir, "documents")).drop("kept")
 
 
+def _mix_level(level: str, path: str, above: str) -> str:
+    """One level of the budget tree: children of `path` share what their parent was given."""
+    keys = f"{path}, {level}" if path else level
+    by = f"PARTITION BY {path}" if path else ""
+    names = " ".join(f"WHEN {level} = '{k}' THEN {v}" for k, v in WEIGHTS.items())
+    return f"""
+    {level}_nodes AS (
+        SELECT {keys}, sum(2 * tokens) AS held, CAST(CASE {names} ELSE 1 END AS DOUBLE) AS weight
+        FROM leaf GROUP BY {keys}),
+    {level}_ranked AS (
+        SELECT *,
+            coalesce(sum(held) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS filled,
+            sum(weight) OVER (w ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS unfilled
+        FROM {level}_nodes JOIN {above} {f"USING ({path})" if path else "ON true"}
+        WINDOW w AS ({by} ORDER BY held / weight, {keys})),
+    {level}_told AS (
+        SELECT *, greatest(0, given - filled) / unfilled AS level FROM {level}_ranked),
+    {level}_given AS (
+        SELECT {keys}, CASE WHEN held <= level * weight THEN CAST(held AS DOUBLE) ELSE weight * coalesce(
+            min(CASE WHEN held > level * weight THEN {{'f': filled, 'u': unfilled, 'l': level}} END) OVER ({by}).l, 0)
+            END AS given
+        FROM {level}_told)"""
+
+
+MIX_SQL = f"""
+WITH numbered AS (
+    SELECT *, regexp_extract(coalesce(source, ''), '([0-9]{{1,9}})$', 1) AS n FROM documents),
+d AS (
+    SELECT doc_id, CASE WHEN n = '' THEN 'other' ELSE 'domain' || (CAST(n AS INT) // 5) END AS domain,
+        coalesce(lang, 'none') AS lang, coalesce(source, 'none') AS source,
+        CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS n_tokens
+    FROM numbered),
+leaf AS (
+    SELECT domain, lang, source, CAST(sum(n_tokens) AS BIGINT) AS tokens FROM d GROUP BY ALL),
+root AS (SELECT CAST(sum(tokens) AS DOUBLE) AS given FROM leaf),
+{_mix_level("domain", "", "root")},
+{_mix_level("lang", "domain", "domain_given")},
+{_mix_level("source", "domain, lang", "lang_given")},
+plan AS (
+    SELECT domain, lang, source, tokens, CAST(floor(given + 1e-6) AS BIGINT) AS leaf_budget,
+        CASE WHEN tokens > 0 THEN CAST(floor(given + 1e-6) AS BIGINT) // tokens ELSE 1 END AS epochs
+    FROM leaf JOIN source_given USING (domain, lang, source)),
+placed AS (
+    SELECT d.*, epochs, leaf_budget, leaf_budget - epochs * tokens AS rest,
+        sum(n_tokens) OVER (PARTITION BY domain, lang, source
+            ORDER BY md5('7/' || epochs || '/' || coalesce(CAST(doc_id AS VARCHAR), '')), doc_id, n_tokens
+            ROWS UNBOUNDED PRECEDING) AS upto
+    FROM d JOIN plan USING (domain, lang, source))
+SELECT doc_id, domain, lang, source, n_tokens, CAST(unnest(range(epochs)) AS INT) AS epoch, leaf_budget FROM placed
+UNION ALL
+SELECT doc_id, domain, lang, source, n_tokens, CAST(epochs AS INT), leaf_budget FROM placed WHERE rest > 0 AND upto <= rest
+"""
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_byte_bpe": op2_byte_bpe,
     "op3_toxicity": op3_toxicity,
+    "op6_sharding": op6_sharding,
     "op7_simhash": op7_simhash,
+    "op9_mixing": op9_mixing,
     "op10_substring_dedup": op10_substring_dedup,
 }
 
-SQL: dict[str, str] = {}
+SQL = {"op9_mixing": MIX_SQL}

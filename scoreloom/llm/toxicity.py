@@ -2,7 +2,8 @@
 
 Features of a text are its words, the beginnings of its words (which tie inflected forms
 together), word pairs, and pairs with one word left out, each hashed to one of 2^20 coordinates.
-A feature's value is its share of the text: count * SPREAD / max(n_words, SPREAD). FTRL keeps a
+A feature's value is its share of the text, count * SPREAD / max(n_words, SPREAD), at most CAP (so
+that one word said over and over is not everything). FTRL keeps a
 learning rate for each coordinate, and its L1 term leaves most weights at exactly zero, so the
 model is a short list of (coordinate, weight) that is sent to every task; its size is bounded by
 the number of coordinates.
@@ -22,6 +23,7 @@ from scoreloom.llm.common import GOLDEN, id_and_text, settled, spans, word_hashe
 
 BITS = 20
 SPREAD = 64
+CAP = 0.5
 PREFIX = 5
 EDGES = b".,;:!?\"'()[]|"
 THRESHOLD = 0.7
@@ -29,7 +31,7 @@ THRESHOLD = 0.7
 # The model is fitted on at most this many labelled rows, those of smallest hash of their id.
 MAX_LABELLED = 12_000
 EPOCHS = 4
-ALPHA, BETA, L1, L2 = 2.5, 1.0, 2.0, 0.05
+ALPHA, BETA, L1, L2 = 4.0, 1.0, 1.5, 0.05
 
 
 def _features(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -73,7 +75,7 @@ def _fit(texts: list[bytes | None], labels: np.ndarray) -> tuple[np.ndarray, np.
         for k, scale in enumerate(_scale(lengths)):
             own, count = np.unique(at[(ends[k - 1] if k else 0) : ends[k]], return_counts=True)
             seen[own] += 1
-            rows.append((own.astype(np.int32), (count * scale).astype(np.float32)))
+            rows.append((own.astype(np.int32), np.minimum(count * scale, CAP).astype(np.float32)))
     rows = [(own[keep], x[keep]) for own, x in rows for keep in [seen[own] > 1]]
     z, n = np.zeros(size), np.zeros(size)
     bias_z = bias_n = 0.0
@@ -107,7 +109,11 @@ class ToxicityModel:
         at, owner, lengths = _features(texts)
         dense = np.zeros(1 << BITS, np.float32)
         dense[self.at] = self.weights
-        total = np.bincount(owner, dense[at], minlength=len(lengths)) * _scale(lengths)
+        known = dense[at] != 0
+        found, count = np.unique(owner[known] << BITS | at[known], return_counts=True)
+        owner, at = found >> BITS, found & ((1 << BITS) - 1)
+        value = np.minimum(count * _scale(lengths)[owner], CAP)
+        total = np.bincount(owner, dense[at] * value, minlength=len(lengths))
         return 1 / (1 + np.exp(-np.clip(total + self.bias, -35, 35)))
 
 
