@@ -28,8 +28,8 @@ def settled(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def stored(df: DataFrame, key: str) -> DataFrame:
-    """A table in the shared folder, bucketed by `key`: later joins on it do not move its rows.
+def stored(df: DataFrame, key: str) -> str:
+    """Name of a new table in the shared folder, bucketed by `key`: later joins on it do not move its rows.
 
     `drop_stored` removes what a session has stored.
     """
@@ -43,7 +43,7 @@ def stored(df: DataFrame, key: str) -> DataFrame:
         .bucketBy(buckets, key)
         .saveAsTable(name)
     )
-    return spark.table(name)
+    return name
 
 
 def drop_stored(spark: SparkSession) -> None:

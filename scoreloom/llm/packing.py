@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 
 from scoreloom.llm.common import id_and_text, stored
 
-CHUNK = 16 << 20
+CHUNK = 8 << 20
 COLUMNS = "chunk long, ids binary, no_id binary, lengths binary, piece_lengths binary, pieces binary, codes binary, n_pieces long, n_distinct long"
 _NAMES = [part.split()[0] for part in COLUMNS.split(", ")]
 
@@ -97,4 +97,4 @@ def packed(
         if ids:
             yield _closed(number, ids, lengths, codes, distinct)
 
-    return stored(id_and_text(docs, id_col, text_col).mapInArrow(work, COLUMNS), "chunk")
+    return docs.sparkSession.table(stored(id_and_text(docs, id_col, text_col).mapInArrow(work, COLUMNS), "chunk"))

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scoreloom.llm import bpe, mixing, quality, repeats, sharding, simhash, toxicity
+from scoreloom.llm import bpe, mixing, quality, repeats, sharding, simhash, tokenstore, toxicity
 
 # Target weights of languages; domains and sources weigh 1 each.
 WEIGHTS = {"en": 4.0, "de": 2.0, "fr": 2.0, "es": 1.0}
@@ -47,6 +47,15 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's ids, written to a store and read back through its index."""
+    docs = _table(spark, sf_dir, "documents")
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as file:
+        store = tokenstore.write_store(docs, file.read(), vocabulary=49_408, end_id=2)
+    found = tokenstore.read_ids(spark, store, docs.select("doc_id"))
+    return found.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 16 shards of nearly equal bytes."""
     found = sharding.shard_by_bytes(_table(spark, sf_dir, "documents"))
@@ -138,6 +147,7 @@ QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_byte_bpe": op2_byte_bpe,
     "op3_toxicity": op3_toxicity,
+    "op5_token_store": op5_token_store,
     "op6_sharding": op6_sharding,
     "op7_simhash": op7_simhash,
     "op9_mixing": op9_mixing,
