@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scoreloom.llm import bpe, mixing, quality, repeats, sharding, simhash, tokenstore, toxicity
+from scoreloom.llm import bpe, covertree, mixing, quality, repeats, sharding, simhash, tokenstore, toxicity
 
 # Target weights of languages; domains and sources weigh 1 each.
 WEIGHTS = {"en": 4.0, "de": 2.0, "fr": 2.0, "es": 1.0}
@@ -47,6 +47,11 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and component of every vector at a cosine of 0.98 or more."""
+    return covertree.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's ids, written to a store and read back through its index."""
     docs = _table(spark, sf_dir, "documents")
@@ -147,6 +152,7 @@ QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_byte_bpe": op2_byte_bpe,
     "op3_toxicity": op3_toxicity,
+    "op4_embedding_dedup": op4_embedding_dedup,
     "op5_token_store": op5_token_store,
     "op6_sharding": op6_sharding,
     "op7_simhash": op7_simhash,
