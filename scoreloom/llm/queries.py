@@ -6,11 +6,20 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scoreloom.llm import bpe, covertree, mixing, quality, repeats, sharding, simhash, tokenstore, toxicity
+from scoreloom.llm import bpe, covertree, linkgraph, mixing, quality, repeats, sharding, simhash, tokenstore, toxicity
 
 # Target weights of languages; domains and sources weigh 1 each.
 WEIGHTS = {"en": 4.0, "de": 2.0, "fr": 2.0, "es": 1.0}
 
+# Fixed values of the contract: host, path prefix, verdict.
+RULES = [
+    ("org", "/", "allow"),
+    ("example.org", "/es/", "block"),
+    ("example.org", "/en/1", "block"),
+    ("com", "/fr/", "allow"),
+    ("com", "/de/", "block"),
+]
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -85,6 +94,12 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rule and verdict for every page."""
+    judged = linkgraph.judge_pages(_table(spark, sf_dir, "pages"), RULES)
+    return judged.drop("trust", "distrust")
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which documents are taken how often, so that languages and sources meet their weights."""
     return mixing.select_mix(_table(spark, sf_dir, "documents"), WEIGHTS)
@@ -148,6 +163,52 @@ UNION ALL
 SELECT doc_id, domain, lang, source, n_tokens, CAST(epochs AS INT), leaf_budget FROM placed WHERE rest > 0 AND upto <= rest
 """
 
+def _url_sql() -> str:
+    fits = lambda h, p: f"(host = '{h}' OR suffix(host, '.{h}')) AND starts_with(path, '{p}')"
+    longest = sorted(RULES, key=lambda r: -len(r[0] + r[1]))
+    rule = " ".join(f"WHEN {fits(h, p)} THEN '{h}{p}'" for h, p, _ in longest)
+    said = " ".join(f"WHEN {fits(h, p)} THEN '{v}'" for h, p, v in longest)
+    host = lambda rest: (
+        f"coalesce(translate(regexp_extract({rest}, '^([^/?#]*)', 1), '{linkgraph.UPPER}', '{linkgraph.LOWER}'), '')"
+    )
+    link = linkgraph.LINK.replace("'", "''")
+    d = linkgraph.DAMPING
+    walks = []
+    for name, seed, source, target in (("trust", "allow", "source", "target"), ("distrust", "block", "target", "source")):
+        walks.append(f"""
+    {name}_seed AS (
+        SELECT host, count(*) FILTER (said = '{seed}') / CAST(count(*) AS DOUBLE) AS mass
+        FROM judged GROUP BY host HAVING mass > 0),
+    {name}_part AS (
+        SELECT {source} AS s, {target} AS t, links / sum(links) OVER (PARTITION BY {source}) AS part FROM links),
+    {name}_0 AS (SELECT * FROM {name}_seed)""")
+        for k in range(linkgraph.ROUNDS):
+            walks.append(f"""
+    {name}_{k + 1} AS (
+        SELECT host, sum(mass) AS mass FROM (
+            SELECT host, mass FROM {name}_seed UNION ALL
+            SELECT t, mass * part * {d} FROM {name}_{k} JOIN {name}_part ON host = s) GROUP BY host)""")
+    return f"""
+WITH rests AS (
+    SELECT page_id, html, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) END AS rest FROM pages),
+placed AS (
+    SELECT page_id, html, {host("rest")} AS host, coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path FROM rests),
+judged AS (
+    SELECT page_id, host, path, CASE {rule} END AS rule, CASE {said} END AS said FROM placed),
+found AS (
+    SELECT host AS source, unnest(regexp_extract_all(html, '{link}', 1)) AS link FROM placed),
+links AS (
+    SELECT source, target, count(*) AS links FROM (
+        SELECT source, {host("substr(link, instr(link, '://') + 3)")} AS target FROM found)
+    WHERE source <> target AND source <> '' AND target <> '' GROUP BY ALL),
+{",".join(walks)}
+SELECT page_id, j.host, path, rule, coalesce(said, CASE
+    WHEN round(coalesce(b.mass, 0) - coalesce(a.mass, 0), {linkgraph.DIGITS}) > {linkgraph.LIMIT}
+    THEN 'block' ELSE 'allow' END) AS verdict
+FROM judged j LEFT JOIN trust_{linkgraph.ROUNDS} a ON a.host = j.host LEFT JOIN distrust_{linkgraph.ROUNDS} b ON b.host = j.host
+"""
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_byte_bpe": op2_byte_bpe,
@@ -156,8 +217,9 @@ QUERIES = {
     "op5_token_store": op5_token_store,
     "op6_sharding": op6_sharding,
     "op7_simhash": op7_simhash,
+    "op8_url_filters": op8_url_filters,
     "op9_mixing": op9_mixing,
     "op10_substring_dedup": op10_substring_dedup,
 }
 
-SQL = {"op9_mixing": MIX_SQL}
+SQL = {"op8_url_filters": _url_sql(), "op9_mixing": MIX_SQL}
