@@ -209,6 +209,43 @@ FROM judged j LEFT JOIN trust_{linkgraph.ROUNDS} a ON a.host = j.host LEFT JOIN
 """
 
 
+EMBEDDING_SQL = """
+WITH RECURSIVE sound AS (
+    SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+    WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0
+        AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+        AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (
+    SELECT a.vec_id AS a, b.vec_id AS b FROM sound a JOIN sound b
+        ON a.label = b.label AND len(a.e) = len(b.e) AND a.vec_id <> b.vec_id
+    WHERE list_cosine_similarity(a.e, b.e) >= 0.98),
+reach AS (SELECT a, b FROM links UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a),
+found AS (
+    SELECT vec_id,
+        (SELECT count(*) FROM links WHERE a = vec_id) AS n_links,
+        least(vec_id, coalesce((SELECT min(b) FROM reach WHERE a = vec_id), vec_id)) AS component_id
+    FROM embeddings)
+SELECT vec_id, n_links, component_id, vec_id = component_id AS kept FROM found
+"""
+
+REPEATS_SQL = """
+WITH d AS (
+    SELECT doc_id, coalesce(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+'), []) AS words FROM documents),
+windows AS (
+    SELECT doc_id, k, sha256(array_to_string(words[k:k + 12], ' ')) AS w
+    FROM (SELECT doc_id, words, unnest(range(1, len(words) - 11)) AS k FROM d)),
+firsts AS (SELECT w, min(doc_id) AS doc_id FROM windows GROUP BY w),
+gone AS (
+    SELECT DISTINCT doc_id, unnest(range(k, k + 13)) AS k
+    FROM (SELECT a.doc_id, a.k FROM windows a JOIN firsts b ON a.w = b.w AND a.doc_id > b.doc_id)),
+left_over AS (
+    SELECT doc_id, string_agg(word, ' ' ORDER BY k) AS kept, count(*) AS n
+    FROM (SELECT doc_id, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS k FROM d) ANTI JOIN gone USING (doc_id, k)
+    GROUP BY doc_id)
+SELECT doc_id, len(words) AS n_words, len(words) - coalesce(n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN left_over USING (doc_id)
+"""
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_byte_bpe": op2_byte_bpe,
@@ -222,4 +259,9 @@ QUERIES = {
     "op10_substring_dedup": op10_substring_dedup,
 }
 
-SQL = {"op8_url_filters": _url_sql(), "op9_mixing": MIX_SQL}
+SQL = {
+    "op4_embedding_dedup": EMBEDDING_SQL,
+    "op8_url_filters": _url_sql(),
+    "op9_mixing": MIX_SQL,
+    "op10_substring_dedup": REPEATS_SQL,
+}
