@@ -31,13 +31,13 @@ BLOCK = 8 << 20
 KEYS = 1 << 16
 GAMMA = 2.0
 LEVELS = 32
-# Words a worker remembers the ids of.
-MEMO = 400_000
+# Word cores a worker remembers the ids of.
+MEMO = 600_000
 TAIL = ".,!?;:"
 
 
 class _Encoder:
-    """Ids of texts by a tokenizer whose tokens never span white space; words are remembered."""
+    """Ids of texts by a tokenizer whose tokens never span white space; cores of words are remembered."""
 
     def __init__(self, json: str, width: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -45,35 +45,40 @@ class _Encoder:
 
         self.tokenizer = Tokenizer.from_str(json)
         self.kind = f"<u{width}"
-        self.memo: dict[bytes, bytes] = {}
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def _ids_of(self, pieces: set[str]) -> dict[str, bytes]:
+        """Ids of word cores and marks; what was not used for long is forgotten."""
+        known, new = {}, []
+        for piece in pieces:
+            ids = self.young.get(piece)
+            if ids is None:
+                ids = self.old.get(piece)
+                if ids is None:
+                    new.append(piece)
+                    continue
+                self.young[piece] = ids
+            known[piece] = ids
+        for piece, found in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
+            known[piece] = self.young[piece] = np.array(found.ids, self.kind).tobytes()
+        if len(self.young) > MEMO // 2:
+            self.young, self.old = {}, self.young
+        return known
 
-    def _learn(self, words: set[bytes]) -> None:
-        """Remember new words: by their lower-case core and closing marks where that is the same."""
-        parts: dict[bytes, tuple[str, ...]] = {}
-        asked: dict[str, bytes | None] = {}
-        for word in words:
+    def encode(self, texts: list[bytes | None]) -> list[bytes]:
+        rows = [(t or b"").split() for t in texts]
+        cores: dict[bytes, tuple[str, str]] = {}
+        for word in set().union(*rows):
             text = word.decode("utf-8", "replace")
             if text.isascii() and "<|" not in text:
                 text = text.lower()
+            # Closing marks after a letter are tokens of their own.
             core = text.rstrip(TAIL)
-            pieces = (core, text[len(core) :]) if core and core != text and core[-1].isalpha() else (text,)
-            parts[word] = pieces
-            for piece in pieces:
-                known = self.memo.get(piece.encode())
-                asked.setdefault(piece, known)
-        new = [piece for piece, ids in asked.items() if ids is None]
-        for piece, found in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            asked[piece] = self.memo[piece.encode()] = np.array(found.ids, self.kind).tobytes()
-        for word, pieces in parts.items():
-            self.memo[word] = b"".join(map(asked.__getitem__, pieces))
-
-    def encode(self, texts: list[bytes | None]) -> list[bytes]:
-        rows = [(t or b"").split() for t in texts]
-        words = set().union(*rows)
-        if len(self.memo) + len(words) > MEMO:
-            self.memo = {w: self.memo[w] for w in words & self.memo.keys()}
-        self._learn(words - self.memo.keys())
-        return [b"".join(map(self.memo.__getitem__, row)) for row in rows]
+            cores[word] = (core, text[len(core) :]) if core != text and core[-1:].isalpha() else (text, "")
+        known = self._ids_of({piece for pair in cores.values() for piece in pair})
+        ids = {word: known[core] + known[tail] for word, (core, tail) in cores.items()}
+        return [b"".join(map(ids.__getitem__, row)) for row in rows]
 
 
 _encoders: dict[int, _Encoder] = {}
