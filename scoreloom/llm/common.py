@@ -79,6 +79,14 @@ def rolling(values: np.ndarray, width: int, multiplier: int) -> np.ndarray:
     return total
 
 
+def mixed(keys: np.ndarray, seed: int) -> np.ndarray:
+    """A well-spread bijection of 64-bit numbers, one for each seed."""
+    x = keys ^ np.uint64((seed * 0x9FB21C651E98DF25 + 0x5851F42D4C957F2D) & (1 << 64) - 1)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
 def spans(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """First positions of consecutive pieces, and the piece of every position."""
     starts = np.cumsum(lengths) - lengths

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from scoreloom.llm.common import GOLDEN, settled
+from scoreloom.llm.common import mixed, settled
 from scoreloom.llm.components import connected_components
 
 THRESHOLD = 0.98
@@ -98,9 +98,8 @@ def _assign(batches):
             centre[rows] = [c[k].tobytes() for k in at]
             if len(c) == 1:
                 parts = int(min(FAN, max(2, -(-2 * frame["size"].iloc[rows[0]] // LEAF))))
-                mark = np.uint64(int(frame["node"].iloc[rows[0]]) * 0x632BE59BD9B4E019 % (1 << 64))
                 ids = frame["id"].to_numpy(np.int64)[rows].view(np.uint64)
-                at = ((((ids ^ mark) * GOLDEN) >> np.uint64(33)) % np.uint64(parts)).astype(np.int64)
+                at = (mixed(ids, int(frame["node"].iloc[rows[0]])) % np.uint64(parts)).astype(np.int64)
             child[rows] = at
         yield pa.RecordBatch.from_pandas(
             pd.DataFrame(

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from scoreloom.llm.common import GOLDEN, id_and_text, stored
+from scoreloom.llm.common import GOLDEN, id_and_text, mixed, stored
 
 BLOCK = 8 << 20
 KEYS = 1 << 16
@@ -93,20 +93,13 @@ def _encoder(json: str, width: int) -> _Encoder:
     return _encoders[key]
 
 
-def _mixed(keys: np.ndarray, seed: int) -> np.ndarray:
-    x = keys ^ np.uint64((seed * 0x9FB21C651E98DF25 + 0x5851F42D4C957F2D) & (1 << 64) - 1)
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
 def _keys(ids: np.ndarray, turns: np.ndarray) -> np.ndarray:
     """One 64-bit number for an id and which of its rows is meant (negative: rows without id)."""
-    return _mixed(ids.view(np.uint64), 1) ^ (turns.astype(np.int64).view(np.uint64) * GOLDEN)
+    return mixed(ids.view(np.uint64), 1) ^ (turns.astype(np.int64).view(np.uint64) * GOLDEN)
 
 
 def _bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
-    return ((_mixed(keys, 2) >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+    return ((mixed(keys, 2) >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
 
 
 class PerfectHash:
@@ -123,7 +116,7 @@ class PerfectHash:
             if level == LEVELS:
                 raise ValueError("two documents have the same 64-bit key")
             size = max(64, int(GAMMA * len(left)))
-            at = (_mixed(left, 16 + level) % np.uint64(size)).astype(np.int64)
+            at = (mixed(left, 16 + level) % np.uint64(size)).astype(np.int64)
             alone = np.bincount(at, minlength=size) == 1
             sizes.append(size)
             arrays.append(alone)
@@ -136,7 +129,7 @@ class PerfectHash:
         out = np.full(len(keys), -1, np.int64)
         start, left = 0, np.arange(len(keys))
         for level, size in enumerate(self.sizes.tolist()):
-            at = start + (_mixed(keys[left], 16 + level) % np.uint64(size)).astype(np.int64)
+            at = start + (mixed(keys[left], 16 + level) % np.uint64(size)).astype(np.int64)
             hit = self.bits[at] == 1
             out[left[hit]] = self.before[at[hit]]
             left, start = left[~hit], start + size
@@ -236,7 +229,7 @@ def _build(group: pd.DataFrame) -> pd.DataFrame:
             "bucket": [group["bucket"].iloc[0]],
             "sizes": [function.sizes.tobytes()],
             "bits": [np.packbits(function.bits.astype(bool)).tobytes()],
-            "prints": [_mixed(keys[order], 3).astype(np.uint32).tobytes()],
+            "prints": [mixed(keys[order], 3).astype(np.uint32).tobytes()],
             "blocks": [by_slot["block"]],
             "places": [by_slot["place"]],
             "lengths": [by_slot["n"]],
@@ -310,7 +303,7 @@ def _find(asked: pd.DataFrame, index: pd.DataFrame) -> pd.DataFrame:
     slots = PerfectHash(sizes, bits).slots(keys)
     prints = np.frombuffer(row["prints"], np.uint32)
     there = slots >= 0
-    there[there] = prints[slots[there]] == _mixed(keys[there], 3).astype(np.uint32)
+    there[there] = prints[slots[there]] == mixed(keys[there], 3).astype(np.uint32)
     slots = slots[there]
     column = lambda c: np.frombuffer(row[c], np.int64)[slots]
     return pd.DataFrame(
