@@ -15,6 +15,7 @@ The store is two tables in the shared folder.
 from __future__ import annotations
 
 import os
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -31,9 +32,9 @@ BLOCK = 8 << 20
 KEYS = 1 << 16
 GAMMA = 2.0
 LEVELS = 32
-# Word cores a worker remembers the ids of.
-MEMO = 600_000
-TAIL = ".,!?;:"
+# Words, and cores of words, that a worker remembers the ids of.
+MEMO = 500_000
+TAIL = b".,!?;:"
 
 
 class _Encoder:
@@ -44,11 +45,12 @@ class _Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(json)
-        self.kind = f"<u{width}"
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.kind = "H" if width == 2 else "I"
+        self.words: dict[bytes, bytes] = {}
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
 
-    def _ids_of(self, pieces: set[str]) -> dict[str, bytes]:
+    def _ids_of(self, pieces: set[bytes]) -> dict[bytes, bytes]:
         """Ids of word cores and marks; what was not used for long is forgotten."""
         known, new = {}, []
         for piece in pieces:
@@ -60,25 +62,35 @@ class _Encoder:
                     continue
                 self.young[piece] = ids
             known[piece] = ids
-        for piece, found in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            known[piece] = self.young[piece] = np.array(found.ids, self.kind).tobytes()
+        texts = [piece.decode("utf-8", "replace") for piece in new]
+        for piece, found in zip(new, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
+            known[piece] = self.young[piece] = array(self.kind, found.ids).tobytes()
         if len(self.young) > MEMO // 2:
             self.young, self.old = {}, self.young
         return known
 
-    def encode(self, texts: list[bytes | None]) -> list[bytes]:
-        rows = [(t or b"").split() for t in texts]
-        cores: dict[bytes, tuple[str, str]] = {}
-        for word in set().union(*rows):
-            text = word.decode("utf-8", "replace")
-            if text.isascii() and "<|" not in text:
-                text = text.lower()
-            # Closing marks after a letter are tokens of their own.
+    def _learn(self, words: set[bytes]) -> None:
+        """Remember new words, by their core in lower case and the closing marks after a letter."""
+        cores: dict[bytes, tuple[bytes, bytes]] = {}
+        for word in words:
+            text = word.lower() if word.isascii() and b"<|" not in word else word
             core = text.rstrip(TAIL)
-            cores[word] = (core, text[len(core) :]) if core != text and core[-1:].isalpha() else (text, "")
+            if core != text and core.decode("utf-8", "replace")[-1:].isalpha():
+                cores[word] = (core, text[len(core) :])
+            else:
+                cores[word] = (text, b"")
         known = self._ids_of({piece for pair in cores.values() for piece in pair})
-        ids = {word: known[core] + known[tail] for word, (core, tail) in cores.items()}
-        return [b"".join(map(ids.__getitem__, row)) for row in rows]
+        self.words.update((word, known[core] + known[tail]) for word, (core, tail) in cores.items())
+
+    def encode(self, texts: list[bytes | None]) -> list[bytes]:
+        rows = [(t or b"").split() for t in texts]
+        words = set().union(*rows)
+        self._learn(words - self.words.keys())
+        ids = self.words.__getitem__
+        out = [b"".join(map(ids, row)) for row in rows]
+        if len(self.words) > MEMO:
+            self.words = {word: self.words[word] for word in words}
+        return out
 
 
 _encoders: dict[int, _Encoder] = {}
