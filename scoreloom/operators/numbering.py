@@ -4,84 +4,41 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-# Ranges a table is cut into (a power of two), and keys sampled to place the cuts.
-RANGES = 1024
-SAMPLE = 32 * RANGES
-SALTS = 64
-# Tables counted and found to have at most this many rows are numbered by a plain window.
-INLINE_ROWS = 1_000_000
-
-
-def _cut_points(df: DataFrame, key: Column, ranges: int, sample: int) -> Column:
-    """Sorted keys that cut the table into about equal ranges, as a scalar subquery.
-
-    The sample is chosen by hash, so any recomputation finds the same cuts.
-    """
-    scale = 1 << 30
-    share = df.agg(F.lit(float(sample)) / F.greatest(F.count("*"), F.lit(1)) * scale).scalar()
-    picked = df.select(key.alias("_key")).where(F.pmod(F.xxhash64("_key"), F.lit(scale)) < share)
-    ordered = picked.agg(F.sort_array(F.collect_list("_key")).alias("k"))
-    size = F.array_size("k")
-    cuts = F.transform(
-        F.sequence(F.lit(1), F.lit(ranges - 1)),
-        lambda i: F.get(F.col("k"), F.floor(i * size / ranges).cast("int")),
-    )
-    return ordered.where(size > 0).select(cuts).scalar()
+from scoreloom.session import settle
 
-
-def _range_of(key: Column, cuts: Column, ranges: int) -> Column:
-    """Number of cut points at or below key, by binary search."""
-    steps = F.array(*(F.lit(1 << bit) for bit in reversed(range(ranges.bit_length() - 1))))
-    found = F.aggregate(
-        steps,
-        F.lit(0),
-        lambda found, step: F.when(
-            F.get(cuts, found + step - 1) <= key, found + step
-        ).otherwise(found),
-    )
-    return F.coalesce(found, F.lit(0))
+SALTS = 64
 
 
-def number_rows(
-    df: DataFrame,
-    by: Sequence[str],
-    order: Sequence[str],
-    name: str = "n",
-    ranges: int = RANGES,
-    sample: int = SAMPLE,
-    inline_rows: int = INLINE_ROWS,
-) -> DataFrame:
+def number_rows(df: DataFrame, by: Sequence[str], order: Sequence[str], name: str = "n") -> DataFrame:
     """Append 1, 2, 3, ... within each group of `by`, in ascending `order` (must be unique).
 
-    Rows are cut into key ranges, numbered inside their range, and shifted by the
-    size of the earlier ranges of the group; a hot group is spread over many tasks.
+    Rows are exchanged once, by ranges of group and order, and kept in the shared folder in that
+    order; a hot group fills many partitions. A row's number is its place in its partition,
+    shifted by what earlier partitions hold of the group: one small row per partition and group.
     """
-    if df.count() <= inline_rows:
-        number = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
-        return df.withColumn(name, number.cast("long"))
-    key = F.struct(*by, *order)
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     group = F.struct(*by) if by else F.lit(0)
-    cuts = _cut_points(df, key, ranges, sample)
-    # Used once below, so the optimizer folds the cut points into the search.
-    placed = (
-        df.withColumns({"_group": group, "_cuts": cuts})
-        .withColumn("_range", _range_of(key, F.col("_cuts"), ranges))
-        .drop("_cuts")
+    placed = settle(
+        df.repartitionByRange(parts, *by, *order)
+        .sortWithinPartitions(*by, *order)
+        .withColumn("_at", F.monotonically_increasing_id())
+        .withColumns({"_group": group, "_part": F.shiftright("_at", 33)})
     )
-    earlier = Window.partitionBy("_group").orderBy("_range")
-    sizes = (
-        placed.groupBy("_group", "_range")
-        .agg(F.count("*").alias("_size"))
-        .select("_group", "_range", (F.sum("_size").over(earlier) - F.col("_size")).alias("_skip"))
+    earlier = Window.partitionBy("_group").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = (
+        placed.groupBy("_group", "_part")
+        .agg(F.min("_at").alias("_first"), F.count("*").alias("_size"))
+        .select(
+            "_group",
+            "_part",
+            (F.coalesce(F.sum("_size").over(earlier), F.lit(0)) - F.col("_first") + 1).alias("_shift"),
+        )
     )
-    inside = Window.partitionBy("_group", "_range").orderBy(*order)
-    return (
-        placed.withColumn("_place", F.row_number().over(inside))
-        .join(sizes, ["_group", "_range"])
-        .select(*df.columns, (F.col("_skip") + F.col("_place")).alias(name))
+    return placed.join(shifts, ["_group", "_part"]).select(
+        *df.columns, (F.col("_at") + F.col("_shift")).alias(name)
     )
 
 

@@ -2,12 +2,11 @@
 
 Spark's exact percentile keeps every distinct value of a group in one buffer,
 which a group holding a third of a large table does not fit. Here a first scan
-sketches each group and brackets every wanted rank between two nearby sketch
-quantiles; a second scan counts what lies below the bracket and keeps only the
-values inside it, about 0.1 % of the group. Ranks are then read off exact counts,
-so the sketch decides how much work is left and never the answer.
-
-A table that was counted and found small goes through the built-in in one scan.
+sketches each group on a fixed grid of fractions and brackets every wanted rank
+between two grid values; then what lies below the bracket is counted and only the
+values inside it go on, under one percent of the group. As long as a bracket holds
+too many values it is sketched and narrowed again. Ranks are read off exact
+counts, so the sketch decides how much work is left and never the answer.
 """
 
 from __future__ import annotations
@@ -15,15 +14,18 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from scoreloom.session import settle, small_side
+from scoreloom.session import settle
 
 ACCURACY = 10_000
-# Tables of at most this many rows may keep a whole group's values in one buffer.
-INLINE_ROWS = 1_000_000
-BELOW, INSIDE, ABOVE = -1, 0, 1
+# Fractions 0, 1/GRID, ... 1 that are sketched.
+GRID = 1000
+# In a group of up to this many values a step of the grid is a few ranks: all of it is kept.
+WHOLE = 5_000
+# Values of a group and percentile that one task may put in order.
+KEPT = 500_000
 
 
 @dataclass(frozen=True)
@@ -35,71 +37,38 @@ class Percentile:
     p: float
 
 
-def _sketches(wanted: Sequence[Percentile], accuracy: int) -> list[Column]:
-    """Per column, the two bracket ends of every percentile wanted of it."""
-    slack = 5.0 / accuracy
-    aggregates = []
-    for column in dict.fromkeys(w.column for w in wanted):
-        ends = [
-            f"{end}D"
-            for w in wanted
-            if w.column == column
-            for end in (max(w.p - slack, 0.0), min(w.p + slack, 1.0))
-        ]
-        sketch = f"percentile_approx(`{column}`, array({', '.join(ends)}), {accuracy})"
-        aggregates.append(F.expr(f"{sketch} AS `_ends_{column}`"))
-    return aggregates
-
-
-def _bracketed(wanted: Sequence[Percentile]) -> Column:
-    """One struct per percentile: which zone the row's value falls in."""
-    offers = []
-    for index, w in enumerate(wanted):
-        place = [v.name for v in wanted if v.column == w.column].index(w.name)
-        value, ends = f"`{w.column}`", f"`_ends_{w.column}`"
-        offers.append(
-            f"struct({index} AS want, {value} AS value, "
-            f"CASE WHEN {value} < {ends}[{2 * place}] THEN {BELOW} "
-            f"WHEN {value} <= {ends}[{2 * place + 1}] THEN {INSIDE} ELSE {ABOVE} END AS zone)"
-        )
-    return F.expr(f"inline(array({', '.join(offers)}))")
+def _grid(column: str, accuracy: int) -> str:
+    fractions = ", ".join(f"{i / GRID}D" for i in range(GRID + 1))
+    return f"CAST(percentile_approx({column}, array({fractions}), {accuracy}) AS array<double>)"
 
 
-def _value_at(index: int, rank: str) -> str:
-    """The group's value at a zero-based rank, if it is one the bracket knows."""
+def _bracket(grid: str, n: str, first: str, last: str, accuracy: int) -> tuple[str, str]:
+    """Grid values surely at or below the value of rank `first`, and at or above that of `last`."""
+    margin = -(-GRID // accuracy) + 1
+    low = f"CAST(floor({first} * {GRID}D / greatest({n}, 1)) AS INT) - {margin}"
+    high = f"CAST(ceil(({last} + 1) * {GRID}D / greatest({n}, 1)) AS INT) + {margin}"
+    whole = f"{n} <= {WHOLE}"
     return (
-        f"max(CASE WHEN want = {index} AND before <= {rank} AND {rank} < past THEN "
-        f"CASE WHEN zone = {INSIDE} THEN inside "
-        f"WHEN zone = {BELOW} AND {rank} = past - 1 THEN most "
-        f"WHEN zone = {ABOVE} AND {rank} = before THEN least END END)"
+        f"IF({whole} OR {low} < 0, CAST('-Infinity' AS DOUBLE), get({grid}, {low}))",
+        f"IF({whole} OR {high} > {GRID}, CAST('NaN' AS DOUBLE), get({grid}, {high}))",
     )
 
 
-def _percentile(index: int, wanted: Percentile, interpolate: bool) -> Column:
-    position = f"({wanted.p}D * (n - 1))"
-    low = _value_at(index, f"floor{position}")
-    value = low
-    if interpolate:
-        high = _value_at(index, f"ceil{position}")
-        share = f"max(CASE WHEN want = {index} THEN {position} - floor{position} END)"
-        value = f"{low} + ({high} - {low}) * {share}"
-    # A rank outside its bracket would mean that the sketch broke its error bound.
-    return F.expr(
-        f"CASE WHEN max(want = {index}) AND ({value}) IS NULL "
-        f"THEN raise_error('rank of {wanted.name} is outside its bracket') "
-        f"ELSE {value} END AS `{wanted.name}`"
+def _narrowed(rows: DataFrame, ranks: DataFrame, accuracy: int) -> tuple[DataFrame, DataFrame]:
+    """Sketch what is left inside the brackets once more: fewer rows, and ranks that skip more."""
+    sketched = rows.groupBy("_key").agg(
+        F.count("value").alias("n"), F.expr(f"{_grid('value', accuracy)} AS grid")
     )
-
-
-def _inline(wanted: Percentile, interpolate: bool) -> Column:
-    """The percentile of a group that is known to be small."""
-    if interpolate:
-        return F.expr(f"percentile(`{wanted.column}`, {wanted.p}D) AS `{wanted.name}`")
-    place = f"CAST(floor({wanted.p}D * (count(`{wanted.column}`) - 1)) AS INT)"
-    values = f"sort_array(collect_list(CAST(`{wanted.column}` AS DOUBLE)))"
-    return F.expr(
-        f"CASE WHEN count(`{wanted.column}`) > 0 THEN get({values}, {place}) END AS `{wanted.name}`"
+    low, high = _bracket("grid", "n", "(first - skip)", "(last - skip)", accuracy)
+    ends = settle(
+        sketched.join(ranks, "_key").selectExpr("_key", "first", "last", "skip", f"{low} AS low", f"{high} AS high")
+    )
+    placed = rows.join(ends.select("_key", "low", "high"), "_key")
+    below = placed.where("value < low").groupBy("_key").agg(F.count("*").alias("below"))
+    moved = ends.join(below, "_key", "left").selectExpr(
+        "_key", "first", "last", "skip + coalesce(below, 0) AS skip"
     )
+    return settle(placed.where("value >= low AND value <= high").select("_key", "value")), settle(moved)
 
 
 def exact_percentiles(
@@ -109,7 +78,7 @@ def exact_percentiles(
     extra: Sequence[Column] = (),
     interpolate: bool = True,
     accuracy: int = ACCURACY,
-    inline_rows: int = INLINE_ROWS,
+    kept: int = KEPT,
 ) -> DataFrame:
     """One row per group: keys, the extra aggregates, and every wanted percentile.
 
@@ -117,44 +86,88 @@ def exact_percentiles(
     floor(p * (n - 1)). NULLs are ignored; a group without values gets NULL.
     """
     keys = list(keys)
-    if df.count() <= inline_rows:
-        return df.groupBy(*keys).agg(*extra, *(_inline(w, interpolate) for w in wanted))
-    grouped = df.groupBy(F.struct(*keys).alias("_group") if keys else F.lit(0).alias("_group"))
-    stats = settle(grouped.agg(*extra, *_sketches(wanted, accuracy)))
-    side = small_side(stats)
-
     columns = list(dict.fromkeys(w.column for w in wanted))
-    ends = [f"_ends_{c}" for c in columns]
-    values = df.select(
-        (F.struct(*keys) if keys else F.lit(0)).alias("_group"),
-        *(F.expr(f"CAST(`{c}` AS DOUBLE) AS `{c}`") for c in columns),
+    group = (F.struct(*keys) if keys else F.lit(0)).alias("_group")
+    sketches = [
+        F.expr(e)
+        for c in columns
+        for e in (f"count(`{c}`) AS `_n_{c}`", f"{_grid(f'`{c}`', accuracy)} AS `_grid_{c}`")
+    ]
+    stats = settle(df.groupBy(group).agg(*extra, *sketches))
+
+    ranks, brackets, inside = [], [], []
+    for index, w in enumerate(wanted):
+        n = f"`_n_{w.column}`"
+        position = f"({w.p}D * ({n} - 1))"
+        first, last = f"CAST(floor{position} AS BIGINT)", f"CAST(ceil{position} AS BIGINT)"
+        low, high = _bracket(f"`_grid_{w.column}`", n, first, last, accuracy)
+        brackets += [f"{low} AS `_low_{index}`", f"{high} AS `_high_{index}`"]
+        ranks.append(f"struct({index} AS want, {n} AS n, {first} AS first, {last} AS last)")
+        value = f"CAST(`{w.column}` AS DOUBLE)"
+        inside.append(
+            f"IF({value} >= `_low_{index}` AND {value} <= `_high_{index}`, "
+            f"struct({index} AS want, {value} AS value), NULL)"
+        )
+    ends = settle(stats.selectExpr("_group", *brackets))
+    rows = df.select(group, *columns).join(ends, "_group")
+    counts = settle(
+        rows.groupBy("_group").agg(
+            *(F.expr(f"count_if(CAST(`{w.column}` AS DOUBLE) < `_low_{i}`) AS `_below_{i}`") for i, w in enumerate(wanted)),
+            *(F.expr(f"count({e}) AS `_inside_{i}`") for i, e in enumerate(inside)),
+        )
     )
-    offers = values.join(side.select("_group", *ends), "_group").select(
-        "_group", _bracketed(wanted)
+    # Only values inside a bracket become rows.
+    values = rows.selectExpr("_group", f"inline(array_compact(array({', '.join(inside)})))").selectExpr(
+        "struct(_group, want) AS _key", "value"
     )
-    # Outside the bracket only the count and the value next to the bracket matter.
-    counted = (
-        offers.where("value IS NOT NULL")
-        .groupBy("_group", "want", "zone", F.expr(f"IF(zone = {INSIDE}, value, NULL) AS inside"))
+    below = ", ".join(f"`_below_{i}`" for i in range(len(wanted)))
+    targets = (
+        stats.join(counts, "_group")
+        .selectExpr("_group", f"array({below}) AS below", f"inline(array({', '.join(ranks)}))")
+        .where("n > 0")
+        .selectExpr("struct(_group, want) AS _key", "first", "last", "get(below, want) AS skip")
+    )
+    largest = counts.agg(F.max(F.greatest(F.lit(0), *(f"_inside_{i}" for i in range(len(wanted)))))).first()[0] or 0
+    while largest > kept:
+        values, targets = _narrowed(values, targets, accuracy)
+        left = values.groupBy("_key").count().agg(F.max("count")).first()[0] or 0
+        if left > largest / 2:
+            break  # what is left is one value many times, a single row below
+        largest = left
+
+    counted = values.groupBy("_key", "value").agg(F.count("*").alias("copies"))
+    upto = Window.partitionBy("_key").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+    found = (
+        counted.withColumn("past", F.sum("copies").over(upto))
+        .join(targets, "_key")
+        .groupBy("_key")
         .agg(
-            F.expr("count(*) AS copies"),
-            F.expr("min(value) AS least"),
-            F.expr("max(value) AS most"),
+            F.min(F.when(F.col("past") + F.col("skip") > F.col("first"), F.col("value"))).alias("low"),
+            F.min(F.when(F.col("past") + F.col("skip") > F.col("last"), F.col("value"))).alias("high"),
         )
     )
-    within = "OVER (PARTITION BY _group, want"
-    upto = "ORDER BY zone, inside ROWS UNBOUNDED PRECEDING"
-    ranked = counted.selectExpr(
-        "*", f"sum(copies) {within} {upto}) AS past", f"sum(copies) {within}) AS n"
-    ).selectExpr("*", "past - copies AS before")
-    outputs = [_percentile(index, w, interpolate) for index, w in enumerate(wanted)]
-    percentiles = ranked.groupBy("_group").agg(*outputs)
-
-    extras = [c for c in stats.columns if c not in ends and c != "_group"]
-    names = [F.col("_group")[k].alias(k) for k in keys]
-    return stats.join(percentiles, "_group", "left").select(
-        *names, *extras, *(w.name for w in wanted)
+    by_want = found.groupBy(F.col("_key._group").alias("_group")).agg(
+        *(
+            F.max(F.when(F.col("_key.want") == i, F.struct("low", "high"))).alias(f"_found_{i}")
+            for i in range(len(wanted))
+        )
     )
+    outputs = []
+    for i, w in enumerate(wanted):
+        low, high, n = f"`_found_{i}`.low", f"`_found_{i}`.high", f"`_n_{w.column}`"
+        position = f"({w.p}D * ({n} - 1))"
+        value = f"{low} + ({high} - {low}) * ({position} - floor{position})" if interpolate else low
+        # A rank outside its bracket would mean that the sketch broke its error bound.
+        outputs.append(
+            F.expr(
+                f"CASE WHEN {n} > 0 AND ({value}) IS NULL "
+                f"THEN raise_error('rank of {w.name} is outside its bracket') ELSE {value} END AS `{w.name}`"
+            )
+        )
+    hidden = {"_group", *(f"_n_{c}" for c in columns), *(f"_grid_{c}" for c in columns)}
+    extras = [c for c in stats.columns if c not in hidden]
+    names = [F.col("_group")[k].alias(k) for k in keys]
+    return stats.join(by_want, "_group", "left").select(*names, *extras, *outputs)
 
 
 def approximate_percentiles(

@@ -77,11 +77,10 @@ def length_buckets(
     suite: str,
     job_id: str,
     length: str | None = None,
-    **ranges: int,
 ) -> DataFrame:
     """Assign batch numbers per suite: in arrival order, or by prompt length to even batches."""
     order = [job_id] if length is None else [length, job_id]
-    numbered = number_rows(jobs, [suite], order, "_place", **ranges)
+    numbered = number_rows(jobs, [suite], order, "_place")
     batch = F.floor((F.col("_place") - 1) / batch_size).cast("long")
     return numbered.withColumn("batch_id", batch).drop("_place")
 

@@ -292,9 +292,9 @@ def limit_per_source(jobs: DataFrame, suite: str, job_id: str, n: int = 500) ->
     return first_per_group(jobs, [suite], [job_id], n)
 
 
-def sample_sequence(results: DataFrame, order: Sequence[str], **ranges: int) -> DataFrame:
+def sample_sequence(results: DataFrame, order: Sequence[str]) -> DataFrame:
     """Running number within policy and suite, and the id made of it."""
-    numbered = number_rows(results, PAIR, order, "sample_number", **ranges)
+    numbered = number_rows(results, PAIR, order, "sample_number")
     number = F.col("sample_number").cast("string")
     padded = F.when(F.col("sample_number") < 10000, F.lpad(number, 4, "0")).otherwise(number)
     return numbered.withColumn(

@@ -28,7 +28,7 @@ def skewed(seed=7):
 
 
 @pytest.mark.parametrize("interpolate", [True, False])
-@pytest.mark.parametrize("options", [{}, {"inline_rows": 0}, {"inline_rows": 0, "accuracy": 100}])
+@pytest.mark.parametrize("options", [{}, {"kept": 10}, {"kept": 10, "accuracy": 100}])
 def test_percentiles_are_exact(spark, interpolate, options):
     groups, rows = skewed()
     df = spark.createDataFrame(rows, "g string, v double").repartition(7)
@@ -46,7 +46,7 @@ def test_percentiles_are_exact(spark, interpolate, options):
 
 def test_large_path_shuffles_only_partial_counts(spark, sf_dir):
     wanted = [Percentile("p95", "throughput", 0.95)]
-    found = exact_percentiles(results(spark, sf_dir), ["policy_name"], wanted, inline_rows=0)
+    found = exact_percentiles(results(spark, sf_dir), ["policy_name"], wanted)
     plan = found._jdf.queryExecution().executedPlan().toString()
     scan = plan[: plan.index("FileScan")].splitlines()
     # From the scan up: broadcast join, explode, partial count, and only then an exchange.
@@ -57,8 +57,8 @@ def test_large_path_shuffles_only_partial_counts(spark, sf_dir):
 
 def test_percentiles_without_keys_and_with_null_keys(spark):
     df = spark.createDataFrame([(None, float(i)) for i in range(101)], "g string, v double")
-    assert exact_percentiles(df, [], WANTED, inline_rows=0).first()["p95"] == 95.0
-    row = exact_percentiles(df, ["g"], WANTED, inline_rows=0).first()
+    assert exact_percentiles(df, [], WANTED).first()["p95"] == 95.0
+    row = exact_percentiles(df, ["g"], WANTED).first()
     assert row["g"] is None and row["p50"] == 50.0
 
 
@@ -68,28 +68,22 @@ def test_numbering_matches_a_window_on_a_hot_group(spark):
     df = spark.createDataFrame(rows, "g string, k int, id long")
     plain = F.row_number().over(Window.partitionBy("g").orderBy("k", "id"))
     expected = {r["id"]: r["m"] for r in df.select("id", plain.alias("m")).collect()}
-    for options in ({}, {"inline_rows": 0}, {"inline_rows": 0, "ranges": 16, "sample": 200}):
-        numbered = number_rows(df, ["g"], ["k", "id"], **options).collect()
-        assert {r["id"]: r["n"] for r in numbered} == expected
+    numbered = number_rows(df, ["g"], ["k", "id"]).collect()
+    assert {r["id"]: r["n"] for r in numbered} == expected
 
 
 def test_numbering_without_groups_and_empty(spark):
     df = spark.range(100)
-    numbered = number_rows(df, [], ["id"], inline_rows=0).orderBy("id").collect()
+    numbered = number_rows(df, [], ["id"]).orderBy("id").collect()
     assert [r["n"] for r in numbered] == list(range(1, 101))
-    assert number_rows(df.where("id < 0"), [], ["id"], inline_rows=0).count() == 0
+    assert number_rows(df.where("id < 0"), [], ["id"]).count() == 0
 
 
 def test_numbering_spreads_a_hot_group(spark):
     df = spark.range(5000).withColumn("g", F.lit("all"))
-    key = F.struct("g", "id")
-    from scoreloom.operators.numbering import _cut_points, _range_of
-
-    placed = df.withColumn("cuts", _cut_points(df, key, 16, 512)).withColumn(
-        "r", _range_of(key, F.col("cuts"), 16)
-    )
-    sizes = [r["count"] for r in placed.groupBy("r").count().collect()]
-    assert len(sizes) == 16 and max(sizes) < 3 * 5000 / 16
+    numbered = number_rows(df, ["g"], ["id"]).withColumn("part", F.spark_partition_id())
+    sizes = [r["count"] for r in numbered.groupBy("part").count().collect()]
+    assert len(sizes) == 4 and max(sizes) < 2 * 5000 / 4
 
 
 def test_first_per_group(spark):
