@@ -15,6 +15,7 @@ The store is two tables in the shared folder.
 from __future__ import annotations
 
 import os
+import re
 from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -32,13 +33,14 @@ BLOCK = 8 << 20
 KEYS = 1 << 16
 GAMMA = 2.0
 LEVELS = 32
-# Words, and cores of words, that a worker remembers the ids of.
-MEMO = 500_000
-TAIL = b".,!?;:"
+# Words that a worker remembers the ids of.
+MEMO = 600_000
+TAIL = ".,!?;:"
+PLAIN = re.compile("[a-z\xdf-\xf6\xf8-\xff]+").fullmatch
 
 
 class _Encoder:
-    """Ids of texts by a tokenizer whose tokens never span white space; cores of words are remembered."""
+    """Ids of texts by a tokenizer whose tokens never span white space; words are remembered."""
 
     def __init__(self, json: str, width: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -46,41 +48,37 @@ class _Encoder:
 
         self.tokenizer = Tokenizer.from_str(json)
         self.kind = "H" if width == 2 else "I"
+        self.tokenize = self.tokenizer.model.tokenize
+        # The model's spelling of letters beyond ASCII: one visible character for each of its bytes.
+        self.spelled = {
+            ord(c): self.tokenizer.pre_tokenizer.pre_tokenize_str(c)[0][0] for c in map(chr, range(0xDF, 0x100)) if c != "\xf7"
+        }
         self.words: dict[bytes, bytes] = {}
-        self.young: dict[bytes, bytes] = {}
-        self.old: dict[bytes, bytes] = {}
-
-    def _ids_of(self, pieces: set[bytes]) -> dict[bytes, bytes]:
-        """Ids of word cores and marks; what was not used for long is forgotten."""
-        known, new = {}, []
-        for piece in pieces:
-            ids = self.young.get(piece)
-            if ids is None:
-                ids = self.old.get(piece)
-                if ids is None:
-                    new.append(piece)
-                    continue
-                self.young[piece] = ids
-            known[piece] = ids
-        texts = [piece.decode("utf-8", "replace") for piece in new]
-        for piece, found in zip(new, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
-            known[piece] = self.young[piece] = array(self.kind, found.ids).tobytes()
-        if len(self.young) > MEMO // 2:
-            self.young, self.old = {}, self.young
-        return known
+        self.tails: dict[str, list[int]] = {"": []}
+
+    def _tail(self, marks: str) -> list[int]:
+        if marks not in self.tails:
+            self.tails[marks] = self.tokenizer.encode(marks, add_special_tokens=False).ids
+        return self.tails[marks]
 
     def _learn(self, words: set[bytes]) -> None:
-        """Remember new words, by their core in lower case and the closing marks after a letter."""
-        cores: dict[bytes, tuple[bytes, bytes]] = {}
+        """Remember the ids of new words."""
+        rest = []
         for word in words:
-            text = word.lower() if word.isascii() and b"<|" not in word else word
-            core = text.rstrip(TAIL)
-            if core != text and core.decode("utf-8", "replace")[-1:].isalpha():
-                cores[word] = (core, text[len(core) :])
+            text = word.decode("utf-8", "replace")
+            low = text.lower()
+            core = low.rstrip(TAIL)
+            # Small Latin letters are one pre-token that no normaliser changes, marks after them another.
+            if PLAIN(core):
+                found = [token.id for token in self.tokenize(core.translate(self.spelled))]
+                if core != low:
+                    found += self._tail(low[len(core) :])
+                self.words[word] = array(self.kind, found).tobytes()
             else:
-                cores[word] = (text, b"")
-        known = self._ids_of({piece for pair in cores.values() for piece in pair})
-        self.words.update((word, known[core] + known[tail]) for word, (core, tail) in cores.items())
+                rest.append((word, text))
+        texts = [text for _, text in rest]
+        for (word, _), found in zip(rest, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
+            self.words[word] = array(self.kind, found.ids).tobytes()
 
     def encode(self, texts: list[bytes | None]) -> list[bytes]:
         rows = [(t or b"").split() for t in texts]

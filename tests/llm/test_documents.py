@@ -175,6 +175,8 @@ def test_special_strings_and_marks_encode_like_the_library():
     path = public_tokenizers.path("word_bpe_49k.json")
     own = Tokenizer.from_file(path)
     texts = ["A <|endoftext|>b <|ENDOFTEXT|> İstanbul, ΣΑΣ. it's... «x»! 'S 12,5. é\u0301, ﬁn;", "a\x1cb \x85 c\u2003d.", "x,,y.,"]
+    texts += ["straße ñandú, ÿþæ ß. ÷ µm ªº éa\u0301e naïve×3 ÀÉÎÕÜ soldier's can't"]
+    texts += [" ".join(chr(c) + "a" + chr(c + 1) for c in range(0x80, 0x250))]
     got = tokenstore._Encoder(open(path).read(), 2).encode([t.encode() for t in texts])
     assert [np.frombuffer(g, "<u2").tolist() for g in got] == [own.encode(t, add_special_tokens=False).ids for t in texts]
 
