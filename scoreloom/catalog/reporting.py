@@ -74,13 +74,7 @@ def valid_rows(spark, sf_dir):
     """Failed samples carry no policy, as in a table written without typed failures."""
     rows = results(spark, sf_dir)
     blank = rows.withColumn("policy_name", F.when(F.col("error").isNull(), F.col("policy_name")))
-    total = blank.agg(F.count("*").alias("n"), F.lit("total").alias("kind"))
-    valid = filters.valid_rows(blank).agg(F.count("*").alias("n"), F.lit("valid").alias("kind"))
-    both = total.unionByName(valid)
-    return both.agg(
-        F.max(F.when(F.col("kind") == "total", F.col("n"))).alias("total"),
-        F.max(F.when(F.col("kind") == "valid", F.col("n"))).alias("valid"),
-    )
+    return blank.agg(F.count("*").alias("total"), F.count_if(filters.is_valid()).alias("valid"))
 
 
 @query(
@@ -93,16 +87,10 @@ def valid_rows(spark, sf_dir):
 )
 def split_errors(spark, sf_dir):
     rows = results(spark, sf_dir).select("policy_name", "benchmark", "error")
-    ok = filters.succeeded(rows).withColumn("good", F.lit(True))
-    bad = filters.failed(rows).withColumn("good", F.lit(False))
-    return (
-        ok.unionByName(bad)
-        .groupBy("policy_name", "benchmark")
-        .agg(
-            F.count_if("good").alias("ok"),
-            F.count_if(~F.col("good")).alias("failed"),
-            F.count("*").alias("total"),
-        )
+    return rows.groupBy("policy_name", "benchmark").agg(
+        F.count_if(F.col("error").isNull()).alias("ok"),
+        F.count_if(F.col("error").isNotNull()).alias("failed"),
+        F.count("*").alias("total"),
     )
 
 

@@ -225,9 +225,7 @@ def known_policies(spark, sf_dir):
     """Rows of a registry of two policies, and the rows it rejects."""
     two = [p for p in policies.POLICIES if p.name.startswith("early_exit")]
     rows = results(spark, sf_dir).select("policy_name")
-    known = policies.known_policies(rows, two).select(F.lit(True).alias("known"))
-    unknown = policies.unknown_policies(rows, two).select(F.lit(False).alias("known"))
-    return known.unionByName(unknown).groupBy("known").agg(F.count("*").alias("samples"))
+    return policies.flag_known(rows, two).groupBy("known").agg(F.count("*").alias("samples"))
 
 
 _REQUESTS = f"""{twins.SUITE_JOBS}, names(policy_name) AS (VALUES {_NAMES}),

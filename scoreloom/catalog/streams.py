@@ -15,11 +15,10 @@ from scoreloom.streaming import flows
 
 
 def arriving(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table of the folder as a file stream."""
+    """A table as a file stream, whether it is one file or a folder of them."""
     schema = table(spark, sf_dir, name).schema
-    return (
-        spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
-    )
+    # A glob with one match: a file stream takes folders and patterns, not the path of a single file.
+    return spark.readStream.schema(schema).parquet(f"{sf_dir}/{name}.parque[t]")
 
 
 @query(

@@ -36,8 +36,12 @@ def slice_policy(df: DataFrame, policy: str) -> DataFrame:
     return df.where(F.col("policy_name") == policy)
 
 
+def is_valid() -> Column:
+    return F.col("policy_name").isNotNull() & F.col("benchmark").isNotNull()
+
+
 def valid_rows(df: DataFrame) -> DataFrame:
-    return df.dropna(subset=["policy_name", "benchmark"])
+    return df.where(is_valid())
 
 
 def succeeded(df: DataFrame) -> DataFrame:

@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 MAX_TOKENS, TEMPERATURE, TOP_P = 1024, 0.7, 1.0
 LAYERS = 32
 # The registry is configuration: a list in the program, joined as a literal or broadcast.
-MAX_POLICIES = 1000
 
 
 @dataclass(frozen=True)
@@ -67,20 +66,22 @@ _SCHEMA = (
 
 
 def policy_table(spark: SparkSession, policies: Sequence[Policy] = POLICIES) -> DataFrame:
-    if len(policies) > MAX_POLICIES:
-        raise ValueError(f"more than {MAX_POLICIES} policies")
     rows = [(p.name, p.max_tokens, p.temperature, p.top_p, p.defaults, p.params) for p in policies]
     return spark.createDataFrame(rows, _SCHEMA)
 
 
 def cross_policies(jobs: DataFrame, policies: Sequence[Policy] = POLICIES) -> DataFrame:
     """Every job under every policy: the names are exploded in place, nothing is joined."""
-    if len(policies) > MAX_POLICIES:
-        raise ValueError(f"more than {MAX_POLICIES} policies")
     names = F.array(*(F.lit(p.name) for p in policies))
     return jobs.select("*", F.explode(names).alias("policy_name"))
 
 
+def flag_known(df: DataFrame, policies: Sequence[Policy] = POLICIES) -> DataFrame:
+    """A column `known`: is the row's policy in the registry?"""
+    table = F.broadcast(policy_table(df.sparkSession, policies).select("policy_name", F.lit(True).alias("known")))
+    return df.join(table, "policy_name", "left").withColumn("known", F.coalesce("known", F.lit(False)))
+
+
 def known_policies(df: DataFrame, policies: Sequence[Policy] = POLICIES) -> DataFrame:
     table = F.broadcast(policy_table(df.sparkSession, policies).select("policy_name"))
     return df.join(table, "policy_name", "left_semi")

@@ -25,8 +25,12 @@ def _read_json(spark: SparkSession, path: str, schema: T.StructType) -> DataFram
 
 
 def scan_jobs(spark: SparkSession, path: str) -> DataFrame:
-    """Jobs from JSON lines; `reject` names why a line cannot be used, NULL for good lines."""
-    jobs = _read_json(spark, path, T.StructType(list(JOB.fields)))
+    """Jobs from JSON lines; `reject` names why a line cannot be used, NULL for good lines.
+
+    A line keyed by `id` instead of `sample_id` is as good.
+    """
+    jobs = _read_json(spark, path, T.StructType([*JOB.fields, T.StructField("id", T.StringType())]))
+    jobs = jobs.withColumn("sample_id", F.coalesce("sample_id", "id"))
     reason = F.when(F.col(CORRUPT).isNotNull(), "not a JSON object")
     for key in REQUIRED:
         reason = reason.when(F.col(key).isNull(), f"{key} is missing")
@@ -48,9 +52,24 @@ def rejected_jobs(scanned: DataFrame) -> DataFrame:
 
 
 def scan_chat_jobs(spark: SparkSession, path: str) -> DataFrame:
-    """Chat transcripts (or ready jobs) from JSON lines, folded to one job per line."""
-    chats = _read_json(spark, path, T.StructType(list(CHAT_JOB.fields)))
-    return fold_nested_turns(chats.where(F.col(CORRUPT).isNull()))
+    """Chat transcripts (or ready jobs) from JSON lines, folded to one job per line.
+
+    Lines that are no JSON objects, or have none of the keys, are left to :func:`rejected_chats`.
+    """
+    return fold_nested_turns(_chats(spark, path).where("reject IS NULL"))
+
+
+def rejected_chats(spark: SparkSession, path: str) -> DataFrame:
+    """The raw lines that cannot be read, with the reason."""
+    return _chats(spark, path).where("reject IS NOT NULL").select(CORRUPT, "reject")
+
+
+def _chats(spark: SparkSession, path: str) -> DataFrame:
+    names = CHAT_JOB.fieldNames()
+    read = _read_json(spark, path, T.StructType(list(CHAT_JOB.fields)))
+    nothing = F.coalesce(*(F.col(c).cast("string") for c in names)).isNull()
+    reason = F.when(F.col(CORRUPT).isNotNull(), "not a JSON object").when(nothing, "no known key")
+    return read.withColumn("reject", reason)
 
 
 def _last_of(role: str) -> Column:

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -24,8 +24,10 @@ def conform(df: DataFrame) -> DataFrame:
     return df.select(*known, *extra)
 
 
-def scan_results(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(RESULTS).parquet(path).select(RESULTS.fieldNames())
+def scan_results(spark: SparkSession, path: str, extra: T.StructType | None = None) -> DataFrame:
+    """The table's known columns, then those of `extra`: metrics of the user's own, NULL where a run lacks them."""
+    schema = T.StructType([*RESULTS.fields, *(extra.fields if extra else ())])
+    return spark.read.schema(schema).parquet(path).select(schema.fieldNames())
 
 
 def _write(df: DataFrame, path: str, mode: str) -> None:
@@ -49,26 +51,31 @@ def union_runs(runs: Iterable[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), runs)
 
 
+# CSV must not trim texts, and tells NULL (a bare \N), '' (quoted) and texts apart; a text that
+# itself begins with a backslash gets one more.
+_CSV = {
+    "header": True,
+    "quote": '"',
+    "escape": '"',
+    "nullValue": "\\N",
+    "ignoreLeadingWhiteSpace": False,
+    "ignoreTrailingWhiteSpace": False,
+}
+
+
+def _texts(df: DataFrame, change: Callable[[Column], Column]) -> DataFrame:
+    return df.select(*(change(F.col(c)).alias(c) if kind == "string" else F.col(c) for c, kind in df.dtypes))
+
+
 def export_csv(df: DataFrame, path: str) -> None:
-    """CSV that survives quotes and line breaks inside texts."""
-    (
-        df.write.mode("overwrite")
-        .option("header", True)
-        .option("quote", '"')
-        .option("escape", '"')
-        .csv(path)
-    )
+    """CSV that keeps quotes, line breaks, blanks, empty texts and NULLs."""
+    marked = _texts(df, lambda c: F.when(c.startswith("\\"), F.concat(F.lit("\\"), c)).otherwise(c))
+    marked.write.mode("overwrite").options(**_CSV, emptyValue='""').csv(path)
 
 
 def scan_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    return (
-        spark.read.schema(schema)
-        .option("header", True)
-        .option("multiLine", True)
-        .option("quote", '"')
-        .option("escape", '"')
-        .csv(path)
-    )
+    scanned = spark.read.schema(schema).options(**_CSV, emptyValue="", multiLine=True).csv(path)
+    return _texts(scanned, lambda c: F.when(c.startswith("\\\\"), F.substring(c, 2, F.length(c))).otherwise(c))
 
 
 def materialize_view(df: DataFrame, name: str) -> DataFrame:

@@ -77,6 +77,8 @@ def _batch_writer(path: str, *partitions: str) -> Callable[[DataFrame, int], Non
     def write(batch: DataFrame, batch_id: int) -> None:
         # A replayed batch overwrites its own folder, so replays do not double rows.
         target = f"{path}/batch_id={batch_id}"
+        if partitions:
+            batch = batch.hint("rebalance", *partitions)
         batch.write.mode("overwrite").partitionBy(*partitions).parquet(target)
 
     return write
