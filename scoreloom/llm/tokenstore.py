@@ -54,6 +54,7 @@ class _Encoder:
             ord(c): self.tokenizer.pre_tokenizer.pre_tokenize_str(c)[0][0] for c in map(chr, range(0xDF, 0x100)) if c != "\xf7"
         }
         self.words: dict[bytes, bytes] = {}
+        self.often: set[bytes] = set()
         self.tails: dict[str, list[int]] = {"": []}
 
     def _tail(self, marks: str) -> list[int]:
@@ -69,8 +70,9 @@ class _Encoder:
             low = text.lower()
             core = low.rstrip(TAIL)
             # Small Latin letters are one pre-token that no normaliser changes, marks after them another.
-            if PLAIN(core):
-                found = [token.id for token in self.tokenize(core.translate(self.spelled))]
+            if core.isascii() and core.isalpha() or PLAIN(core):
+                spelled = core if core.isascii() else core.translate(self.spelled)
+                found = [token.id for token in self.tokenize(spelled)]
                 if core != low:
                     found += self._tail(low[len(core) :])
                 self.words[word] = array(self.kind, found).tobytes()
@@ -83,11 +85,16 @@ class _Encoder:
     def encode(self, texts: list[bytes | None]) -> list[bytes]:
         rows = [(t or b"").split() for t in texts]
         words = set().union(*rows)
-        self._learn(words - self.words.keys())
+        new = words - self.words.keys()
+        self.often |= words - new
+        self._learn(new)
         ids = self.words.__getitem__
         out = [b"".join(map(ids, row)) for row in rows]
         if len(self.words) > MEMO:
-            self.words = {word: self.words[word] for word in words}
+            # Words met in one batch only go first.
+            if len(self.often) > MEMO // 2:
+                self.often &= words
+            self.words = {word: self.words[word] for word in self.often}
         return out
 
 
