@@ -1,0 +1,206 @@
+"""Near copies for the pipeline: what SimHash links, and every pair whose 5-word shingles have Jaccard 0.8 or more.
+
+SimHash alone finds few pairs at 0.8, which differ in about ten of 64 bits. Here such pairs are
+found by prefix filtering, which misses none: in any one order of all shingles, two sets with
+Jaccard t share one of the first n - ceil(t n) + 1 of their n. The order has rare shingles
+first, so a common passage makes no candidates; how common they are is counted in an array of
+fixed size, which decides on work but never on results. Equal sets are one node. Sets meet
+their most frequent pivot first; after that only pairs that are not yet connected are compared,
+so a large group of near copies is not written out as pairs. Shingles are compared by 64 bits.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+import zstandard
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from scoreloom.llm import simhash
+from scoreloom.llm.common import rolling, settled, word_hashes
+from scoreloom.llm.components import connected_components
+
+WORDS = 5
+# Jaccard similarity from which two documents are near copies, as a fraction.
+ABOVE, BELOW = 4, 5
+# Counters of shingles, cut into slices to be summed.
+BITS, SLICE_BITS = 22, 16
+
+_GRAM = 0x5851F42D4C957F2D
+_COUNTS = pa.schema([("slice", pa.int32()), ("counts", pa.binary())])
+_ROWS = pa.schema(
+    [("doc_id", pa.int64()), ("place", pa.int64()), ("fp", pa.int64()), ("node", pa.int64()), ("n", pa.int32()), ("prefix", pa.list_(pa.int64()))]
+)
+
+
+def shingle_sets(texts: list[bytes | None]):
+    """The sorted distinct shingle hashes of each text; a text of fewer words is one shingle."""
+    for text in texts:
+        words = (text or b"").lower().split()
+        hashes = word_hashes(words)
+        yield np.unique(rolling(hashes, min(WORDS, len(words)), _GRAM)) if words else np.empty(0, np.uint64)
+
+
+def _named(grams: np.ndarray) -> int:
+    return int(np.uint64(xxhash.xxh3_64_intdigest(grams.tobytes())).view(np.int64))
+
+
+def _commonness(texts: DataFrame) -> np.ndarray:
+    """How often shingles of each counter occur, on a logarithmic scale."""
+    size = 1 << SLICE_BITS
+
+    def count(batches):
+        counts = np.zeros(1 << BITS, np.uint32)
+        for batch in batches:
+            for grams in shingle_sets(batch.column(2).to_pylist()):
+                counts[(grams >> np.uint64(64 - BITS)).astype(np.int64)] += 1
+        pack = zstandard.ZstdCompressor(level=1).compress
+        for k in range(1 << (BITS - SLICE_BITS)):
+            part = counts[k * size : (k + 1) * size]
+            if part.any():
+                yield pa.RecordBatch.from_pydict({"slice": [k], "counts": [pack(part.tobytes())]}, schema=_COUNTS)
+
+    def add(group):
+        unpack = zstandard.ZstdDecompressor().decompress
+        total = np.zeros(size, np.uint64)
+        for data in group["counts"]:
+            total += np.frombuffer(unpack(data), np.uint32)
+        level = np.log2(total + 1.0) * 6
+        return group.iloc[:1].assign(counts=[level.astype(np.uint8).tobytes()])
+
+    out = np.zeros(1 << BITS, np.uint8)
+    summed = texts.mapInArrow(count, "slice int, counts binary").groupBy("slice").applyInPandas(add, "slice int, counts binary")
+    for row in summed.collect():
+        out[row["slice"] * size : (row["slice"] + 1) * size] = np.frombuffer(row["counts"], np.uint8)
+    return out
+
+
+def _read(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, place, text): `place` finds the text again without Python."""
+    text = F.col(text_col).cast("binary")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("place"), text.alias("text"))
+
+
+def _signed(texts: DataFrame, common) -> DataFrame:
+    """Per row: fingerprint, the name and size of its shingle set, and the set's rarest shingles."""
+
+    def work(batches):
+        levels = np.frombuffer(zstandard.ZstdDecompressor().decompress(common.value), np.uint8)
+        for batch in batches:
+            texts = batch.column(2).to_pylist()
+            nodes, sizes, prefixes = [], [], []
+            for grams in shingle_sets(texts):
+                n = len(grams)
+                order = np.lexsort((grams, levels[(grams >> np.uint64(64 - BITS)).astype(np.int64)]))
+                keep = n - (ABOVE * n + BELOW - 1) // BELOW + 1 if n else 0
+                nodes.append(_named(grams))
+                sizes.append(n)
+                prefixes.append(grams[order[:keep]].view(np.int64))
+            offsets = np.concatenate([[0], np.cumsum([len(p) for p in prefixes])]).astype(np.int32)
+            flat = np.concatenate(prefixes) if prefixes else np.empty(0, np.int64)
+            columns = [
+                batch.column(0),
+                batch.column(1),
+                pa.array([simhash.fingerprint(t) for t in texts], pa.int64()),
+                pa.array(nodes, pa.int64()),
+                pa.array(sizes, pa.int32()),
+                pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, schema=_ROWS)
+
+    return texts.mapInArrow(work, "doc_id long, place long, fp long, node long, n int, prefix array<long>")
+
+
+def _similar(pairs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (a, b) of nodes that are similar, by their whole sets."""
+    asked = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    wanted = asked.join(nodes, "node").select(F.col("rep.doc_id").alias("__id"), F.col("rep.place").alias("__place"))
+    found = texts.join(wanted, (texts["place"] == F.col("__place")) & texts["doc_id"].eqNullSafe(F.col("__id")))
+
+    def sets(batches):
+        for batch in batches:
+            grams = list(shingle_sets(batch.column(0).to_pylist()))
+            yield pa.RecordBatch.from_pydict(
+                {"node": pa.array([_named(g) for g in grams], pa.int64()), "grams": pa.array([g.tobytes() for g in grams], pa.binary())}
+            )
+
+    def confirm(batches):
+        for batch in batches:
+            ok = []
+            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                both = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                shared = len(np.intersect1d(*both, assume_unique=True))
+                ok.append(BELOW * shared >= ABOVE * (len(both[0]) + len(both[1]) - shared))
+            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    known = settled(found.select("text").mapInArrow(sets, "node long, grams binary").dropDuplicates(["node"]))
+    left, right = known.toDF("a", "x"), known.toDF("b", "y")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(confirm, "a long, b long")
+
+
+def _near(x: str, y: str):
+    """Whether two sizes allow the similarity."""
+    return (F.col(x) * BELOW >= F.col(y) * ABOVE) & (F.col(y) * BELOW >= F.col(x) * ABOVE)
+
+
+def _classes(rows: DataFrame, texts: DataFrame) -> DataFrame:
+    """(node, component) of every shingle set."""
+    nodes = rows.groupBy("node").agg(F.min(F.struct("doc_id", "place")).alias("rep"))
+    sets = rows.dropDuplicates(["node"]).select("node", "n", F.explode("prefix").alias("key")).repartition("key")
+    met = sets.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min(F.struct("node", "n")).alias("pivot"))
+    shared = settled(
+        sets.join(met.where("members > 1"), "key").select("key", "node", "n", F.col("pivot.node").alias("pivot"), F.col("pivot.n").alias("m"))
+    )
+    often = shared.where((F.col("node") != F.col("pivot")) & _near("n", "m")).groupBy("node", "pivot").agg(F.count(F.lit(1)).alias("times"))
+    stars = settled(
+        often.groupBy("node").agg(F.max_by("pivot", F.struct("times", "pivot")).alias("b")).select(F.col("node").alias("a"), "b")
+    )
+    # A fingerprint is a node beside the sets that have it.
+    print_of = lambda c: F.xxhash64(F.lit("fp"), c)
+    edges = rows.select(F.col("node").alias("a"), print_of("fp").alias("b")).distinct()
+    links = simhash.linked_pairs(rows.select("fp").distinct())
+    edges = edges.union(links.select(print_of("a"), print_of("b")))
+    if not stars.isEmpty():
+        edges = edges.union(_similar(stars, nodes, texts))
+    reach = settled(connected_components(edges))
+    placed = shared.select("key", "node", "n").join(reach, "node")
+    groups = placed.groupBy("key", "component").agg(F.count(F.lit(1)))
+    a, b = (groups.select("key", F.col("component").alias(f"c{s}")) for s in "ab")
+    apart = a.join(b, "key").where("ca < cb")
+    left, right = (placed.select("key", F.col("node").alias(s), F.col("n").alias(f"n{s}"), F.col("component").alias(f"c{s}")) for s in "ab")
+    pairs = settled(apart.join(left, ["key", "ca"]).join(right, ["key", "cb"]).where(_near("na", "nb")).select("a", "b").distinct())
+    if pairs.isEmpty():
+        return reach
+    more = _similar(pairs, nodes, texts)
+    of = lambda s: reach.select(F.col("node").alias(s), F.col("component").alias(f"c{s}"))
+    joined = connected_components(more.join(of("a"), "a").join(of("b"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")))
+    return reach.join(joined.toDF("component", "whole"), "component", "left").select(
+        "node", F.coalesce("whole", "component").alias("component")
+    )
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: doc_id, component_id (smallest doc_id it reaches by links of either kind).
+
+    Null and wordless texts are copies of each other. A row without doc_id takes part in its
+    component; the component of such rows alone is null. Other columns are not read.
+    """
+    texts = _read(docs, id_col, text_col)
+    levels = zstandard.ZstdCompressor().compress(_commonness(texts).tobytes())
+    common = docs.sparkSession.sparkContext.broadcast(levels)
+    rows = settled(_signed(texts, common))
+    named = rows.select("doc_id", "node").join(_classes(rows, texts), "node")
+    least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    return named.join(least, "component").select("doc_id", "component_id")
+
+
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents of which each component keeps the one with the smallest id, all columns as they were.
+
+    Rows without id cannot be named as anyone's copy and stay.
+    """
+    found = near_copies(docs, id_col, text_col)
+    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
+    return docs.join(gone, docs[id_col].cast("long") == F.col("__gone"), "left_anti")

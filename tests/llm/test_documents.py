@@ -11,7 +11,8 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from scoreloom.llm import bpe, mixing, quality, repeats, sharding, simhash, tokenstore, toxicity
+import corpus_pipeline
+from scoreloom.llm import bpe, likeness, mixing, quality, repeats, sharding, simhash, tokenstore, toxicity
 from tests.llm.conftest import make
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
@@ -296,6 +297,60 @@ def test_drop_near_duplicates_keeps_one_of_each_group(docs, none):
     assert simhash.near_duplicates(none).count() == 0 and simhash.drop_near_duplicates(none).count() == 0
 
 
+def near_copies_of(rows):
+    """Smallest id of each row's component: three or fewer bits apart, or Jaccard 0.8 of 5-word shingles."""
+    low = lambda t: "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")
+    split = [words(low(t)) for _, t, *_ in rows]
+    sets = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set() for w in split]
+    prints = [simhash_of(t) for _, t, *_ in rows]
+    label = list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            both = len(sets[a] & sets[b])
+            if (prints[a] ^ prints[b]).bit_count() <= 3 or 5 * both >= 4 * (len(sets[a]) + len(sets[b]) - both):
+                x, y = label[a], label[b]
+                label = [y if z == x else z for z in label]
+    least = {}
+    for g, (i, *_) in zip(label, rows):
+        if i is not None:
+            least[g] = min(i, least.get(g, i))
+    return bag((i, least.get(g)) for g, (i, *_) in zip(label, rows))
+
+
+def near_rows():
+    """Chains of copies with words changed, so that many pairs lie on both sides of the threshold."""
+    rnd = np.random.default_rng(8)
+    rows = []
+    for group in range(6):
+        base = [f"g{group}w{k}" for k in range(110)]
+        for k in range(25):
+            text = list(rows[-1][1].split()) if k % 5 and rows else list(base)
+            for at in rnd.choice(110, int(rnd.integers(1, 6)), replace=False):
+                text[at] = f"n{rnd.integers(10**9)}"
+            rows.append((len(rows) * 7 + 1, " ".join(text)))
+    return rows
+
+
+def test_pipeline_drops_all_near_copies_at_the_threshold(spark, docs, rows):
+    near = near_rows()
+    frame = make(spark, near).repartition(4)
+    found = bag(tuple(r) for r in likeness.near_copies(frame).collect())
+    assert found == near_copies_of(near)
+    missed = bag((r["doc_id"], r["component_id"]) for r in simhash.near_duplicates(frame).collect())
+    assert found != missed
+    assert bag(tuple(r) for r in likeness.near_copies(docs).collect()) == near_copies_of(rows)
+
+
+def test_pipeline_stage_keeps_one_of_each_group(spark, docs, none):
+    kept = corpus_pipeline.drop_copies(spark, docs, "")
+    assert kept.columns == docs.columns
+    found = likeness.near_copies(docs).where("doc_id IS NOT NULL").collect()
+    assert {r["doc_id"] for r in kept.collect()} - {None} == {r["component_id"] for r in found}
+    pair = make(spark, near_rows()[:2])
+    assert corpus_pipeline.drop_copies(spark, pair, "").count() == 1
+    assert corpus_pipeline.drop_copies(spark, none, "").count() == 0
+
+
 # Substring dedup
 
 
