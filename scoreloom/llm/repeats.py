@@ -64,9 +64,9 @@ class _Windows:
         if not len(first):
             return at, first, hashes, np.empty(0, np.uint32)
         owner = self.owner[at]
-        last = np.append(first[1:], len(at)) - 1
+        ids = self.chunk.ids[owner]
         index = np.maximum.reduceat(((at - self.starts[owner]) % BLOCK == 0).astype(np.uint32), first)
-        several = (self.chunk.ids[owner[first]] != self.chunk.ids[owner[last]]).astype(np.uint32)
+        several = (np.minimum.reduceat(ids, first) != np.maximum.reduceat(ids, first)).astype(np.uint32)
         return at, first, hashes[first], index | several << 1
 
     def candidates(self, hit: np.ndarray, at: np.ndarray, first: np.ndarray) -> np.ndarray:

@@ -381,6 +381,14 @@ def test_repeats_equal_brute_force(docs, rows, monkeypatch, per_bucket, chunk):
     assert bag(found) == bag(want)
 
 
+def test_a_repeated_id_around_another_document(spark):
+    """Rows 1, 2, 1 in one chunk share a passage that no other chunk has."""
+    passage = " ".join(f"p{k}" for k in range(20))
+    frame = make(spark, [(1, passage), (2, f"x {passage} y"), (1, passage)]).coalesce(1)
+    found = repeats.find_repeats(frame).collect()
+    assert bag((r["doc_id"], r["n_removed"]) for r in found) == bag([(1, 0), (1, 0), (2, 20)])
+
+
 def test_drop_repeats_changes_only_what_lost_words(docs, rows, none):
     out = repeats.drop_repeats(docs)
     assert out.columns == docs.columns
