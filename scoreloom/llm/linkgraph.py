@@ -17,14 +17,22 @@ from pyspark.sql import functions as F
 from scoreloom.llm.common import settled
 
 DAMPING = 0.85
-ROUNDS = 8
 CUT_EVERY = 4
+# Rounds go on until CUT_EVERY of them add less than this to all hosts together. What further
+# rounds would add to any host is then less than 1.1 times this.
+TOLERANCE = 1e-6
+# Rounds of the SQL twin, which is exact where no host links to another.
+ROUNDS = 8
 LIMIT = 0.5
 # Scores are compared after rounding, so that the order of a sum does not show.
 DIGITS = 12
 
-# An absolute link of a page.
+# A quoted link with a scheme: the SQL twin reads only these.
 LINK = "(?i)href[ \\t\\r\\n]*=[ \\t\\r\\n]*[\"']([a-z][a-z0-9+.-]*://[^\"']*)[\"']"
+# Links to hosts, with a scheme or that of the page: quoted, and without quotes.
+_TO_HOST = "((?:[a-z][a-z0-9+.-]*:)?//"
+QUOTED = f"(?i)href[ \\t\\r\\n]*=[ \\t\\r\\n]*[\"'][ \\t\\r\\n]*{_TO_HOST}[^\"']*)[\"']"
+BARE = f"(?i)href[ \\t\\r\\n]*=[ \\t\\r\\n]*{_TO_HOST}[^ \\t\\r\\n>]*)"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 Rule = tuple[str, str, str]  # host, path prefix, allow or block
@@ -68,33 +76,39 @@ def _judged(pages: DataFrame, rules: Sequence[Rule]) -> DataFrame:
 
 
 def host_links(pages: DataFrame) -> DataFrame:
-    """(source, target, links): absolute links between different hosts, counted."""
-    link = F.explode(F.regexp_extract_all(F.col("html"), F.lit(LINK), F.lit(1)))
-    named = pages.select(host_of(F.col("url")).alias("source"), link.alias("link"))
-    ends = named.select("source", host_of(F.col("link")).alias("target"))
+    """(source, target, links): links between different hosts, counted."""
+    found = F.concat(*(F.regexp_extract_all(F.col("html"), F.lit(x), F.lit(1)) for x in (QUOTED, BARE)))
+    named = pages.select(host_of(F.col("url")).alias("source"), F.explode(found).alias("link"))
+    whole = F.when(F.col("link").startswith("//"), F.concat(F.lit("same:"), "link")).otherwise(F.col("link"))
+    ends = named.select("source", host_of(whole).alias("target"))
     return ends.where("source <> target AND source <> '' AND target <> ''").groupBy("source", "target").agg(
         F.count(F.lit(1)).alias("links")
     )
 
 
-def _spread(seeds: DataFrame, links: DataFrame, rounds: int) -> DataFrame:
-    """(host, mass) after some rounds of PageRank from `seeds` (host, mass) along (source, target, part).
+def _spread(seeds: DataFrame, links: DataFrame, tolerance: float) -> DataFrame:
+    """(host, mass) of PageRank from `seeds` (host, mass) along (source, target, part), to a tolerance.
 
     A host without links out passes nothing on. Mass is summed before it is joined, so a host
-    that everyone links to is one row.
+    that everyone links to is one row. Every round only adds mass, so the sum of all shows what
+    changed.
     """
-    mass = seeds
-    for k in range(rounds):
-        moved = mass.join(links, mass["host"] == links["source"]).select(
-            F.col("target").alias("host"), (F.col("mass") * F.col("part") * DAMPING).alias("mass")
-        )
-        mass = seeds.unionByName(moved).groupBy("host").agg(F.sum("mass").alias("mass"))
-        if (k + 1) % CUT_EVERY == 0:
-            mass = settled(mass)
-    return mass
-
-
-def host_scores(judged: DataFrame, links: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+    mass = settled(seeds)
+    total = mass.agg(F.sum("mass")).first()[0] or 0.0
+    while True:
+        before = total
+        for _ in range(CUT_EVERY):
+            moved = mass.join(links, mass["host"] == links["source"]).select(
+                F.col("target").alias("host"), (F.col("mass") * F.col("part") * DAMPING).alias("mass")
+            )
+            mass = seeds.unionByName(moved).groupBy("host").agg(F.sum("mass").alias("mass"))
+        mass = settled(mass)
+        total = mass.agg(F.sum("mass")).first()[0] or 0.0
+        if total - before < tolerance:
+            return mass
+
+
+def host_scores(judged: DataFrame, links: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
     """(host, trust, distrust) of every host that either reaches."""
     seeds = settled(
         judged.groupBy("host").agg(
@@ -115,8 +129,8 @@ def host_scores(judged: DataFrame, links: DataFrame, rounds: int = ROUNDS) -> Da
             F.col(source).alias("source"), F.col(target).alias("target"), (F.col("links") / F.col("all")).alias("part")
         )
 
-    trust = _spread(seeded("allowed"), along("source", "target"), rounds).select("host", F.col("mass").alias("trust"))
-    distrust = _spread(seeded("blocked"), along("target", "source"), rounds).select(
+    trust = _spread(seeded("allowed"), along("source", "target"), tolerance).select("host", F.col("mass").alias("trust"))
+    distrust = _spread(seeded("blocked"), along("target", "source"), tolerance).select(
         "host", F.col("mass").alias("distrust")
     )
     return trust.join(distrust, "host", "full").select(
@@ -124,7 +138,7 @@ def host_scores(judged: DataFrame, links: DataFrame, rounds: int = ROUNDS) -> Da
     )
 
 
-def judge_pages(pages: DataFrame, rules: Sequence[Rule], rounds: int = ROUNDS) -> DataFrame:
+def judge_pages(pages: DataFrame, rules: Sequence[Rule], tolerance: float = TOLERANCE) -> DataFrame:
     """One row per page: page_id, host, path, rule, verdict, trust, distrust.
 
     The verdict is that of the longest rule that fits, else the host's: block where its
@@ -133,7 +147,7 @@ def judge_pages(pages: DataFrame, rules: Sequence[Rule], rounds: int = ROUNDS) -
     links. Repeated pages count as often as they are there; other columns are not read.
     """
     judged = settled(_judged(pages, rules))
-    scores = host_scores(judged, host_links(pages), rounds)
+    scores = host_scores(judged, host_links(pages), tolerance)
     bad = F.round(F.col("distrust") - F.col("trust"), DIGITS) > LIMIT
     return judged.join(scores, "host", "left").select(
         "page_id",

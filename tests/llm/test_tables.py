@@ -123,6 +123,28 @@ def test_page_mass_equals_a_plain_walk(spark):
     assert found["a.example.org"]["distrust"] == pytest.approx(1 + 0.5 * d * d)
 
 
+def test_distrust_spreads_until_it_settles(spark):
+    """a and b link to each other and to a blocked host that ten hosts link to: 0.085 / 0.15 each."""
+    to_seed = "<a href='http://seed.net/'>"
+    pages = [(0, "http://seed.net/", ""), (1, "http://a.net/", to_seed + '<a href="http://b.net/">')]
+    pages += [(2, "http://b.net/", to_seed + '<a href="http://a.net/">')]
+    pages += [(3 + k, f"http://other{k}.net/", to_seed) for k in range(8)]
+    # A chain of hosts more than eight links away from the blocked one.
+    pages += [(100 + k, f"http://far{k}.net/", f'<a href="http://{f"far{k - 1}" if k else "other0"}.net/">') for k in range(10)]
+    frame = spark.createDataFrame(pages, "page_id long, url string, html string")
+    found = {r["page_id"]: r for r in linkgraph.judge_pages(frame, [("seed.net", "", "block")]).collect()}
+    assert found[1]["distrust"] == pytest.approx(0.085 / 0.15, abs=1e-5) and found[1]["verdict"] == "block"
+    assert found[109]["distrust"] == pytest.approx(0.085 * linkgraph.DAMPING**10) and found[3]["verdict"] == "allow"
+
+
+def test_links_without_scheme_or_quotes(spark):
+    html = """<a href=http://bare.net/x?y=//no.net>x</a> <a href=//c.net>x</a> <a HREF = '//D.net/p?u=http://no.net'>
+    <a href="/local//no.net"> <a href=local> <a href="HTTP://e.net/a b"> <a href= //f.net/ >"""
+    frame = spark.createDataFrame([(1, "https://s.net/", html), (2, "x", html)], "page_id long, url string, html string")
+    found = {tuple(r) for r in linkgraph.host_links(frame).collect()}
+    assert found == {("s.net", h, 1) for h in ("bare.net", "c.net", "d.net", "e.net", "f.net")}
+
+
 @pytest.fixture(scope="module")
 def duck(sf_dir):
     connection = duckdb.connect()
