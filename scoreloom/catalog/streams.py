@@ -32,12 +32,11 @@ def arriving(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ),
 )
 def stream_generation_metrics(spark, sf_dir):
-    """Requests silent for a day at the watermark; the rest stays in state."""
-    stream = flows.stream_generation_metrics(chunks_from(arriving(spark, sf_dir, "events")))
+    """Requests silent for a day an hour before the newest chunk; facts of the rest are kept with theirs."""
+    stream = chunks_from(arriving(spark, sf_dir, "events"))
     path = scratch(spark, "timings")
-    flows.append_files(stream, path, scratch(spark, "timings-log")).awaitTermination()
-    schema = flows.stream_generation_metrics(chunks_from(table(spark, sf_dir, "events"))).schema
-    return rounded(spark.read.schema(schema).parquet(path), TIMING_PLACES)
+    flows.append_facts(stream, flows.timing_facts, path, scratch(spark, "timings-log")).awaitTermination()
+    return rounded(flows.merged_timings(spark.read.parquet(path)), TIMING_PLACES)
 
 
 @query(
@@ -70,7 +69,7 @@ def stream_append_results(spark, sf_dir):
     ),
 )
 def stream_run_trend(spark, sf_dir):
-    stream = flows.stream_run_trend(results_from(arriving(spark, sf_dir, "lineitem")))
+    stream = results_from(arriving(spark, sf_dir, "lineitem"))
     path = scratch(spark, "trend")
-    flows.upsert_batches(stream, path, scratch(spark, "trend-log")).awaitTermination()
-    return rounded(flows.latest(spark.read.parquet(path), "hour_start"))
+    flows.append_facts(stream, flows.trend_facts, path, scratch(spark, "trend-log")).awaitTermination()
+    return rounded(flows.merged_trend(spark.read.parquet(path)))

@@ -20,7 +20,9 @@ def stream_generation_metrics(
 ) -> DataFrame:
     """Timings per request, emitted once the request has been silent for `gap`.
 
-    Use append mode: state is dropped when the watermark passes the session end.
+    Use append mode: state is dropped when the watermark passes the session end, and chunks
+    that come later than that no longer count. :func:`append_facts` with :func:`timing_facts`
+    loses none.
     """
     sessions = (
         chunks.withWatermark("chunk_ts", delay)
@@ -47,7 +49,8 @@ def stream_run_trend(results: DataFrame, delay: str = "1 day") -> DataFrame:
     """Headline means per hour of run time.
 
     An hour stays open until the watermark is `delay` past it; choose the delay by how late
-    runs may arrive, since rows later than that no longer count.
+    runs may arrive, since rows later than that no longer count. :func:`append_facts` with
+    :func:`trend_facts` loses none.
     """
     timed = results.withColumn("run_at", run_time(F.col("timestamp")))
     return (
@@ -62,6 +65,63 @@ def _trend_means() -> list[str]:
     return [f"mean_{c}" for c in [*HEADLINE, "f1"]]
 
 
+def timing_facts(chunks: DataFrame) -> DataFrame:
+    """What a batch of chunks says about its requests; :func:`merged_timings` adds batches up."""
+    return chunks.groupBy("request_id").agg(*chunk_aggregates())
+
+
+def merged_timings(facts: DataFrame, delay: str | None = "1 hour", gap: str = "1 day") -> DataFrame:
+    """Timings per request from the facts of all batches, however late their chunks came.
+
+    Requests that were silent for `gap` when the newest chunk was `delay` old; with `delay`
+    None every request, also those that may go on.
+    """
+    whole = facts.groupBy("request_id").agg(
+        F.min("started_at").alias("started_at"),
+        F.min("first_ts").alias("first_ts"),
+        F.max("end_ts").alias("end_ts"),
+        F.sum("total_tokens").alias("total_tokens"),
+    )
+    if delay is not None:
+        newest = facts.agg(F.max("end_ts").alias("_newest"))
+        silent = F.expr(f"end_ts + INTERVAL {gap} <= _newest - INTERVAL {delay}")
+        whole = whole.crossJoin(F.broadcast(newest)).where(silent)
+    return timings(whole, "request_id")
+
+
+def trend_facts(results: DataFrame) -> DataFrame:
+    """Rows, sums and counts of a batch per hour of run time; :func:`merged_trend` adds batches up."""
+    micros = F.unix_micros(run_time(F.col("timestamp")))
+    hour = F.timestamp_micros(micros - F.pmod(micros, F.lit(3_600_000_000)))
+    columns = [*HEADLINE, "f1"]
+    return results.groupBy(hour.alias("hour_start")).agg(
+        F.count("*").alias("samples"),
+        *(F.sum(c).alias(f"sum_{c}") for c in columns),
+        *(F.count(c).alias(f"count_{c}") for c in columns),
+    )
+
+
+def merged_trend(facts: DataFrame) -> DataFrame:
+    """Headline means per hour from the facts of all batches, however late their rows came."""
+    return facts.groupBy("hour_start").agg(
+        F.sum("samples").alias("samples"),
+        *(F.try_divide(F.sum(f"sum_{c}"), F.sum(f"count_{c}")).alias(f"mean_{c}") for c in [*HEADLINE, "f1"]),
+    )
+
+
+def append_facts(
+    stream: DataFrame, facts: Callable[[DataFrame], DataFrame], path: str, checkpoint: str
+) -> StreamingQuery:
+    """Write what `facts` makes of each batch, one folder per batch; no watermark, so no row is late."""
+    write = _batch_writer(path)
+    return (
+        stream.writeStream.foreachBatch(lambda batch, number: write(facts(batch), number))
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
+
+
 def append_files(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Process what has arrived, appending closed results exactly once."""
     return (

@@ -231,3 +231,29 @@ def test_restarted_stream_appends_only_new_rows(spark, tmp_path):
         stream = flows.stream_distinct_results(spark.readStream.schema(RESULTS).parquet(source))
         flows.append_batches(stream, out, log).awaitTermination()
     assert sorted(r["sample_id"] for r in store.scan_results(spark, out).collect()) == ["1", "2"]
+
+
+def test_late_rows_count_in_streams(spark, sf_dir, tmp_path):
+    from scoreloom.sources.tables import results_from
+
+    cases = [
+        ("lineitem", results_from, "timestamp", flows.trend_facts, lambda f: flows.merged_trend(f)),
+        ("events", chunks_from, "at", flows.timing_facts, lambda f: flows.merged_timings(f, None)),
+    ]
+    for name, adapt, order, facts, merged in cases:
+        rows = adapt(table(spark, sf_dir, name))
+        if order == "at":
+            rows = rows.withColumn("at", F.unix_micros("chunk_ts").cast("double"))
+        source, out, log = (str(tmp_path / f"{name}-{x}") for x in ("in", "out", "log"))
+        half = rows.approxQuantile(order, [0.5], 0.0)[0]
+        for part in (F.col(order) >= half, F.col(order) < half):
+            rows.where(part).coalesce(1).write.mode("append").parquet(source)
+            stream = spark.readStream.schema(rows.schema).parquet(source)
+            flows.append_facts(stream, facts, out, log).awaitTermination()
+        streamed = merged(spark.read.parquet(out))
+        assert spark.read.parquet(out).select("batch_id").distinct().count() == 2
+        if name == "events":
+            batch = generation.generation_metrics(rows)
+            assert streamed.count() == batch.count() and streamed.exceptAll(batch).count() == 0
+        else:
+            assert streamed.agg(F.sum("samples")).first()[0] == rows.count()
