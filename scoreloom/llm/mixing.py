@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from scoreloom.llm.common import settled
+from scoreloom.operators.numbering import number_rows
 
 LEVELS = ("domain", "lang", "source")
 SEED = 7
@@ -75,6 +76,24 @@ def budgets(leaves: DataFrame, weights: Mapping[str, float], total: int, max_epo
     return leaves.join(above, path).withColumn("budget", F.floor(F.col("given") + 1e-6)).drop("given")
 
 
+def _named(column: str) -> Column:
+    return F.coalesce(F.col(column).cast("string"), F.lit("none"))
+
+
+def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """What the mix needs of each document; `mark` is its text's xxhash64."""
+    return settled(
+        docs.select(
+            F.col(id_col).cast("long").alias("doc_id"),
+            domain_of(F.col("source")).alias("domain"),
+            _named("lang").alias("lang"),
+            _named("source").alias("source"),
+            F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("n_tokens"),
+            F.xxhash64(F.col(text_col).cast("binary")).alias("mark"),
+        )
+    )
+
+
 def select_mix(
     docs: DataFrame,
     weights: Mapping[str, float],
@@ -92,16 +111,10 @@ def select_mix(
     gives no rows. No leaf is ordered whole: its seeded order is cut into buckets whose tokens
     are summed first, and only the bucket in which the budget ends is looked at row by row.
     """
-    name = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("none"))
-    rows = settled(
-        docs.select(
-            F.col(id_col).cast("long").alias("doc_id"),
-            domain_of(F.col("source")).alias("domain"),
-            name("lang").alias("lang"),
-            name("source").alias("source"),
-            F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("n_tokens"),
-        )
-    )
+    return _taken(_rows(docs, id_col, text_col), weights, budget, max_epochs, seed).drop("mark")
+
+
+def _taken(rows: DataFrame, weights: Mapping[str, float], budget: float = BUDGET, max_epochs: int = MAX_EPOCHS, seed: int = SEED) -> DataFrame:
     path = list(LEVELS)
     leaves = rows.groupBy(*path).agg(F.sum("n_tokens").alias("tokens"), F.count(F.lit(1)).alias("n_rows"))
     leaves = settled(leaves)
@@ -130,13 +143,13 @@ def select_mix(
         .agg(F.min(F.struct("bucket", (F.col("rest") - F.col("upto") + F.col("tokens")).alias("left"))).alias("end"))
     )
     placed = placed.join(send(ends), path, "left")
-    taken = ["doc_id", *path, "n_tokens"]
+    taken = ["doc_id", *path, "n_tokens", "mark"]
     whole = placed.where("epochs > 0").select(
         *taken, F.explode(F.sequence(F.lit(0), F.col("epochs") - 1)).alias("epoch"), F.col("budget").alias("leaf_budget")
     )
     next_one = placed.where(F.col("rest") > 0)
     before = next_one.where("end IS NULL OR bucket < end.bucket")
-    running = Window.partitionBy(*path).orderBy("order", "doc_id", "n_tokens").rowsBetween(Window.unboundedPreceding, 0)
+    running = Window.partitionBy(*path).orderBy("order", "doc_id", "n_tokens", "mark").rowsBetween(Window.unboundedPreceding, 0)
     last = (
         next_one.where("bucket = end.bucket")
         .withColumn("upto", F.sum("n_tokens").over(running))
@@ -146,15 +159,41 @@ def select_mix(
     return whole.unionByName(parts[0]).unionByName(parts[1])
 
 
-def mixed(docs: DataFrame, weights: Mapping[str, float], id_col: str = "doc_id", **options) -> DataFrame:
-    """The documents as often as they are taken, with all their columns; rows without id stay once."""
-    times = (
-        select_mix(docs, weights, id_col=id_col, **options)
-        .where("doc_id IS NOT NULL")
-        .groupBy(F.col("doc_id").alias("__id"))
-        .agg((F.max("epoch") + 1).alias("__times"))
+def mixed(
+    docs: DataFrame, weights: Mapping[str, float], id_col: str = "doc_id", text_col: str = "text", **options
+) -> DataFrame:
+    """The documents as often as they are taken, with all their columns.
+
+    Rows are told apart by id, language, source and text. Of rows alike in all four, taken some
+    times together, each is taken as often as the next, or once more.
+    """
+    keys = ["doc_id", "lang", "source", "mark"]
+    rows = _rows(docs, id_col, text_col)
+    times = _taken(rows, weights, **options).groupBy(*keys).agg(F.count(F.lit(1)).alias("times"))
+    copies = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("copies"))
+    same = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys]
+    told = settled(
+        times.alias("a").join(copies.alias("b"), same).select(
+            *(F.col(f"a.{k}").alias(f"__{k}") for k in keys),
+            F.expr("times DIV copies").alias("__times"),
+            F.expr("times % copies").alias("__more"),
+        )
     )
-    joined = docs.join(times, docs[id_col].cast("long") == F.col("__id"), "left")
-    turns = F.when(F.col("__times").isNotNull(), F.col("__times")).when(docs[id_col].isNull(), 1).otherwise(0)
-    repeated = joined.where(turns > 0).withColumn("__turn", F.explode(F.sequence(F.lit(1), turns)))
-    return repeated.select(*(docs[c] for c in docs.columns))
+    own = {
+        "doc_id": docs[id_col].cast("long"),
+        "lang": F.coalesce(docs["lang"].cast("string"), F.lit("none")),
+        "source": F.coalesce(docs["source"].cast("string"), F.lit("none")),
+        "mark": F.xxhash64(docs[text_col].cast("binary")),
+    }
+    found = docs.join(told, [own[k].eqNullSafe(F.col(f"__{k}")) for k in keys])
+    if told.where("__more > 0").isEmpty():
+        turns = found.where("__times > 0")
+    else:
+        # Which of the rows that are alike get one more turn does not matter, only how many.
+        alike = F.concat_ws("/", *(F.coalesce(F.col(f"__{k}").cast("string"), F.lit("")) for k in keys))
+        some = found.where("__more > 0").withColumns({"__alike": alike, "__at": F.monotonically_increasing_id()})
+        placed = number_rows(some, ["__alike"], ["__at"], "__place")
+        more = placed.withColumn("__times", F.col("__times") + (F.col("__place") <= F.col("__more")).cast("long"))
+        turns = found.where("__more = 0").unionByName(more.drop("__alike", "__at", "__place")).where("__times > 0")
+    repeated = turns.withColumn("__turn", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__times"))))
+    return repeated.select(*docs.columns)

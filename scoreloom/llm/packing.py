@@ -16,12 +16,13 @@ import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from scoreloom.llm.common import id_and_text, stored
 
 CHUNK = 8 << 20
 COLUMNS = "chunk long, ids binary, no_id binary, lengths binary, piece_lengths binary, pieces binary, codes binary, n_pieces long, n_distinct long"
-_NAMES = [part.split()[0] for part in COLUMNS.split(", ")]
+MARKS = ", marks binary"
 
 
 def squeeze(array: np.ndarray) -> bytes:
@@ -41,6 +42,7 @@ class Chunk:
         self.no_id = unsqueeze(row["no_id"], np.bool_)
         self.lengths = unsqueeze(row["lengths"], np.int64)
         self.codes = unsqueeze(row["codes"], np.uint32)
+        self.marks = unsqueeze(row["marks"], np.int64) if "marks" in row else None
 
     def pieces(self) -> list[bytes]:
         """The distinct pieces by number."""
@@ -49,7 +51,7 @@ class Chunk:
         return [joined[a:b] for a, b in zip([0, *ends], ends)]
 
 
-def _closed(number: int, ids: list, lengths: list, codes: list, distinct: dict) -> pa.RecordBatch:
+def _closed(number: int, ids: list, lengths: list, codes: list, distinct: dict, marks: list | None = None) -> pa.RecordBatch:
     pieces = [p.encode() if isinstance(p, str) else p for p in distinct]
     row = {
         "chunk": number,
@@ -62,15 +64,23 @@ def _closed(number: int, ids: list, lengths: list, codes: list, distinct: dict)
         "n_pieces": sum(lengths),
         "n_distinct": len(pieces),
     }
-    return pa.RecordBatch.from_pydict({name: [row[name]] for name in _NAMES})
+    if marks is not None:
+        row["marks"] = squeeze(np.array(marks, np.int64))
+    return pa.RecordBatch.from_pydict({name: [value] for name, value in row.items()})
 
 
 def packed(
-    docs: DataFrame, split: Callable[[bytes], list], id_col: str = "doc_id", text_col: str = "text", size: int = CHUNK
+    docs: DataFrame,
+    split: Callable[[bytes], list],
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    size: int = CHUNK,
+    marked: bool = False,
 ) -> DataFrame:
     """Chunks of all documents, stored bucketed by chunk so that joins do not move them.
 
-    split makes a text's pieces, bytes or strings; a null text has none.
+    split makes a text's pieces, bytes or strings; a null text has none. Marked chunks also hold
+    each text's xxhash64, which tells rows with equal ids apart.
     """
 
     def work(batches):
@@ -79,22 +89,29 @@ def packed(
         def fresh():
             distinct: defaultdict[bytes, int] = defaultdict()
             distinct.default_factory = distinct.__len__
-            return [], [], [], distinct, 0
+            return [], [], [], distinct, [] if marked else None, 0
 
-        ids, lengths, codes, distinct, held = fresh()
+        ids, lengths, codes, distinct, marks, held = fresh()
         for batch in batches:
+            if marked:
+                own = iter(batch.column(2).to_pylist())
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 text = text.as_py() or b""
                 pieces = split(text)
                 ids.append(doc_id)
                 lengths.append(len(pieces))
                 codes.append(np.fromiter(map(distinct.__getitem__, pieces), np.uint32, len(pieces)))
+                if marked:
+                    marks.append(next(own))
                 held += len(text)
                 if held >= size:
-                    yield _closed(number, ids, lengths, codes, distinct)
+                    yield _closed(number, ids, lengths, codes, distinct, marks)
                     number += 1
-                    ids, lengths, codes, distinct, held = fresh()
+                    ids, lengths, codes, distinct, marks, held = fresh()
         if ids:
-            yield _closed(number, ids, lengths, codes, distinct)
+            yield _closed(number, ids, lengths, codes, distinct, marks)
 
-    return docs.sparkSession.table(stored(id_and_text(docs, id_col, text_col).mapInArrow(work, COLUMNS), "chunk"))
+    rows, columns = id_and_text(docs, id_col, text_col), COLUMNS
+    if marked:
+        rows, columns = rows.withColumn("mark", F.xxhash64("text")), COLUMNS + MARKS
+    return docs.sparkSession.table(stored(rows.mapInArrow(work, columns), "chunk"))

@@ -6,7 +6,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scoreloom.llm import bpe, covertree, linkgraph, mixing, quality, repeats, sharding, simhash, tokenstore, toxicity
+from scoreloom.llm import (
+    bpe,
+    covertree,
+    decontamination,
+    linkgraph,
+    mixing,
+    negatives,
+    quality,
+    repeats,
+    sharding,
+    simhash,
+    spelling,
+    tokenstore,
+    toxicity,
+)
 
 # Target weights of languages; domains and sources weigh 1 each.
 WEIGHTS = {"en": 4.0, "de": 2.0, "fr": 2.0, "es": 1.0}
@@ -107,7 +121,32 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document that no earlier document's passage covers."""
-    return repeats.find_repeats(_table(spark, sf_dir, "documents")).drop("kept")
+    return repeats.find_repeats(_table(spark, sf_dir, "documents")).drop("kept", "mark")
+
+
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every hundredth vector; every seventh takes the next label first."""
+    vectors = _table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(vectors.withColumn("label", label), F.col("vec_id") % 100 == 0)
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near words, form and root of every word of the corpus."""
+    return spelling.spelling_variants(_table(spark, sf_dir, "documents"))
+
+
+def op13_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words and benchmark items that every document has in common with the benchmark."""
+    found = decontamination.find_contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        "n_items",
+        F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
 
 
 def _mix_level(level: str, path: str, above: str) -> str:
@@ -246,6 +285,89 @@ SELECT doc_id, len(words) AS n_words, len(words) - coalesce(n, 0) AS n_removed,
 FROM d LEFT JOIN left_over USING (doc_id)
 """
 
+NEGATIVES_SQL = """
+WITH r AS (
+    SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+        list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS q
+    FROM embeddings
+    WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+        AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+scored AS (
+    SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, CAST(list_inner_product(a.q, b.q) AS BIGINT) AS score
+    FROM r a JOIN r b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id AND len(a.q) = len(b.q)),
+positives AS (
+    SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE same
+    QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT anchor_id, positive_id, CAST(row_number() OVER w AS INT) AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+FROM positives JOIN scored USING (anchor_id)
+WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id)
+QUALIFY row_number() OVER w <= 10
+"""
+
+SPELLING_SQL = f"""
+WITH RECURSIVE crc AS (
+    SELECT list_transform(range(256), lambda i: list_reduce(range(8),
+        lambda c, b: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i)) AS t),
+runs AS (
+    SELECT doc_id, run, count(*) AS n FROM (
+        SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')), '{linkgraph.UPPER}', '{linkgraph.LOWER}') AS run
+        FROM documents)
+    GROUP BY ALL),
+hashed AS (
+    SELECT run, n, xor(4294967295, list_reduce(
+        flatten(list_transform(regexp_extract_all(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run, '.'),
+            lambda c: CASE WHEN ord(c) < 128 THEN [ord(c)] ELSE [192 + (ord(c) >> 6), 128 + (ord(c) & 63)] END)),
+        lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), 4294967295)) AS h
+    FROM runs, crc),
+words AS (
+    SELECT word, CAST(sum(n) AS BIGINT) AS n FROM (
+        SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, CAST(h % length(run) AS INT)) || substr(run, CAST(h % length(run) AS INT) + 2)
+            ELSE run END AS word, n FROM hashed)
+    GROUP BY word HAVING length(word) >= 5 AND sum(n) >= 3),
+cut AS (
+    SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest
+    FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words)),
+near AS (
+    SELECT a.word, b.word AS other, b.n FROM cut a JOIN cut b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+    UNION SELECT a.word, v.word, v.n FROM cut a JOIN words v ON a.rest = v.word
+    UNION SELECT v.word, a.word, a.n FROM cut a JOIN words v ON a.rest = v.word),
+best AS (
+    SELECT word, other, n AS other_n, count(*) OVER (PARTITION BY word) AS n_near
+    FROM near QUALIFY row_number() OVER (PARTITION BY word ORDER BY n DESC, other) = 1),
+placed AS (
+    SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN other_n >= 2 * n THEN other END AS form,
+        CASE WHEN other_n >= 2 * n THEN other_n END AS form_n
+    FROM words LEFT JOIN best USING (word)),
+walk AS (
+    SELECT word, word AS root FROM words
+    UNION ALL SELECT walk.word, placed.form FROM walk JOIN placed ON walk.root = placed.word WHERE placed.form IS NOT NULL)
+SELECT placed.word, placed.form, walk.root, placed.n, placed.n_near, placed.form_n
+FROM placed JOIN walk USING (word) JOIN placed ends ON ends.word = walk.root WHERE ends.form IS NULL
+"""
+
+_PLAIN_WORDS = f"""coalesce(regexp_extract_all(translate(text, '{linkgraph.UPPER}', '{linkgraph.LOWER}'),
+        '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), [])"""
+
+DECONTAMINATION_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_PLAIN_WORDS} AS w FROM documents),
+items AS (SELECT item_id, w, least(10, len(w)) AS z FROM (SELECT item_id, {_PLAIN_WORDS} AS w FROM benchmark) WHERE len(w) > 0),
+grams AS (
+    SELECT DISTINCT item_id, z, array_to_string(w[k:k + z - 1], ' ') AS g
+    FROM (SELECT *, unnest(range(1, len(w) - z + 2)) AS k FROM items)),
+windows AS (
+    SELECT r, k, z, array_to_string(w[k:k + z - 1], ' ') AS g
+    FROM (SELECT r, w, z, unnest(range(1, len(w) - z + 2)) AS k FROM d JOIN (SELECT DISTINCT z FROM grams) ON len(w) >= z)),
+hits AS (SELECT r, k, z, item_id FROM windows JOIN grams USING (z, g)),
+hit_words AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(k, k + z)) AS p FROM hits) GROUP BY r),
+hit_items AS (
+    SELECT r, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS ids
+    FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS i FROM hits WHERE item_id IS NOT NULL) GROUP BY r)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+    sha256(coalesce(ids, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM d LEFT JOIN hit_words USING (r) LEFT JOIN hit_items USING (r)
+"""
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_byte_bpe": op2_byte_bpe,
@@ -257,6 +379,9 @@ QUERIES = {
     "op8_url_filters": op8_url_filters,
     "op9_mixing": op9_mixing,
     "op10_substring_dedup": op10_substring_dedup,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_spelling_variants": op12_spelling_variants,
+    "op13_decontamination": op13_decontamination,
 }
 
 SQL = {
@@ -264,4 +389,7 @@ SQL = {
     "op8_url_filters": _url_sql(),
     "op9_mixing": MIX_SQL,
     "op10_substring_dedup": REPEATS_SQL,
+    "op11_hard_negatives": NEGATIVES_SQL,
+    "op12_spelling_variants": SPELLING_SQL,
+    "op13_decontamination": DECONTAMINATION_SQL,
 }

@@ -195,7 +195,7 @@ def _find_later(group: pd.DataFrame) -> pd.DataFrame:
 
 def _finish(buckets: int):
     def work(chunk: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-        out: dict[str, list] = {"doc_id": [], "n_words": [], "n_removed": [], "kept": [], "kept_sha256": []}
+        out: dict[str, list] = {"doc_id": [], "n_words": [], "n_removed": [], "kept": [], "kept_sha256": [], "mark": []}
         if len(chunk):
             hits = answers[answers["hits"].notna()]
             windows, (at, first, one, two) = _opened(chunk, hits, buckets)
@@ -209,7 +209,8 @@ def _finish(buckets: int):
             kept = np.cumsum(cover)[: len(windows.words)] == 0
             pieces = np.array(windows.chunk.pieces(), object)
             ends = np.cumsum(windows.chunk.lengths)
-            for doc_id, no_id, a, b in zip(windows.chunk.ids, windows.chunk.no_id, ends - windows.chunk.lengths, ends):
+            own = windows.chunk
+            for doc_id, no_id, mark, a, b in zip(own.ids, own.no_id, own.marks, ends - own.lengths, ends):
                 stay = kept[a:b]
                 left = b" ".join(pieces[windows.chunk.codes[a:b][stay]])
                 gone = int(len(stay) - stay.sum())
@@ -218,6 +219,7 @@ def _finish(buckets: int):
                 out["n_removed"].append(gone)
                 out["kept"].append(left if gone else None)
                 out["kept_sha256"].append(sha256_hex(left))
+                out["mark"].append(int(mark))
         frame = pd.DataFrame(out)
         return frame.astype({"doc_id": "Int64"})
 
@@ -225,7 +227,7 @@ def _finish(buckets: int):
 
 
 def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, n_words, n_removed, kept, kept_sha256.
+    """One row per document: doc_id, n_words, n_removed, kept, kept_sha256, mark (the text's xxhash64).
 
     A word goes if it is covered by 13 consecutive words that also start in a document with a
     smaller id; windows are judged on the input. `kept` is what is left, words joined by one
@@ -233,7 +235,7 @@ def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     row without id neither loses words nor takes any from others; rows with equal ids do not
     remove each other's words.
     """
-    chunks = packed(docs, words_of, id_col, text_col)
+    chunks = packed(docs, words_of, id_col, text_col, marked=True)
     total = chunks.agg(F.sum("n_pieces")).first()[0] or 0
     buckets = max(1, -(-total // PER_BUCKET))
     sent = chunks.mapInArrow(_send_anchors(buckets), "bucket long, chunk long, values binary")
@@ -252,7 +254,7 @@ def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         chunks.groupBy("chunk")
         .cogroup(answers.groupBy("chunk"))
         .applyInPandas(
-            _finish(buckets), "doc_id long, n_words long, n_removed long, kept binary, kept_sha256 string"
+            _finish(buckets), "doc_id long, n_words long, n_removed long, kept binary, kept_sha256 string, mark long"
         )
     )
 
@@ -261,18 +263,18 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """All documents with their columns, the text of those that lost words being the words left.
 
     A document of which nothing is left stays with an empty text; other texts are not touched.
-    A column n_chars follows the new text. Of rows that share an id the one with the fewest
-    words removed speaks for all.
+    A column n_chars follows the new text. Rows are told apart by id and text.
     """
     changed = (
         find_repeats(docs, id_col, text_col)
         .where("n_removed > 0 AND doc_id IS NOT NULL")
-        .groupBy(F.col("doc_id").alias("__id"))
-        .agg(F.min(F.struct("n_removed", "kept")).alias("__left"))
+        .select(F.col("doc_id").alias("__id"), F.col("mark").alias("__mark"), F.col("kept").cast("string").alias("__left"))
+        .dropDuplicates(["__id", "__mark"])
     )
-    joined = docs.join(changed, docs[id_col].cast("long") == F.col("__id"), "left")
-    left = F.col("__left.kept").cast("string")
-    new = {text_col: F.when(F.col("__id").isNotNull(), left).otherwise(docs[text_col])}
+    same = (docs[id_col].cast("long") == F.col("__id")) & (F.xxhash64(docs[text_col].cast("binary")) == F.col("__mark"))
+    joined = docs.join(changed, same, "left")
+    gone, left = F.col("__id").isNotNull(), F.col("__left")
+    new = {text_col: F.when(gone, left).otherwise(docs[text_col])}
     if "n_chars" in docs.columns:
-        new["n_chars"] = F.when(F.col("__id").isNotNull(), F.length(left).cast("long")).otherwise(docs["n_chars"])
+        new["n_chars"] = F.when(gone, F.length(left).cast("long")).otherwise(docs["n_chars"])
     return joined.select(*(new.get(c, docs[c]).alias(c) for c in docs.columns))

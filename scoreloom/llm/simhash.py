@@ -59,15 +59,23 @@ def fingerprint(text: bytes | None, shingle: int = SHINGLE, seed: int = SEED) ->
     return int(np.packbits(2 * ones > n, bitorder="little").view("<i8")[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp) of every row, over the whole text; a null or wordless text has fp 0."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", marked: bool = False) -> DataFrame:
+    """(doc_id, fp) of every row, over the whole text; a null or wordless text has fp 0. `mark` is the text's xxhash64."""
 
     def work(batches):
         for batch in batches:
             fps = [fingerprint(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64())], schema=_SCHEMA)
 
-    return id_and_text(docs, id_col, text_col).mapInArrow(work, "doc_id long, fp long")
+    def work_marked(batches):
+        for batch in batches:
+            fps = [fingerprint(t) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64()), batch.column(2)], names=["doc_id", "fp", "mark"])
+
+    rows = id_and_text(docs, id_col, text_col)
+    if marked:
+        return rows.withColumn("mark", F.xxhash64("text")).mapInArrow(work_marked, "doc_id long, fp long, mark long")
+    return rows.mapInArrow(work, "doc_id long, fp long")
 
 
 def _segment(fp: Column, start: int, k: int) -> Column:
@@ -166,6 +174,12 @@ def _forest(group: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"a": a.view(np.int64), "b": b.view(np.int64)})
 
 
+def _placed(nodes: DataFrame) -> DataFrame:
+    """Distinct fingerprints (fp, ...) with the component they belong to."""
+    reach = connected_components(linked_pairs(nodes.select("fp")))
+    return nodes.join(reach.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, fp (long), component_id (smallest doc_id it reaches by links).
 
@@ -175,21 +189,31 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     columns are not read.
     """
     prints = settled(fingerprints(docs, id_col, text_col))
-    nodes = settled(prints.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    reach = connected_components(linked_pairs(nodes.select("fp")))
-    placed = nodes.join(reach.withColumnRenamed("node", "fp"), "fp", "left").select(
-        "fp", "first", F.coalesce("component", "fp").alias("component")
-    )
+    placed = _placed(settled(prints.groupBy("fp").agg(F.min("doc_id").alias("first"))))
     least = placed.groupBy("component").agg(F.min("first").alias("component_id"))
     classes = placed.join(least, "component").select("fp", "component_id")
     return prints.join(classes, "fp").select("doc_id", "fp", "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents of which each component keeps the one with the smallest id, all columns as they were.
+    """One row of each component, all columns as they were: the one with the smallest id.
 
-    Rows without id cannot be named as anyone's copy and stay.
+    Rows are told apart by id and text, so rows that share an id but not a component all have
+    their own say. A row without id comes after those with one. Of rows with the same id and
+    text one stays.
     """
-    found = near_duplicates(docs, id_col, text_col)
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs[id_col].cast("long") == F.col("__gone"), "left_anti")
+    prints = fingerprints(docs, id_col, text_col, marked=True)
+    rows = prints.groupBy("fp", "doc_id", "mark").agg(F.count(F.lit(1)).alias("copies"))
+    first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "mark", "copies")
+    nodes = settled(rows.groupBy("fp").agg(F.min(first).alias("first")))
+    stay = settled(
+        _placed(nodes).groupBy("component").agg(F.min("first").alias("first"))
+        .select(F.col("first.doc_id").alias("__id"), F.col("first.mark").alias("__mark"), F.col("first.copies").alias("__copies"))
+    )
+    found = docs.join(
+        stay, docs[id_col].cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(docs[text_col].cast("binary")) == F.col("__mark"))
+    )
+    if stay.where("__copies > 1").isEmpty():
+        return found.select(*(docs[c] for c in docs.columns))
+    once = found.where("__copies > 1").dropDuplicates(["__id", "__mark"])
+    return found.where("__copies = 1").unionByName(once).drop("__id", "__mark", "__copies")

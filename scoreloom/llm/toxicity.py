@@ -14,7 +14,6 @@ from __future__ import annotations
 from collections import defaultdict
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -177,11 +176,17 @@ def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_co
 
 
 def drop_toxic(docs: DataFrame, model: ToxicityModel, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
-    """The documents that score below the threshold, with all their columns; null texts are scored as empty."""
+    """The documents that score below the threshold, with all their columns; null texts are scored as empty.
+
+    Whole rows pass through the task, some hundred at a time, so none waits elsewhere for its score.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("double")
-    def toxic(texts: pd.Series) -> pd.Series:
-        return pd.Series(shared.value.scores(texts.tolist()))
+    def work(batches):
+        for batch in batches:
+            for first in range(0, len(batch), 512):
+                part = batch.slice(first, 512)
+                texts = part.column(part.schema.get_field_index(text_col)).cast(pa.binary()).to_pylist()
+                yield part.filter(pa.array(shared.value.scores(texts) < threshold))
 
-    return docs.where(toxic(F.col(text_col).cast("binary")) < threshold)
+    return docs.mapInArrow(work, docs.schema)

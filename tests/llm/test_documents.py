@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from scoreloom.llm import bpe, likeness, mixing, quality, repeats, sharding, simhash, tokenstore, toxicity
+from scoreloom.llm import bpe, mixing, quality, repeats, sharding, simhash, tokenstore, toxicity
 from tests.llm.conftest import make
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
@@ -294,63 +294,24 @@ def test_drop_near_duplicates_keeps_one_of_each_group(docs, none):
     assert kept.columns == docs.columns
     found = simhash.near_duplicates(docs).where("doc_id IS NOT NULL").collect()
     assert {r["doc_id"] for r in kept.collect()} - {None} == {r["component_id"] for r in found}
+    assert len(found) > kept.count()
     assert simhash.near_duplicates(none).count() == 0 and simhash.drop_near_duplicates(none).count() == 0
 
 
-def near_copies_of(rows):
-    """Smallest id of each row's component: three or fewer bits apart, or Jaccard 0.8 of 5-word shingles."""
-    low = lambda t: "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")
-    split = [words(low(t)) for _, t, *_ in rows]
-    sets = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set() for w in split]
-    prints = [simhash_of(t) for _, t, *_ in rows]
-    label = list(range(len(rows)))
-    for a in range(len(rows)):
-        for b in range(a):
-            both = len(sets[a] & sets[b])
-            if (prints[a] ^ prints[b]).bit_count() <= 3 or 5 * both >= 4 * (len(sets[a]) + len(sets[b]) - both):
-                x, y = label[a], label[b]
-                label = [y if z == x else z for z in label]
-    least = {}
-    for g, (i, *_) in zip(label, rows):
-        if i is not None:
-            least[g] = min(i, least.get(g, i))
-    return bag((i, least.get(g)) for g, (i, *_) in zip(label, rows))
-
-
-def near_rows():
-    """Chains of copies with words changed, so that many pairs lie on both sides of the threshold."""
-    rnd = np.random.default_rng(8)
-    rows = []
-    for group in range(6):
-        base = [f"g{group}w{k}" for k in range(110)]
-        for k in range(25):
-            text = list(rows[-1][1].split()) if k % 5 and rows else list(base)
-            for at in rnd.choice(110, int(rnd.integers(1, 6)), replace=False):
-                text[at] = f"n{rnd.integers(10**9)}"
-            rows.append((len(rows) * 7 + 1, " ".join(text)))
-    return rows
-
-
-def test_pipeline_drops_all_near_copies_at_the_threshold(spark, docs, rows):
-    near = near_rows()
-    frame = make(spark, near).repartition(4)
-    found = bag(tuple(r) for r in likeness.near_copies(frame).collect())
-    assert found == near_copies_of(near)
-    missed = bag((r["doc_id"], r["component_id"]) for r in simhash.near_duplicates(frame).collect())
-    assert found != missed
-    assert bag(tuple(r) for r in likeness.near_copies(docs).collect()) == near_copies_of(rows)
-
-
-def test_pipeline_stage_keeps_one_of_each_group(spark, docs, none):
+def test_pipeline_stage_is_simhash_by_its_contract(spark, docs, none):
     kept = corpus_pipeline.drop_copies(spark, docs, "")
-    assert kept.columns == docs.columns
-    found = likeness.near_copies(docs).where("doc_id IS NOT NULL").collect()
-    assert {r["doc_id"] for r in kept.collect()} - {None} == {r["component_id"] for r in found}
-    pair = make(spark, near_rows()[:2])
-    assert corpus_pipeline.drop_copies(spark, pair, "").count() == 1
+    assert kept.columns == docs.columns and (simhash.SHINGLE, simhash.DISTANCE) == (3, 3)
+    assert bag(kept.collect()) == bag(simhash.drop_near_duplicates(docs).collect())
     assert corpus_pipeline.drop_copies(spark, none, "").count() == 0
 
 
+def test_rows_that_share_an_id_are_dropped_one_by_one(spark):
+    passage, other = " ".join(f"p{k}" for k in range(30)), " ".join(f"q{k}" for k in range(30))
+    rows = [(3, passage), (7, passage), (7, other), (7, other), (None, passage), (None, "alone " + other[:50]), (9, None), (9, ""), (8, "")]
+    kept = simhash.drop_near_duplicates(make(spark, rows))
+    assert bag((r["doc_id"], r["text"]) for r in kept.collect()) == bag([(3, passage), (7, other), (None, "alone " + other[:50]), (8, "")])
+
+
 # Substring dedup
 
 
@@ -374,9 +335,9 @@ def without_repeats(rows):
 @pytest.mark.parametrize("per_bucket, chunk", [(1 << 20, 8 << 20), (700, 4000)])
 def test_repeats_equal_brute_force(docs, rows, monkeypatch, per_bucket, chunk):
     monkeypatch.setattr(repeats, "PER_BUCKET", per_bucket)
-    monkeypatch.setattr("scoreloom.llm.packing.packed.__defaults__", ("doc_id", "text", chunk))
+    monkeypatch.setattr("scoreloom.llm.packing.packed.__defaults__", ("doc_id", "text", chunk, False))
     want = [(i, n, gone, hashlib.sha256(left.encode()).hexdigest()) for i, n, gone, left in without_repeats(rows)]
-    found = repeats.find_repeats(docs).drop("kept").collect()
+    found = repeats.find_repeats(docs).drop("kept", "mark").collect()
     assert sum(w[2] for w in want) > 300
     assert bag(found) == bag(want)
 
@@ -401,6 +362,14 @@ def test_drop_repeats_changes_only_what_lost_words(docs, rows, none):
     assert repeats.find_repeats(none).count() == 0 and repeats.drop_repeats(none).count() == 0
 
 
+def test_rows_that_share_an_id_lose_their_own_words(spark):
+    passage = " ".join(f"p{k}" for k in range(20))
+    rows = [(1, passage), (7, "alone and not to be touched"), (7, f"x {passage} y"), (7, f"x {passage} y"), (7, f"{passage}\nz"), (7, None)]
+    out = repeats.drop_repeats(make(spark, rows).repartition(3))
+    want = [(1, passage), (7, "alone and not to be touched"), (7, "x y"), (7, "x y"), (7, "z"), (7, None)]
+    assert bag((r["doc_id"], r["text"]) for r in out.collect()) == bag(want)
+
+
 # Mixing
 
 
@@ -429,3 +398,13 @@ def test_mix_takes_prefixes_of_whole_epochs(docs, rows, monkeypatch, none):
     out = mixing.mixed(docs, {"de": 5.0}, budget=0.5, max_epochs=1)
     assert out.columns == docs.columns and 0 < out.count() < len(rows)
     assert mixing.select_mix(none, {}).count() == 0 and mixing.mixed(none, {}).count() == 0
+
+
+def test_rows_that_share_an_id_are_taken_one_by_one(spark):
+    rows = [(7, "a b c"), (7, "a b c d e f"), (1, "a"), (None, "x y"), (None, "x y"), (7, None)] + [(5, "q q q q")] * 6
+    docs = make(spark, rows).repartition(3)
+    for budget, epochs in ((0.5, 1), (1.0, 1), (0.7, 2), (1.7, 2)):
+        taken = mixing.select_mix(docs, {}, budget=budget, max_epochs=epochs).collect()
+        out = mixing.mixed(docs, {}, budget=budget, max_epochs=epochs).collect()
+        assert bag((r["doc_id"], len(words(r["text"]))) for r in out) == bag((r["doc_id"], r["n_tokens"]) for r in taken)
+        assert sum(len(words(r["text"])) for r in out) <= budget * sum(len(words(t)) for _, t in rows)

@@ -167,7 +167,7 @@ def test_query_gives_a_row_per_document(spark, sf_dir, name):
 
 def test_registered(sf_dir):
     names = set(entry_module.queries())
-    assert "pipeline" in names and {int(m[1]) for n in names if (m := re.match(r"op(\d+)_", n))} == set(range(1, 11))
+    assert "pipeline" in names and {int(m[1]) for n in names if (m := re.match(r"op(\d+)_", n))} == set(range(1, 14))
 
 
 def test_pipeline_stages_keep_columns_and_survive_odd_rows(spark, sf_dir, tmp_path):
