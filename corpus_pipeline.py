@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scoreloom.llm import bpe, likeness, mixing, repeats, toxicity
+from scoreloom.llm import bpe, mixing, repeats, simhash, toxicity
 from scoreloom.llm.queries import WEIGHTS
 from scoreloom.session import attach, scratch
 
@@ -23,9 +23,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of every group of near copies, by SimHash or by exact shingles, the document with the smallest id stays."""
+    """Of every group that SimHash links (3-word shingles, at most 3 bits), the document with the smallest id stays."""
     attach(spark)
-    return likeness.drop_near_copies(docs)
+    return simhash.drop_near_duplicates(docs)
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
