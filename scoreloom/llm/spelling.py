@@ -27,12 +27,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scoreloom.llm.common import id_and_text, settled
+from scoreloom.session import small_side
 
 MIN_LENGTH, MIN_COUNT = 5, 3
 # A variant's form is at least so many times as frequent.
 RATIO = 2
-SHORTEST, LONGEST = 2, 5
-PLACES = 4096
+SHORTEST, LONGEST = 2, 6
+PLACES = 16384
 # Marks of a word's beginning and end.
 BEGIN, END = "\x02", "\x03"
 # Words in one list that meet in one task.
@@ -192,15 +193,15 @@ def _indexed(vocabulary: DataFrame, dictionary: Dictionary) -> DataFrame:
                 guests.append([_key(g, a + k, n + 1) for g, a in grams for k in (0, 1)])
                 mask = 0
                 for c in set(word):
-                    mask |= 1 << ord(c) % 63
+                    mask |= 1 << ord(c) % 31
                 letters.append(mask)
             kind = pa.list_(pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(letters, pa.int64()), pa.array(homes, kind), pa.array(guests, kind)],
+                [*batch.columns, pa.array(letters, pa.int32()), pa.array(homes, kind), pa.array(guests, kind)],
                 names=["word", "n", "letters", "homes", "guests"],
             )
 
-    return vocabulary.mapInArrow(work, "word string, n long, letters long, homes array<long>, guests array<long>")
+    return vocabulary.mapInArrow(work, "word string, n long, letters int, homes array<long>, guests array<long>")
 
 
 def near_words(vocabulary: DataFrame, places: int = PLACES, longest: int = LONGEST) -> DataFrame:
@@ -223,6 +224,7 @@ def near_words(vocabulary: DataFrame, places: int = PLACES, longest: int = LONGE
         left, right = left.withColumn("part", F.lit(0)), right.withColumn("part", F.lit(0))
     else:
         parts = F.coalesce("parts", F.lit(1))
+        hot = small_side(hot)
         left = left.join(hot, "key", "left").withColumn("part", F.pmod(F.xxhash64("word"), parts).cast("int")).drop("parts")
         right = right.join(hot, "key", "left").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts")
     a, b = left.alias("a"), right.alias("b")
@@ -237,7 +239,8 @@ def near_words(vocabulary: DataFrame, places: int = PLACES, longest: int = LONGE
         F.col("a.word").alias("word"), F.col("a.n").alias("own"), F.col("b.word").alias("other"), F.col("b.n").alias("n")
     )
     both = pairs.select("word", "other", "n").union(pairs.select("other", "word", "own"))
-    return both.distinct()
+    # Brought together by word, which serves both this and what is asked of each word's near words.
+    return both.repartition("word").distinct()
 
 
 def _roots(forms: DataFrame) -> DataFrame:
