@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 from scoreloom.catalog import twins
 from scoreloom.catalog.mart import _means_only, _ranked, staged
 from scoreloom.catalog.registry import query, rounded, rounded_sql
+from scoreloom.functions import registry
 from scoreloom.operators import filters
 from scoreloom.operators.filters import run_time
 from scoreloom.plans import reports
 from scoreloom.plans.policies import POLICIES
-from scoreloom.sources.results import union_runs
+from scoreloom.session import scratch
+from scoreloom.sources.results import append_results, scan_open_results, union_runs
 from scoreloom.sources.tables import results
 
 FIRST_FIVE = [p.name for p in POLICIES[:5]]
@@ -530,3 +532,51 @@ def scalar_functions(spark, sf_dir):
         F.greatest(F.least(F.col("o_totalprice") / 100000, F.lit(1.0)), F.lit(0.5)).alias("clamped"),
         F.to_date(run_time(F.unix_seconds(F.col("o_orderdate").cast("timestamp")).cast("double"))).alias("day"),
     )
+
+
+@query(
+    "format_number",
+    _from_results(
+        """SELECT policy_name, benchmark, format('{:,}', CAST(sum(total_tokens) AS BIGINT)) AS tokens,
+          format('{:,.3f}', round(sum(generation_time), 6)) AS seconds FROM results GROUP BY policy_name, benchmark"""
+    ),
+)
+def format_number(spark, sf_dir):
+    """Totals as a dashboard shows them."""
+    totals = results(spark, sf_dir).groupBy("policy_name", "benchmark").agg(
+        F.sum("total_tokens").alias("tokens"), F.round(F.sum("generation_time"), 6).alias("seconds")
+    )
+    return totals.select(
+        "policy_name",
+        "benchmark",
+        filters.format_number(F.col("tokens"), 0).alias("tokens"),
+        filters.format_number(F.col("seconds"), 3).alias("seconds"),
+    )
+
+
+def _share_of_truth(prediction, reference):
+    return F.length(prediction) / F.length(reference)
+
+
+@query(
+    "open_columns",
+    _from_results(
+        " UNION ALL ".join(
+            f"""SELECT '{m}' AS metric, avg({m}) AS mean, CAST(min({m}) AS DOUBLE) AS min,
+            CAST(max({m}) AS DOUBLE) AS max, stddev_pop({m}) AS std, count({m}) AS count FROM with_own"""
+            for m in [*_METRICS, "share_of_truth"]
+        ).join([", with_own AS (SELECT *, CASE WHEN benchmark = 'worfbench' THEN length(response) / CAST(length(ground_truth) AS DOUBLE) END AS share_of_truth FROM results) ", ""]),
+        "mean min max std",
+    ),
+)
+def open_columns(spark, sf_dir):
+    """A metric of the user's own, registered by name, stored by one run of two, found and aggregated undeclared."""
+    registry.register_metric("share_of_truth", _share_of_truth)
+    own = registry.registered_metrics()["share_of_truth"]
+    registry.unregister_metric("share_of_truth")
+    path = scratch(spark, "open-results")
+    rows = results(spark, sf_dir)
+    append_results(rows.where(F.col("benchmark") == "crmarena"), path)
+    worf = rows.where(F.col("benchmark") == "worfbench")
+    append_results(worf.withColumn("share_of_truth", own(F.col("response"), F.col("ground_truth"))), path)
+    return rounded(reports.aggregate_metrics(scan_open_results(spark, path)))

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from scoreloom.catalog import twins
 from scoreloom.catalog.registry import query, rounded, rounded_sql
-from scoreloom.plans import generation, policies, reports
+from scoreloom.plans import benchmark, generation, policies, reports
 from scoreloom.schemas import RESULTS
 from scoreloom.session import scratch
 from scoreloom.sources import jobs as job_source
@@ -63,12 +65,36 @@ def sink_jobs_jsonl(spark, sf_dir):
     )
 
 
-_STORED = "sample_id, policy_name, benchmark, response, throughput, total_tokens, error"
+_STORED = ", ".join(RESULTS.fieldNames())
+_STORED_DOUBLES = " ".join(f.name for f in RESULTS if f.dataType.typeName() == "double")
 
 
 def _stored_sql(times: int = 1) -> str:
     body = " UNION ALL ".join([f"SELECT {_STORED} FROM results"] * times)
-    return rounded_sql(f"WITH {twins.RESULTS} {body}", "throughput")
+    return rounded_sql(f"WITH {twins.RESULTS} {body}", _STORED_DOUBLES)
+
+
+@query(
+    "quarantine_jobs",
+    f"""WITH {twins.SUITE_JOBS}, told AS (
+      SELECT CASE WHEN length(prompt) % 5 = 0 THEN 'prompt is missing' WHEN length(ground_truth) % 7 = 0 THEN 'ground_truth is missing' END AS reason
+      FROM jobs)
+    SELECT CASE WHEN reason IS NULL THEN 'good' ELSE 'rejected' END AS route, reason, count(*) AS jobs FROM told GROUP BY ALL""",
+)
+def quarantine_jobs(spark, sf_dir):
+    """Job lines, some without a prompt or truth; one write sends good and rejected ones to folders of their own."""
+    lines = suite_jobs(spark, sf_dir).withColumns(
+        {
+            "ground_truth": F.when(F.length("ground_truth") % 7 != 0, F.col("ground_truth")),
+            "prompt": F.when(F.length("prompt") % 5 != 0, F.col("prompt")),
+        }
+    )
+    path, routed = scratch(spark, "jobs"), scratch(spark, "routed-jobs")
+    job_source.write_jobs(lines, path)
+    scanned = job_source.scan_jobs(spark, path)
+    store.write_routed(scanned, F.col("reject"), routed)
+    stored = store.scan_routed(spark, routed, scanned.schema)
+    return stored.groupBy("route", F.col("reject").alias("reason")).agg(F.count("*").alias("jobs"))
 
 
 @query("sink_results_parquet", _stored_sql())
@@ -352,3 +378,55 @@ def apply_generator(spark, sf_dir):
     requests = policies.plan_requests(suite_jobs(spark, sf_dir)).drop("params")
     answered = generation.apply_generator(requests, shout)
     return answered.select("sample_id", "policy_name", "response", "error")
+
+
+def in_pieces(prompt: str, request: dict):
+    """A stand-in generator that says the prompt again, word by word, and refuses long ones."""
+    if len(prompt) > 200:
+        raise ValueError("prompt too long")
+    yield from re.split(r"(?<= )", prompt)
+
+
+_RUN_MEANS = "mean_exact_match mean_precision mean_recall mean_f1 mean_reference_length mean_policy_overhead"
+
+
+@query(
+    "benchmark_run",
+    rounded_sql(
+        f"""WITH {twins.SUITE_JOBS}, names(policy_name) AS (VALUES {_NAMES}),
+        scored AS (
+          SELECT benchmark, length(prompt) > 200 AS failed, {twins.tokens_sql("prompt")} AS p, {twins.tokens_sql("ground_truth")} AS r,
+            CAST({twins.normalize_sql("prompt")} = {twins.normalize_sql("ground_truth")} AS DOUBLE) AS same,
+            len({twins.word_tokens_sql("ground_truth")}) AS words FROM jobs),
+        sizes AS (
+          SELECT *, len(list_intersect(list_distinct(p), list_distinct(r))) AS s, len(list_distinct(p)) AS np, len(list_distinct(r)) AS nr FROM scored),
+        rates AS (SELECT *, {twins.ratio_sql("s", "np")} AS precision, {twins.ratio_sql("s", "nr")} AS recall FROM sizes)
+        SELECT policy_name, benchmark, count(*) AS requests, count(*) AS stored, count(*) FILTER (failed) AS failed, 0::BIGINT AS untimed,
+          avg(same) FILTER (NOT failed) AS mean_exact_match, avg(precision) FILTER (NOT failed) AS mean_precision, avg(recall) FILTER (NOT failed) AS mean_recall,
+          avg(CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0 END) FILTER (NOT failed) AS mean_f1,
+          avg(words) FILTER (NOT failed) AS mean_reference_length,
+          avg({twins.overhead_sql()}) FILTER (NOT failed) AS mean_policy_overhead
+        FROM rates CROSS JOIN names GROUP BY policy_name, benchmark""",
+        _RUN_MEANS,
+    ),
+)
+def benchmark_run(spark, sf_dir):
+    """Jobs to scored results in slices; the run stops half way and is started again over all jobs."""
+    path, jobs = scratch(spark, "benchmark-run"), suite_jobs(spark, sf_dir)
+    benchmark.run_benchmark(jobs, in_pieces, path, slices=2, upto=1)
+    table = benchmark.run_benchmark(jobs, in_pieces, path, slices=2)
+    answered = F.col("error").isNull()
+    timings = ("first_token_latency", "avg_token_latency", "generation_time", "throughput", "total_tokens", "policy_overhead")
+    untimed = F.lit(False)
+    for name in timings:
+        untimed = untimed | F.col(name).isNull()
+    means = (F.avg(F.when(answered, F.col(m.removeprefix("mean_")))).alias(m) for m in _RUN_MEANS.split())
+    return rounded(
+        table.groupBy("policy_name", "benchmark").agg(
+            F.count_distinct("sample_id").alias("requests"),
+            F.count("*").alias("stored"),
+            F.count_if(~answered).alias("failed"),
+            F.count_if(answered & untimed).alias("untimed"),
+            *means,
+        )
+    )

@@ -10,7 +10,7 @@ from scoreloom.catalog.registry import query, rounded, rounded_sql
 from scoreloom.functions import coverage, overlap, registry, rouge, text
 from scoreloom.functions.quality import score_pairs
 from scoreloom.schemas import CRM_COLUMNS, WORF_COLUMNS
-from scoreloom.sources.tables import text_pairs
+from scoreloom.sources.tables import text_pairs, text_sides
 
 def _pred() -> Column:
     return F.col("response")
@@ -20,6 +20,14 @@ def _ref() -> Column:
     return F.col("ground_truth")
 
 
+def _text() -> Column:
+    return F.col("text")
+
+
+def _sides(spark, sf_dir, column: Column) -> DataFrame:
+    return text_sides(spark, sf_dir).select("sample_id", "side", column)
+
+
 def _keyed(df: DataFrame, metrics: dict[str, Column]) -> DataFrame:
     return rounded(df.select("sample_id", *(c.alias(n) for n, c in metrics.items())))
 
@@ -56,11 +64,10 @@ def _f_sql(shared: str, predicted: str, expected: str) -> str:
 
 @query(
     "normalize_text",
-    f"WITH {twins.PAIRS} SELECT sample_id, {twins.normalize_sql('response')} AS normalized FROM pairs",
+    f"WITH {twins.SIDES} SELECT sample_id, side, {twins.normalize_sql('text')} AS normalized FROM sides",
 )
 def normalize_text(spark, sf_dir):
-    pairs = text_pairs(spark, sf_dir)
-    return pairs.select("sample_id", text.normalize_text(_pred()).alias("normalized"))
+    return _sides(spark, sf_dir, text.normalize_text(_text()).alias("normalized"))
 
 
 @query(
@@ -113,11 +120,10 @@ def semantic_similarity(spark, sf_dir):
 
 @query(
     "rouge_tokens",
-    f"WITH {twins.PAIRS} SELECT sample_id, {twins.rouge_text_sql('response')} AS rouge_text FROM pairs",
+    f"WITH {twins.SIDES} SELECT sample_id, side, {twins.rouge_text_sql('text')} AS rouge_text FROM sides",
 )
 def rouge_tokens(spark, sf_dir):
-    joined = F.array_join(text.rouge_tokens(_pred()), " ").alias("rouge_text")
-    return text_pairs(spark, sf_dir).select("sample_id", joined)
+    return _sides(spark, sf_dir, F.array_join(text.rouge_tokens(_text()), " ").alias("rouge_text"))
 
 
 @query(
@@ -146,7 +152,17 @@ def rouge_n(spark, sf_dir):
     )
 
 
-@query("rouge_l")
+_SUBSEQUENCE = f"""{_GRAMMED}, {twins.subsequence_sql("longest", "grammed")}"""
+
+
+@query(
+    "rouge_l",
+    rounded_sql(
+        f"""WITH {_SUBSEQUENCE} SELECT sample_id, {_f_sql("coalesce(lcs, 0)", "len(p)", "len(r)")} AS rouge_l
+        FROM grammed LEFT JOIN longest USING (sample_id)""",
+        "rouge_l",
+    ),
+)
 def rouge_l(spark, sf_dir):
     p, r = F.col("p"), F.col("r")
     counted = (
@@ -162,7 +178,29 @@ def rouge_l(spark, sf_dir):
     return _keyed(counted, {"rouge_l": F.expr(overlap.f_measure("lcs", "np", "nr"))})
 
 
-@query("rouge_stemmed")
+_STEMMED = f"""{_GRAMMED.split("doubled AS")[0].rstrip().rstrip(",")},
+tokens AS (
+    SELECT sample_id, 'p' AS side, i, p[i] AS token FROM (SELECT *, unnest(range(1, len(p) + 1)) AS i FROM grammed)
+    UNION ALL SELECT sample_id, 'r', i, r[i] FROM (SELECT *, unnest(range(1, len(r) + 1)) AS i FROM grammed)),
+vocabulary AS (SELECT DISTINCT token FROM tokens), {twins.stems_sql("vocabulary")},
+sided AS (SELECT sample_id, side, list(stem ORDER BY i) AS l FROM tokens JOIN stems USING (token) GROUP BY sample_id, side),
+stemmed AS (
+    SELECT g.sample_id, coalesce(a.l, []) AS p, coalesce(b.l, []) AS r FROM grammed g
+    LEFT JOIN sided a ON a.sample_id = g.sample_id AND a.side = 'p' LEFT JOIN sided b ON b.sample_id = g.sample_id AND b.side = 'r'),
+paired AS (SELECT sample_id,
+    list_transform(range(1, len(p)), lambda i: p[i] || ' ' || p[i + 1]) AS p,
+    list_transform(range(1, len(r)), lambda i: r[i] || ' ' || r[i + 1]) AS r FROM stemmed),
+{twins.multiset_sql("ones", "stemmed", "p", "r")}, {twins.multiset_sql("twos", "paired", "p", "r")},
+{twins.subsequence_sql("longest", "stemmed")},
+rouge AS (
+    SELECT s.sample_id, {_f_sql("coalesce(ones.shared, 0)", "len(s.p)", "len(s.r)")} AS rouge_1,
+      {_f_sql("coalesce(twos.shared, 0)", "len(d.p)", "len(d.r)")} AS rouge_2,
+      {_f_sql("coalesce(lcs, 0)", "len(s.p)", "len(s.r)")} AS rouge_l
+    FROM stemmed s JOIN paired d USING (sample_id) LEFT JOIN ones USING (sample_id)
+    LEFT JOIN twos USING (sample_id) LEFT JOIN longest USING (sample_id))"""
+
+
+@query("rouge_stemmed", rounded_sql(f"WITH {_STEMMED} SELECT * FROM rouge", "rouge_1 rouge_2 rouge_l"))
 def rouge_stemmed(spark, sf_dir):
     matched = text_pairs(spark, sf_dir).withColumn(
         "m", rouge.stemmed_matches(text.rouge_text(_pred()), text.rouge_text(_ref()))
@@ -170,22 +208,27 @@ def rouge_stemmed(spark, sf_dir):
     return _keyed(matched, rouge.rouge_scores("m"))
 
 
-@query("porter_stem")
+@query(
+    "porter_stem",
+    f"""WITH {twins.SIDES},
+    tokens AS (SELECT unnest({twins.words_sql(twins.rouge_text_sql("text"))}) AS token FROM sides),
+    vocabulary AS (SELECT token, count(*) AS occurrences FROM tokens GROUP BY token), {twins.stems_sql("vocabulary")}
+    SELECT token, occurrences, stem FROM vocabulary JOIN stems USING (token)""",
+)
 def porter_stem(spark, sf_dir):
-    """Stems of the vocabulary with their frequencies."""
-    words = text_pairs(spark, sf_dir).select(F.explode(text.rouge_tokens(_pred())).alias("token"))
+    """Stems of the vocabulary of both sides with their frequencies: each distinct token is stemmed once."""
+    words = text_sides(spark, sf_dir).select(F.explode(text.rouge_tokens(_text())).alias("token"))
     counted = words.groupBy("token").agg(F.count("*").alias("occurrences"))
     return counted.withColumn("stem", rouge.stem_tokens("token"))
 
 
 @query(
     "word_tokens",
-    f"""WITH {twins.PAIRS} SELECT sample_id,
-    array_to_string({twins.word_tokens_sql('response')}, ' ') AS tokens FROM pairs""",
+    f"""WITH {twins.SIDES} SELECT sample_id, side,
+    array_to_string({twins.word_tokens_sql('text')}, ' ') AS tokens FROM sides""",
 )
 def word_tokens(spark, sf_dir):
-    joined = F.array_join(text.word_tokens(_pred()), " ").alias("tokens")
-    return text_pairs(spark, sf_dir).select("sample_id", joined)
+    return _sides(spark, sf_dir, F.array_join(text.word_tokens(_text()), " ").alias("tokens"))
 
 
 @query(
@@ -210,12 +253,11 @@ def length_metrics(spark, sf_dir):
 
 @query(
     "word_count",
-    f"""WITH {twins.PAIRS} SELECT sample_id,
-    len({twins.words_sql('response', text.SPACES)}) AS words FROM pairs""",
+    f"""WITH {twins.SIDES} SELECT sample_id, side,
+    len({twins.words_sql('text', text.SPACES)}) AS words FROM sides""",
 )
 def word_count(spark, sf_dir):
-    words = text.word_count(_pred()).cast("long").alias("words")
-    return text_pairs(spark, sf_dir).select("sample_id", words)
+    return _sides(spark, sf_dir, text.word_count(_text()).cast("long").alias("words"))
 
 
 def _hits_sql(column: str, words: list[str]) -> str:
@@ -275,7 +317,43 @@ def worf_coverage(spark, sf_dir):
     )
 
 
-@query("quality_metrics")
+def _inside(suite: str, columns: list[str], source: str) -> str:
+    return ", ".join(f"CASE WHEN benchmark = '{suite}' THEN {source}.{c} END AS {c}" for c in columns)
+
+
+_QUALITY_DOUBLES = " ".join(
+    ["exact_match precision recall f1 rouge_1 rouge_2 rouge_l semantic_similarity length_ratio", *CRM_COLUMNS, *WORF_COLUMNS]
+)
+
+
+@query(
+    "quality_metrics",
+    rounded_sql(
+        f"""WITH {_STEMMED}, tokenised AS (
+          SELECT sample_id, {twins.tokens_sql("response")} AS p, {twins.tokens_sql("ground_truth")} AS r FROM pairs),
+        {twins.multiset_sql("common", "tokenised", "p", "r")},
+        sizes AS (SELECT sample_id, len(list_intersect(list_distinct(p), list_distinct(r))) AS s,
+          len(list_distinct(p)) AS np, len(list_distinct(r)) AS nr,
+          CASE WHEN len(p) > 0 AND len(r) > 0 THEN coalesce(shared, 0) / sqrt(CAST(len(p) AS DOUBLE) * len(r)) ELSE 0.0::DOUBLE END
+            AS semantic_similarity FROM tokenised LEFT JOIN common USING (sample_id)),
+        shares AS (SELECT *, {twins.ratio_sql("s", "np")} AS precision, {twins.ratio_sql("s", "nr")} AS recall FROM sizes),
+        sized AS (SELECT sample_id, len({twins.word_tokens_sql("response")}) AS prediction_length,
+          len({twins.word_tokens_sql("ground_truth")}) AS reference_length FROM pairs),
+        crm AS (SELECT sample_id, {_CRM_SQL} FROM pairs),
+        covered AS (SELECT sample_id, {_WORF_SQL} FROM pairs),
+        worf AS (SELECT *, (analytical_coverage + structure_coverage) / 2 AS reasoning_depth FROM covered)
+        SELECT sample_id, benchmark,
+          CAST({twins.normalize_sql("response")} = {twins.normalize_sql("ground_truth")} AS DOUBLE) AS exact_match,
+          precision, recall, CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0.0::DOUBLE END AS f1,
+          rouge_1, rouge_2, rouge_l, semantic_similarity, prediction_length, reference_length,
+          {twins.ratio_sql("prediction_length", "reference_length")} AS length_ratio,
+          abs(prediction_length - reference_length) AS length_difference,
+          {_inside("crmarena", CRM_COLUMNS, "crm")}, {_inside("worfbench", WORF_COLUMNS, "worf")}
+        FROM pairs JOIN shares USING (sample_id) JOIN rouge USING (sample_id) JOIN sized USING (sample_id)
+        JOIN crm USING (sample_id) JOIN worf USING (sample_id)""",
+        _QUALITY_DOUBLES,
+    ),
+)
 def quality_metrics(spark, sf_dir):
     """Every metric of every pair, stemmed ROUGE included."""
     return rounded(score_pairs(text_pairs(spark, sf_dir)).drop("response", "ground_truth"))
@@ -299,34 +377,32 @@ _CLEAN_MARKDOWN_SQL = "s"
 for _rule in text.MARKDOWN:
     _CLEAN_MARKDOWN_SQL = twins.replace_all(_CLEAN_MARKDOWN_SQL, _rule)
 _CLEAN_MARKDOWN_SQL = twins.replace_all(_CLEAN_MARKDOWN_SQL, (text.SPACES, " "))
-_STRIPPED = f"{twins.PAIRS}, stripped AS (SELECT sample_id, benchmark, {_strip_sql('response')} AS s FROM pairs)"
+_STRIPPED = f"{twins.SIDES}, stripped AS (SELECT sample_id, benchmark, side, {_strip_sql('text')} AS s FROM sides)"
 
 
 @query(
     "clean_crm_answer",
-    f"WITH {_STRIPPED} SELECT sample_id, {_CLEAN_CRM_SQL} AS answer FROM stripped",
+    f"WITH {_STRIPPED} SELECT sample_id, side, {_CLEAN_CRM_SQL} AS answer FROM stripped",
 )
 def clean_crm_answer(spark, sf_dir):
-    cleaned = text.clean_crm_answer(_pred()).alias("answer")
-    return text_pairs(spark, sf_dir).select("sample_id", cleaned)
+    return _sides(spark, sf_dir, text.clean_crm_answer(_text()).alias("answer"))
 
 
 @query(
     "clean_markdown",
-    f"WITH {_STRIPPED} SELECT sample_id, {_CLEAN_MARKDOWN_SQL} AS plain FROM stripped",
+    f"WITH {_STRIPPED} SELECT sample_id, side, {_CLEAN_MARKDOWN_SQL} AS plain FROM stripped",
 )
 def clean_markdown(spark, sf_dir):
-    return text_pairs(spark, sf_dir).select("sample_id", text.clean_markdown(_pred()).alias("plain"))
+    return _sides(spark, sf_dir, text.clean_markdown(_text()).alias("plain"))
 
 
 @query(
     "suite_preprocessing",
-    f"""WITH {_STRIPPED} SELECT sample_id, CASE WHEN benchmark = 'crmarena' THEN {_CLEAN_CRM_SQL}
+    f"""WITH {_STRIPPED} SELECT sample_id, side, CASE WHEN benchmark = 'crmarena' THEN {_CLEAN_CRM_SQL}
     ELSE {_CLEAN_MARKDOWN_SQL} END AS cleaned FROM stripped""",
 )
 def suite_preprocessing(spark, sf_dir):
-    cleaned = registry.clean_response(F.col("benchmark"), _pred())
-    return text_pairs(spark, sf_dir).select("sample_id", cleaned.alias("cleaned"))
+    return _sides(spark, sf_dir, registry.clean_response(F.col("benchmark"), _text()).alias("cleaned"))
 
 
 @query(
@@ -343,3 +419,32 @@ def registered_metric(spark, sf_dir):
     metric = registry.registered_metrics()["same_start"]
     registry.unregister_metric("same_start")
     return text_pairs(spark, sf_dir).select("sample_id", metric(_pred(), _ref()).alias("same_start"))
+
+
+_LIMIT = 2000
+
+
+def _length_share(prediction: str, reference: str) -> float:
+    """A user's metric that cannot do long texts."""
+    if len(prediction) > _LIMIT:
+        raise ValueError("too long")
+    return len(reference) / max(len(prediction), 1)
+
+
+@query(
+    "python_metric",
+    rounded_sql(
+        f"""WITH {twins.PAIRS} SELECT sample_id,
+        CASE WHEN length(response) <= {_LIMIT} THEN length(ground_truth) / CAST(greatest(length(response), 1) AS DOUBLE) END AS length_share,
+        CASE WHEN length(response) > {_LIMIT} THEN 'length_share: ValueError' ELSE '' END AS failed FROM pairs""",
+        "length_share",
+    ),
+)
+def python_metric(spark, sf_dir):
+    """A user's Python metric through the scorer; where it fails the score is NULL and the failure is noted."""
+    registry.register_python_metric("length_share", _length_share)
+    try:
+        scored = score_pairs(text_pairs(spark, sf_dir))
+    finally:
+        registry.unregister_metric("length_share")
+    return rounded(scored.select("sample_id", "length_share", F.concat_ws(",", "metric_errors").alias("failed")))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scoreloom.functions import overlap
-from scoreloom.functions.registry import SUITES, registered_metrics
+from scoreloom.functions.registry import SUITES, guarded_metrics, registered_metrics
 from scoreloom.functions.rouge import common_subsequence, rouge_scores, stemmed_matches
 from scoreloom.functions.text import (
     normalize_text,
@@ -29,7 +29,8 @@ def score_pairs(
     Prepared texts, then counts, then scores: what a later step mentions more than
     once is a column of the step before, so it is computed once. There is no shuffle.
     The one Python stage counts ROUGE matches; it comes first, so that no token array
-    has to wait beside it.
+    has to wait beside it. Where Python metrics are registered, `metric_errors` lists those that
+    failed on a row, as 'name: exception'.
     """
     pred, ref = F.col(prediction), F.col(reference)
     prepared = {
@@ -62,6 +63,9 @@ def score_pairs(
         .withColumns(tokens)
         .withColumns(counts)
     )
+    guarded = guarded_metrics()
+    if guarded:
+        counted = counted.withColumns({f"_user_{name}": metric(pred, ref) for name, metric in guarded.items()})
 
     metrics: dict[str, Column] = {"exact_match": F.col("_exact")}
     metrics |= overlap.token_overlap("_counts")
@@ -76,7 +80,20 @@ def score_pairs(
     metrics |= overlap.length_metrics("_len_p", "_len_r")
     for name, suite in SUITES.items():
         metrics |= suite.scores(f"_{name}_p", f"_{name}_r")
-    metrics |= {name: metric(pred, ref) for name, metric in registered_metrics().items()}
+    metrics |= {name: metric(pred, ref) for name, metric in registered_metrics().items() if name not in guarded}
+    if guarded:
+        metrics |= {name: F.col(f"_user_{name}.value") for name in guarded}
+        # concat is NULL without an error, and NULLs are dropped.
+        failures = (F.concat(F.lit(f"{name}: "), F.col(f"_user_{name}.error")) for name in guarded)
+        metrics["metric_errors"] = F.array_compact(F.array(*failures))
 
     kept = [c for c in df.columns if c not in metrics]
     return counted.select(*kept, *(column.alias(name) for name, column in metrics.items()))
+
+
+def metric_failures(scored: DataFrame) -> DataFrame:
+    """How often each Python metric failed, by kind of exception: metric, exception, failures."""
+    failed = scored.select(F.explode("metric_errors").alias("failed"))
+    return failed.groupBy(
+        F.substring_index("failed", ": ", 1).alias("metric"), F.substring_index("failed", ": ", -1).alias("exception")
+    ).agg(F.count("*").alias("failures"))

@@ -34,36 +34,55 @@ SUITES: dict[str, Suite] = {
 }
 
 _metrics: dict[str, PairMetric] = {}
+# Python metrics give a struct: the value, and what went wrong instead of one.
+_guarded: dict[str, PairMetric] = {}
+OUTCOME = "value double, error string"
 
 
 def register_metric(name: str, metric: PairMetric) -> None:
     """Add a metric built from column expressions: metric(prediction, reference) -> Column."""
+    _guarded.pop(name, None)
     _metrics[name] = metric
 
 
 def register_python_metric(name: str, scorer: Callable[[str, str], float]) -> None:
-    """Add a metric given as a Python scalar function; it runs in Arrow batches."""
+    """Add a metric given as a Python scalar function; it runs in Arrow batches.
 
-    def batch(prediction: pd.Series, reference: pd.Series) -> pd.Series:
-        return pd.Series(
-            [
-                None if p is None or r is None else float(scorer(p, r))
-                for p, r in zip(prediction, reference)
-            ],
-            dtype="float64",
-        )
+    A text pair on which it fails scores NULL and the run goes on; `score_pairs` notes the
+    failure in `metric_errors`.
+    """
+
+    def one(prediction: str | None, reference: str | None) -> tuple[float | None, str | None]:
+        if prediction is None or reference is None:
+            return None, None
+        try:
+            return float(scorer(prediction, reference)), None
+        except Exception as problem:  # noqa: BLE001 - a user's metric must not end the run
+            return None, type(problem).__name__
+
+    def batch(prediction: pd.Series, reference: pd.Series) -> pd.DataFrame:
+        found = [one(p, r) for p, r in zip(prediction, reference)]
+        return pd.DataFrame(found, columns=["value", "error"]).astype({"value": "float64", "error": "object"})
 
-    register_metric(name, F.pandas_udf(batch, "double"))
+    outcome = F.pandas_udf(batch, OUTCOME)
+    register_metric(name, lambda p, r: outcome(p, r)["value"])
+    _guarded[name] = outcome
 
 
 def unregister_metric(name: str) -> None:
     _metrics.pop(name, None)
+    _guarded.pop(name, None)
 
 
 def registered_metrics() -> dict[str, PairMetric]:
     return dict(_metrics)
 
 
+def guarded_metrics() -> dict[str, PairMetric]:
+    """The Python metrics among them, as structs of value and error."""
+    return dict(_guarded)
+
+
 def clean_response(benchmark: Column, response: Column) -> Column:
     """Suite-specific cleaning; other suites keep the text."""
     cleaned = F.when(F.lit(False), response)

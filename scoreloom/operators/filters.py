@@ -69,5 +69,10 @@ def round_display(column: Column, places: int) -> Column:
     return F.rint(column * 10**places) / 10**places
 
 
+def format_number(column: Column, places: int) -> Column:
+    """A number for display: thousands set off by commas, a fixed number of decimal places."""
+    return F.format_number(column, places)
+
+
 def distinct_values(df: DataFrame, column: str) -> DataFrame:
     return df.select(column).distinct()

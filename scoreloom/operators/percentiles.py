@@ -3,10 +3,11 @@
 Spark's exact percentile keeps every distinct value of a group in one buffer,
 which a group holding a third of a large table does not fit. Here a first scan
 sketches each group on a fixed grid of fractions and brackets every wanted rank
-between two grid values; then what lies below the bracket is counted and only the
-values inside it go on, under one percent of the group. As long as a bracket holds
-too many values it is sketched and narrowed again. Ranks are read off exact
-counts, so the sketch decides how much work is left and never the answer.
+between two grid values; a second counts what lies below each bracket and the copies
+of every distinct value inside it. Where few values stand many times a bracket holds
+many rows, but as one value each. Brackets with too many distinct values are
+cut and narrowed again. Ranks are read off exact counts, so the sketch decides how
+much work is left and never the answer.
 """
 
 from __future__ import annotations
@@ -17,14 +18,14 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from scoreloom.session import settle
+from scoreloom.session import settle, small_side
 
 ACCURACY = 10_000
 # Fractions 0, 1/GRID, ... 1 that are sketched.
 GRID = 1000
 # In a group of up to this many values a step of the grid is a few ranks: all of it is kept.
 WHOLE = 5_000
-# Values of a group and percentile that one task may put in order.
+# Distinct values of a group and percentile that one task may put in order.
 KEPT = 500_000
 
 
@@ -54,21 +55,114 @@ def _bracket(grid: str, n: str, first: str, last: str, accuracy: int) -> tuple[s
     )
 
 
-def _narrowed(rows: DataFrame, ranks: DataFrame, accuracy: int) -> tuple[DataFrame, DataFrame]:
-    """Sketch what is left inside the brackets once more: fewer rows, and ranks that skip more."""
-    sketched = rows.groupBy("_key").agg(
-        F.count("value").alias("n"), F.expr(f"{_grid('value', accuracy)} AS grid")
+def _counted(df: DataFrame, group: Column, ends: DataFrame, wanted: Sequence[Percentile]) -> DataFrame:
+    """(_gid, want, value, copies): distinct values inside each bracket, and under NULL how many lie below it.
+
+    One pass: every task adds up its own rows first, so a value that stands many times, and all
+    that lies below a bracket, leave the task as one row.
+    """
+    told = []
+    for i, w in enumerate(wanted):
+        value = f"CAST(`{w.column}` AS DOUBLE)"
+        told.append(
+            f"IF({value} <= `_high_{i}`, struct({i} AS want, IF({value} >= `_low_{i}`, {value}, NULL) AS value), NULL)"
+        )
+    columns = list(dict.fromkeys(w.column for w in wanted))
+    rows = df.select(group, *columns).join(small_side(ends), "_group")
+    return (
+        rows.selectExpr("_gid", f"inline(array_compact(array({', '.join(told)})))")
+        .groupBy("_gid", "want", "value")
+        .agg(F.count("*").alias("copies"))
     )
-    low, high = _bracket("grid", "n", "(first - skip)", "(last - skip)", accuracy)
+
+
+def _largest(values: DataFrame) -> int:
+    return values.groupBy("_gid", "want").count().agg(F.max("count")).first()[0] or 0
+
+
+def _narrowed(values: DataFrame, targets: DataFrame, accuracy: int) -> tuple[DataFrame, DataFrame]:
+    """Only the values near the wanted ranks, and ranks that skip more.
+
+    Distinct values are cut into GRID parts by a sketch; the rows in each part are added up, and of
+    all parts those go on in which a wanted rank lies.
+    """
+    key = ["_gid", "want"]
+    cuts = settle(values.groupBy(*key).agg(F.expr(f"{_grid('value', accuracy)} AS grid")))
+    placed = values.join(cuts, key).selectExpr(*key, "value", "copies", "size(filter(grid, g -> g < value)) AS part")
+    upto = Window.partitionBy(*key).orderBy("part").rowsBetween(Window.unboundedPreceding, 0)
+    parts = placed.groupBy(*key, "part").agg(F.sum("copies").alias("held")).withColumn("past", F.sum("held").over(upto))
+    holds = F.struct("part", (F.col("past") - F.col("held")).alias("before"))
     ends = settle(
-        sketched.join(ranks, "_key").selectExpr("_key", "first", "last", "skip", f"{low} AS low", f"{high} AS high")
+        parts.join(targets, key)
+        .groupBy(*key, "first", "last", "skip")
+        .agg(
+            F.min(F.when(F.col("past") + F.col("skip") > F.col("first"), holds)).alias("from"),
+            F.min(F.when(F.col("past") + F.col("skip") > F.col("last"), F.col("part"))).alias("to"),
+        )
     )
-    placed = rows.join(ends.select("_key", "low", "high"), "_key")
-    below = placed.where("value < low").groupBy("_key").agg(F.count("*").alias("below"))
-    moved = ends.join(below, "_key", "left").selectExpr(
-        "_key", "first", "last", "skip + coalesce(below, 0) AS skip"
+    left = placed.join(ends, key).where("part BETWEEN from.part AND to").select(*key, "value", "copies")
+    return settle(left), ends.selectExpr(*key, "first", "last", "skip + from.before AS skip")
+
+
+def ranked_values(values: DataFrame, targets: DataFrame, accuracy: int = ACCURACY, kept: int = KEPT) -> DataFrame:
+    """(_gid, want, low, high): the values at ranks `first` and `last` (from 0) of every target.
+
+    values are (_gid, want, value, copies) with distinct values; targets are (_gid, want, first,
+    last, skip), skip being how many rows lie below all the values given. Targets of more than `kept`
+    distinct values are narrowed first, so none is put in order whole.
+    """
+    largest = _largest(values)
+    while largest > kept:
+        values, targets = _narrowed(values, targets, accuracy)
+        left = _largest(values)
+        if left >= largest:
+            break
+        largest = left
+    upto = Window.partitionBy("_gid", "want").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+    return (
+        values.withColumn("past", F.sum("copies").over(upto))
+        .join(targets, ["_gid", "want"])
+        .groupBy("_gid", "want")
+        .agg(
+            F.min(F.when(F.col("past") + F.col("skip") > F.col("first"), F.col("value"))).alias("low"),
+            F.min(F.when(F.col("past") + F.col("skip") > F.col("last"), F.col("value"))).alias("high"),
+        )
     )
-    return settle(placed.where("value >= low AND value <= high").select("_key", "value")), settle(moved)
+
+
+def _ranks(wanted: Sequence[Percentile]) -> str:
+    """SQL array of every wanted percentile with its ranks, from `_n_<column>`."""
+    ranks = []
+    for i, w in enumerate(wanted):
+        n = f"`_n_{w.column}`"
+        position = f"({w.p}D * ({n} - 1))"
+        ranks.append(
+            f"struct({i} AS want, {n} AS n, CAST(floor{position} AS BIGINT) AS first, CAST(ceil{position} AS BIGINT) AS last)"
+        )
+    return f"array({', '.join(ranks)})"
+
+
+def percentile_columns(stats: DataFrame, found: DataFrame, wanted: Sequence[Percentile], interpolate: bool = True) -> DataFrame:
+    """stats (with _gid and `_n_<column>`) and a column for each percentile from :func:`ranked_values`."""
+    by_want = found.groupBy("_gid").agg(
+        *(
+            F.max(F.when(F.col("want") == i, F.struct("low", "high"))).alias(f"_found_{i}")
+            for i in range(len(wanted))
+        )
+    )
+    outputs = []
+    for i, w in enumerate(wanted):
+        low, high, n = f"`_found_{i}`.low", f"`_found_{i}`.high", f"`_n_{w.column}`"
+        position = f"({w.p}D * ({n} - 1))"
+        value = f"{low} + ({high} - {low}) * ({position} - floor{position})" if interpolate else low
+        # A rank outside its bracket would mean that the sketch broke its error bound.
+        outputs.append(
+            F.expr(
+                f"CASE WHEN {n} > 0 AND ({value}) IS NULL "
+                f"THEN raise_error('rank of {w.name} is outside its bracket') ELSE {value} END AS `{w.name}`"
+            )
+        )
+    return stats.join(by_want, "_gid", "left").select(stats["*"], *outputs)
 
 
 def exact_percentiles(
@@ -93,81 +187,28 @@ def exact_percentiles(
         for c in columns
         for e in (f"count(`{c}`) AS `_n_{c}`", f"{_grid(f'`{c}`', accuracy)} AS `_grid_{c}`")
     ]
-    stats = settle(df.groupBy(group).agg(*extra, *sketches))
+    stats = settle(df.groupBy(group).agg(*extra, *sketches).withColumn("_gid", F.monotonically_increasing_id()))
 
-    ranks, brackets, inside = [], [], []
+    brackets = []
     for index, w in enumerate(wanted):
         n = f"`_n_{w.column}`"
         position = f"({w.p}D * ({n} - 1))"
         first, last = f"CAST(floor{position} AS BIGINT)", f"CAST(ceil{position} AS BIGINT)"
         low, high = _bracket(f"`_grid_{w.column}`", n, first, last, accuracy)
         brackets += [f"{low} AS `_low_{index}`", f"{high} AS `_high_{index}`"]
-        ranks.append(f"struct({index} AS want, {n} AS n, {first} AS first, {last} AS last)")
-        value = f"CAST(`{w.column}` AS DOUBLE)"
-        inside.append(
-            f"IF({value} >= `_low_{index}` AND {value} <= `_high_{index}`, "
-            f"struct({index} AS want, {value} AS value), NULL)"
-        )
-    ends = settle(stats.selectExpr("_group", *brackets))
-    rows = df.select(group, *columns).join(ends, "_group")
-    counts = settle(
-        rows.groupBy("_group").agg(
-            *(F.expr(f"count_if(CAST(`{w.column}` AS DOUBLE) < `_low_{i}`) AS `_below_{i}`") for i, w in enumerate(wanted)),
-            *(F.expr(f"count({e}) AS `_inside_{i}`") for i, e in enumerate(inside)),
-        )
-    )
-    # Only values inside a bracket become rows.
-    values = rows.selectExpr("_group", f"inline(array_compact(array({', '.join(inside)})))").selectExpr(
-        "struct(_group, want) AS _key", "value"
-    )
-    below = ", ".join(f"`_below_{i}`" for i in range(len(wanted)))
+    counted = settle(_counted(df, group, stats.selectExpr("_group", "_gid", *brackets), wanted))
     targets = (
-        stats.join(counts, "_group")
-        .selectExpr("_group", f"array({below}) AS below", f"inline(array({', '.join(ranks)}))")
+        stats.selectExpr("_gid", f"inline({_ranks(wanted)})")
         .where("n > 0")
-        .selectExpr("struct(_group, want) AS _key", "first", "last", "get(below, want) AS skip")
+        .join(counted.where("value IS NULL").select("_gid", "want", F.col("copies").alias("skip")), ["_gid", "want"], "left")
+        .select("_gid", "want", "first", "last", F.coalesce("skip", F.lit(0)).alias("skip"))
     )
-    largest = counts.agg(F.max(F.greatest(F.lit(0), *(f"_inside_{i}" for i in range(len(wanted)))))).first()[0] or 0
-    while largest > kept:
-        values, targets = _narrowed(values, targets, accuracy)
-        left = values.groupBy("_key").count().agg(F.max("count")).first()[0] or 0
-        if left > largest / 2:
-            break  # what is left is one value many times, a single row below
-        largest = left
-
-    counted = values.groupBy("_key", "value").agg(F.count("*").alias("copies"))
-    upto = Window.partitionBy("_key").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    found = (
-        counted.withColumn("past", F.sum("copies").over(upto))
-        .join(targets, "_key")
-        .groupBy("_key")
-        .agg(
-            F.min(F.when(F.col("past") + F.col("skip") > F.col("first"), F.col("value"))).alias("low"),
-            F.min(F.when(F.col("past") + F.col("skip") > F.col("last"), F.col("value"))).alias("high"),
-        )
-    )
-    by_want = found.groupBy(F.col("_key._group").alias("_group")).agg(
-        *(
-            F.max(F.when(F.col("_key.want") == i, F.struct("low", "high"))).alias(f"_found_{i}")
-            for i in range(len(wanted))
-        )
-    )
-    outputs = []
-    for i, w in enumerate(wanted):
-        low, high, n = f"`_found_{i}`.low", f"`_found_{i}`.high", f"`_n_{w.column}`"
-        position = f"({w.p}D * ({n} - 1))"
-        value = f"{low} + ({high} - {low}) * ({position} - floor{position})" if interpolate else low
-        # A rank outside its bracket would mean that the sketch broke its error bound.
-        outputs.append(
-            F.expr(
-                f"CASE WHEN {n} > 0 AND ({value}) IS NULL "
-                f"THEN raise_error('rank of {w.name} is outside its bracket') ELSE {value} END AS `{w.name}`"
-            )
-        )
-    hidden = {"_group", *(f"_n_{c}" for c in columns), *(f"_grid_{c}" for c in columns)}
-    extras = [c for c in stats.columns if c not in hidden]
+    found = ranked_values(counted.where("value IS NOT NULL"), targets, accuracy, kept)
+    hidden = {"_group", "_gid", *(f"_n_{c}" for c in columns), *(f"_grid_{c}" for c in columns)}
+    plain = stats.drop(*(f"_grid_{c}" for c in columns))
     names = [F.col("_group")[k].alias(k) for k in keys]
-    return stats.join(by_want, "_group", "left").select(*names, *extras, *outputs)
+    extras = [c for c in stats.columns if c not in hidden]
+    return percentile_columns(plain, found, wanted, interpolate).select(*names, *extras, *(w.name for w in wanted))
 
 
 def approximate_percentiles(

@@ -18,21 +18,37 @@ def policy_category() -> Column:
     return F.expr(f"CASE {cases} ELSE 'Other' END")
 
 
+# Tiers of a metric, best first, each with the limit a value must be beyond (on the
+# given side); whatever is beyond no limit, NULL included, is in the last tier.
+TIERS = {
+    "latency_tier": ("first_token_latency", "<", {"Fast": 0.1, "Medium": 0.5, "Slow": None}),
+    "throughput_tier": ("throughput", ">", {"High": 100, "Medium": 50, "Low": None}),
+    "quality_tier": ("f1", ">", {"High": 0.8, "Medium": 0.6, "Low": None}),
+}
+
+
+def limits_missed(tier: str) -> str:
+    """SQL for how many of a tier's limits a row misses, that is its place among the labels from 0."""
+    column, side, limits = TIERS[tier]
+    missed = (f"CAST(coalesce(NOT {column} {side} {x}, TRUE) AS INT)" for x in limits.values() if x is not None)
+    return " + ".join(missed)
+
+
+def _tier(tier: str) -> Column:
+    labels = ", ".join(f"'{label}'" for label in TIERS[tier][2])
+    return F.expr(f"get(array({labels}), {limits_missed(tier)})")
+
+
 def latency_tier() -> Column:
-    return F.expr(
-        "CASE WHEN first_token_latency < 0.1 THEN 'Fast' "
-        "WHEN first_token_latency < 0.5 THEN 'Medium' ELSE 'Slow' END"
-    )
+    return _tier("latency_tier")
 
 
 def throughput_tier() -> Column:
-    return F.expr(
-        "CASE WHEN throughput > 100 THEN 'High' WHEN throughput > 50 THEN 'Medium' ELSE 'Low' END"
-    )
+    return _tier("throughput_tier")
 
 
 def quality_tier() -> Column:
-    return F.expr("CASE WHEN f1 > 0.8 THEN 'High' WHEN f1 > 0.6 THEN 'Medium' ELSE 'Low' END")
+    return _tier("quality_tier")
 
 
 def suite_guard() -> list[Column]:

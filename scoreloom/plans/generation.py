@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import time
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from typing import Any
 
 import pandas as pd
@@ -85,41 +85,75 @@ def length_buckets(
     return numbered.withColumn("batch_id", batch).drop("_place")
 
 
-Generator = Callable[[str, dict[str, Any]], str]
+Answer = str | Iterable[str]
+Generator = Callable[[str, dict[str, Any]], Answer]
 GENERATORS: dict[str, Generator] = {}
+MADE = (
+    "response string, timestamp double, first_token_latency double, avg_token_latency double, "
+    "generation_time double, throughput double, total_tokens long, error string"
+)
 
 
 def register_generator(name: str, generate: Generator) -> None:
-    """Name a callable generate(prompt, request) -> response for :func:`apply_generator`."""
+    """Name a callable generate(prompt, request) -> response, whole or in pieces, for :func:`apply_generator`."""
     GENERATORS[name] = generate
 
 
+def timed(answer: Answer, started: float, clock: Callable[[], float] = time.monotonic) -> dict[str, Any]:
+    """A response and when its pieces came; a whole response is one piece, and blank pieces only take time.
+
+    Tokens are words of the whole response, since a piece may end inside a word. A response
+    without content has latencies of 0.
+    """
+    first, pieces = None, []
+    for piece in [answer] if isinstance(answer, str) else answer:
+        if piece:
+            first = clock() if first is None else first
+            pieces.append(piece)
+    ended = clock()
+    response = "".join(pieces)
+    tokens, whole = len(response.split()), ended - started
+    return {
+        "response": response,
+        "timestamp": time.time(),
+        "first_token_latency": 0.0 if first is None else first - started,
+        "avg_token_latency": 0.0 if first is None else (ended - first) / max(tokens, 1),
+        "generation_time": whole,
+        "throughput": tokens / whole if whole > 0 else 0.0,
+        "total_tokens": tokens,
+        "error": None,
+    }
+
+
 def apply_generator(requests: DataFrame, generate: str | Generator, attempts: int = 3) -> DataFrame:
-    """Run a user's callable over planned requests in Arrow batches.
+    """Run a user's callable over planned requests in Arrow batches, timing the pieces as they come.
 
-    A request that fails `attempts` times becomes a row with `error` set; no row is lost.
+    Times count from the start of the attempt that answered. A request that fails `attempts`
+    times becomes a row with `error` set and no metrics; no row is lost. Where requests name a
+    policy, its fixed overhead is added as `policy_overhead`.
     """
     call = GENERATORS[generate] if isinstance(generate, str) else generate
-    schema = T.StructType(list(requests.schema.fields))
-    schema.add("response", "string").add("timestamp", "double").add("generation_time", "double")
-    schema.add("error", "string")
+    made = T.StructType.fromDDL(MADE)
+    names = made.fieldNames()
 
-    def one(request: dict[str, Any]) -> tuple:
-        started = time.monotonic()
-        response = error = None
+    def one(request: dict[str, Any]) -> dict[str, Any]:
+        error = None
         for _ in range(attempts):
+            started = time.monotonic()
             try:
-                response, error = call(request["prompt"], request), None
-                break
+                return timed(call(request["prompt"], request), started)
             except Exception as problem:  # noqa: BLE001 - any failure becomes a row
                 error = f"{type(problem).__name__}: {problem}"
-        return response, time.time(), time.monotonic() - started, error
+        return dict.fromkeys(names) | {"timestamp": time.time(), "error": error}
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            made = [one(request) for request in batch.to_dict("records")]
-            made_columns = ["response", "timestamp", "generation_time", "error"]
-            extra = pd.DataFrame(made, columns=made_columns, index=batch.index)
+            rows = [one(request) for request in batch.to_dict("records")]
+            extra = pd.DataFrame(rows, columns=names, index=batch.index).astype({"total_tokens": "Int64"})
             yield pd.concat([batch, extra], axis=1)
 
-    return requests.mapInPandas(run, schema)
+    answered = requests.mapInPandas(run, T.StructType([*requests.schema.fields, *made.fields]))
+    if "policy_name" not in requests.columns:
+        return answered
+    overhead = F.when(F.col("error").isNull(), F.expr(policy_overhead("policy_name")))
+    return answered.withColumn("policy_overhead", overhead)

@@ -135,14 +135,28 @@ def with_ranks(mart: DataFrame) -> DataFrame:
     )
 
 
-def performance_profile() -> Column:
-    return F.expr(
-        """CASE WHEN latency_rank <= 3 AND quality_rank <= 3 THEN 'Optimal'
-                WHEN latency_rank <= 3 THEN 'Fast'
-                WHEN quality_rank <= 3 THEN 'High Quality'
-                WHEN throughput_rank <= 3 THEN 'High Throughput'
-                ELSE 'Balanced' END"""
+# Profiles in order of preference, with the ranks that must be among the first LEADING.
+LEADING = 3
+PROFILES = {
+    "Optimal": ("latency_rank", "quality_rank"),
+    "Fast": ("latency_rank",),
+    "High Quality": ("quality_rank",),
+    "High Throughput": ("throughput_rank",),
+    "Balanced": (),
+}
+
+
+def profile_sql() -> str:
+    """The first profile all of whose ranks lead; the last asks for none."""
+    asked = (
+        f"CASE WHEN greatest(0, {', '.join(ranks)}) <= {LEADING} THEN '{label}' END" if ranks else f"'{label}'"
+        for label, ranks in PROFILES.items()
     )
+    return f"coalesce({', '.join(asked)})"
+
+
+def performance_profile() -> Column:
+    return F.expr(profile_sql())
 
 
 def build_summary(stats: DataFrame, stamp: bool = True) -> DataFrame:

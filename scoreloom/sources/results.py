@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from scoreloom.schemas import RESULTS
+from scoreloom.schemas import RESULT_KEYS, RESULTS
 
 PARTITIONS = ["benchmark", "policy_name"]
 
@@ -30,6 +31,44 @@ def scan_results(spark: SparkSession, path: str, extra: T.StructType | None = No
     return spark.read.schema(schema).parquet(path).select(schema.fieldNames())
 
 
+def scan_open_results(spark: SparkSession, path: str) -> DataFrame:
+    """The table's known columns, then every other column any of its files has, by name; NULL where a run lacks it.
+
+    The files' own schemas are merged, so metrics of the user's own need no declaration. One name
+    must have one type in all runs.
+    """
+    found = spark.read.option("mergeSchema", "true").parquet(path)
+    known = [
+        (F.col(f.name) if f.name in found.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in RESULTS
+    ]
+    return found.select(*known, *sorted(set(found.columns) - set(RESULTS.fieldNames())))
+
+
+def stored_keys(spark: SparkSession, path: str) -> DataFrame | None:
+    """Keys and `error` of what the table holds; None where there is no table yet."""
+    try:
+        return scan_results(spark, path).select(*RESULT_KEYS, "error")
+    except AnalysisException as problem:
+        if problem.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
+def write_routed(df: DataFrame, reject: Column, path: str) -> None:
+    """One job writes usable rows to the folder route=good and the others to route=rejected.
+
+    reject is the reason, NULL for a usable row.
+    """
+    routed = df.withColumn("route", F.when(reject.isNull(), "good").otherwise("rejected"))
+    routed.write.mode("overwrite").partitionBy("route").parquet(path)
+
+
+def scan_routed(spark: SparkSession, path: str, schema: T.StructType, route: str | None = None) -> DataFrame:
+    """What :func:`write_routed` stored: one route, read from its folder alone, or both with a column `route`."""
+    stored = spark.read.schema(T.StructType([*schema.fields, T.StructField("route", T.StringType())])).parquet(path)
+    return stored if route is None else stored.where(F.col("route") == route).drop("route")
+
+
 def _write(df: DataFrame, path: str, mode: str) -> None:
     """Rebalanced first: few files per folder, and a hot policy is split over many tasks."""
     balanced = conform(df).hint("rebalance", *PARTITIONS)

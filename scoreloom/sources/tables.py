@@ -97,11 +97,12 @@ def suite_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def text_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole documents against benchmark items, and last user turn against last answer."""
     items = table(spark, sf_dir, "benchmark")
-    count = items.agg(F.count("*")).scalar()
+    count = F.lit(items.count())
     documents = (
         spread(table(spark, sf_dir, "documents"), "doc_id")
-        .withColumn("item_id", F.col("doc_id") % count)
-        .join(items.withColumnRenamed("text", "ground_truth"), "item_id")
+        # A document whose number no item has is paired with NULL, not lost.
+        .withColumn("item_id", F.when(count > 0, F.pmod("doc_id", F.greatest(count, F.lit(1)))))
+        .join(items.withColumnRenamed("text", "ground_truth"), "item_id", "left")
         .select(
             F.concat(F.lit("d"), "doc_id").alias("sample_id"),
             F.when(F.col("doc_id") % 2 == 0, "crmarena").otherwise("worfbench").alias("benchmark"),
@@ -118,6 +119,12 @@ def text_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents.unionByName(chats)
 
 
+def text_sides(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both texts of every pair: sample_id, benchmark, side, text."""
+    sides = F.array(*(F.struct(F.lit(c).alias("side"), F.col(c).alias("text")) for c in ("response", "ground_truth")))
+    return text_pairs(spark, sf_dir).select("sample_id", "benchmark", F.inline(sides))
+
+
 def chunks_from(events: DataFrame) -> DataFrame:
     """A chunk log: one request per user and day, started at midnight; errors are blank chunks."""
     stamp = F.col("ts").cast("timestamp")

@@ -4,9 +4,10 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from scoreloom.operators import filters, staging
+from scoreloom.operators import filters, percentiles, staging
 from scoreloom.operators.numbering import first_per_group, number_rows
 from scoreloom.operators.percentiles import Percentile, exact_percentiles
+from scoreloom.session import settle
 from scoreloom.sources.tables import results, table
 from tests import brute
 
@@ -44,9 +45,10 @@ def test_percentiles_are_exact(spark, interpolate, options):
             assert found[group][w.name] == pytest.approx(expected), (group, w.name)
 
 
-def test_large_path_shuffles_only_partial_counts(spark, sf_dir):
+def test_counting_shuffles_only_partial_counts(spark, sf_dir):
     wanted = [Percentile("p95", "throughput", 0.95)]
-    found = exact_percentiles(results(spark, sf_dir), ["policy_name"], wanted)
+    ends = settle(results(spark, sf_dir).groupBy(F.struct("policy_name").alias("_group")).agg(F.lit(1).alias("_gid"), F.lit(150.0).alias("_low_0"), F.lit(190.0).alias("_high_0")))
+    found = percentiles._counted(results(spark, sf_dir), F.struct("policy_name").alias("_group"), ends, wanted)
     plan = found._jdf.queryExecution().executedPlan().toString()
     scan = plan[: plan.index("FileScan")].splitlines()
     # From the scan up: broadcast join, explode, partial count, and only then an exchange.
@@ -55,6 +57,27 @@ def test_large_path_shuffles_only_partial_counts(spark, sf_dir):
     assert "partial_count" in below and "BroadcastHashJoin" in below and "Generate" in below
 
 
+def test_nine_values_are_nine_rows_and_need_no_narrowing(spark, monkeypatch):
+    """However many rows stand at a value, a bracket holds it once."""
+    rows = spark.range(200_000).select(F.lit("g").alias("g"), (F.col("id") * 7919 % 9).cast("double").alias("v"))
+    monkeypatch.setattr(percentiles, "_narrowed", None)
+    found = exact_percentiles(rows, ["g"], WANTED, kept=5000).first()
+    values = sorted(k * 7919 % 9 for k in range(200_000))
+    assert [found[w.name] for w in WANTED] == [brute.quantile(values, w.p) for w in WANTED]
+
+
+def test_counted_values_are_narrowed_until_they_fit(spark):
+    rng = random.Random(11)
+    counts = {(g, v): rng.randint(1, 50) for g in (1, 2) for v in {round(rng.gauss(0, 9), 3) for _ in range(3000)}}
+    spread = {g: sorted(v for (h, v), n in counts.items() if h == g for _ in range(n)) for g in (1, 2)}
+    values = spark.createDataFrame([(g, 0, v, n) for (g, v), n in counts.items()], "_gid long, want int, value double, copies long")
+    ranks = {g: (len(spread[g]) // 3, len(spread[g]) // 3 + 1) for g in (1, 2)}
+    targets = spark.createDataFrame([(g, 0, a + 10, b + 10, 10) for g, (a, b) in ranks.items()], "_gid long, want int, first long, last long, skip long")
+    for kept in (20, 10**6):
+        found = {r["_gid"]: (r["low"], r["high"]) for r in percentiles.ranked_values(values, targets, kept=kept).collect()}
+        assert found == {g: (spread[g][a], spread[g][b]) for g, (a, b) in ranks.items()}
+
+
 def test_percentiles_without_keys_and_with_null_keys(spark):
     df = spark.createDataFrame([(None, float(i)) for i in range(101)], "g string, v double")
     assert exact_percentiles(df, [], WANTED).first()["p95"] == 95.0
