@@ -199,6 +199,34 @@ def expand_templates(spark, sf_dir):
     return made.select("sample_id", "prompt", "ground_truth", *metadata)
 
 
+_WORKFLOW = [
+    job_source.Template("Plan the move of a service to another region by {expected_date}.", "inventory, copy, switch, verify", "operations_move"),
+    job_source.Template("Compare two storage designs as of {date}.", "list needs, weigh cost, choose", "analysis"),
+]
+_TURN = f"(o_orderkey * 7 + 3) % {len(_WORKFLOW)}"
+
+
+@query(
+    "expand_workflow_templates",
+    f"""SELECT 'worf_' || CASE WHEN o_orderkey < 10000 THEN lpad(CAST(o_orderkey AS VARCHAR), 4, '0')
+                              ELSE CAST(o_orderkey AS VARCHAR) END AS sample_id,
+      replace(replace({_case([t.prompt for t in _WORKFLOW], _TURN)},
+        '{{date}}', strftime(o_orderdate, '%Y-%m-%d')),
+        '{{expected_date}}', strftime(CAST(o_orderdate AS DATE) + CAST(o_orderkey % 6 + 2 AS INTEGER), '%Y-%m-%d')) AS prompt,
+      {_case([t.ground_truth for t in _WORKFLOW], _TURN)} AS ground_truth,
+      {_case([t.category for t in _WORKFLOW], _TURN)} AS category,
+      {_case(job_source.LEVEL, "o_orderkey % 3")} AS complexity,
+      split_part({_case([t.category for t in _WORKFLOW], _TURN)}, '_', 1) AS domain
+    FROM orders""",
+)
+def expand_workflow_templates(spark, sf_dir):
+    """One workflow job per order; the first part of a category is its domain."""
+    orders = table(spark, sf_dir, "orders")
+    made = job_source.expand_templates(orders, "o_orderkey", "o_orderdate", _WORKFLOW, "worfbench")
+    metadata = [F.col("metadata")[k].alias(k) for k in ("category", "complexity", "domain")]
+    return made.select("sample_id", "prompt", "ground_truth", *metadata)
+
+
 _NAMES = ", ".join(f"('{p.name}')" for p in policies.POLICIES)
 
 

@@ -73,3 +73,20 @@ def stream_run_trend(spark, sf_dir):
     path = scratch(spark, "trend")
     flows.append_facts(stream, flows.trend_facts, path, scratch(spark, "trend-log")).awaitTermination()
     return rounded(flows.merged_trend(spark.read.parquet(path)))
+
+
+@query(
+    "stream_unseen_results",
+    rounded_sql(
+        f"WITH {twins.RESULTS} SELECT sample_id, policy_name, benchmark, throughput, error FROM results",
+        "throughput",
+    ),
+)
+def stream_unseen_results(spark, sf_dir):
+    """Everything delivered once more by a stream that remembers nothing; stored once, by what the table holds."""
+    path = scratch(spark, "unseen")
+    for delivery in ("first", "second"):
+        rows = results_from(arriving(spark, sf_dir, "lineitem"))
+        flows.append_unseen(rows, path, scratch(spark, f"unseen-log-{delivery}")).awaitTermination()
+    columns = ["sample_id", "policy_name", "benchmark", "throughput", "error"]
+    return rounded(scan_results(spark, path).select(*columns))

@@ -70,13 +70,18 @@ def _counted(df: DataFrame, group: Column, ends: DataFrame, wanted: Sequence[Per
     columns = list(dict.fromkeys(w.column for w in wanted))
     rows = df.select(group, *columns).join(small_side(ends), "_group")
     return (
-        rows.selectExpr("_gid", f"inline(array_compact(array({', '.join(told)})))")
+        rows.selectExpr("_gid", f"inline(array({', '.join(told)}))")
+        .where("want IS NOT NULL")
         .groupBy("_gid", "want", "value")
         .agg(F.count("*").alias("copies"))
     )
 
 
-def _largest(values: DataFrame) -> int:
+def _largest(values: DataFrame, kept: int) -> int:
+    """Distinct values of the largest target; where all targets together have no more than `kept`, their sum will do."""
+    total = values.count()
+    if total <= kept:
+        return total
     return values.groupBy("_gid", "want").count().agg(F.max("count")).first()[0] or 0
 
 
@@ -111,10 +116,10 @@ def ranked_values(values: DataFrame, targets: DataFrame, accuracy: int = ACCURAC
     last, skip), skip being how many rows lie below all the values given. Targets of more than `kept`
     distinct values are narrowed first, so none is put in order whole.
     """
-    largest = _largest(values)
+    largest = _largest(values, kept)
     while largest > kept:
         values, targets = _narrowed(values, targets, accuracy)
-        left = _largest(values)
+        left = _largest(values, kept)
         if left >= largest:
             break
         largest = left

@@ -4,15 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from scoreloom.operators.filters import run_time
 from scoreloom.plans.generation import chunk_aggregates, timings
 from scoreloom.plans.reports import HEADLINE, means
-from scoreloom.schemas import RESULT_KEYS
-from scoreloom.sources.results import conform
+from scoreloom.schemas import RESULT_KEYS, RESULTS
+from scoreloom.sources.results import PARTITIONS, conform
 
 
 def stream_generation_metrics(
@@ -155,6 +157,45 @@ def append_batches(results: DataFrame, path: str, checkpoint: str) -> StreamingQ
     )
 
 
+def append_unseen(results: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Append arriving results that the table has no row for, however long ago that row came.
+
+    The keys of a batch are looked up in the stored folders of its own suites and policies, so
+    nothing is kept in memory and no redelivery is too late to be noticed. A replayed batch does not see
+    what it wrote itself, and writes the same again.
+    """
+    write = _batch_writer(path, *PARTITIONS)
+    schema = T.StructType([*(RESULTS[k] for k in RESULT_KEYS), T.StructField("batch_id", T.LongType())])
+
+    def append(batch: DataFrame, number: int) -> None:
+        arrived = conform(batch).dropDuplicates(RESULT_KEYS).persist()
+        try:
+            # A batch touches at most suites times policies folders.
+            folders = arrived.select(*PARTITIONS).distinct().collect()
+            inside = F.lit(False)
+            for folder in folders:
+                inside = inside | ((F.col("benchmark") == folder["benchmark"]) & (F.col("policy_name") == folder["policy_name"]))
+            try:
+                stored = batch.sparkSession.read.schema(schema).parquet(path)
+            except AnalysisException as problem:
+                if problem.getCondition() != "PATH_NOT_FOUND":
+                    raise
+                fresh = arrived
+            else:
+                seen = stored.where(inside & (F.col("batch_id") != number)).select(*RESULT_KEYS)
+                fresh = arrived.join(seen, RESULT_KEYS, "left_anti")
+            write(fresh, number)
+        finally:
+            arrived.unpersist()
+
+    return (
+        results.writeStream.foreachBatch(append)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
+
+
 def upsert_batches(trend: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Write the groups each batch changed; read them with :func:`latest`."""
     return (

@@ -3,7 +3,8 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from scoreloom.plans import generation, mart, policies, reports
+from scoreloom.plans import benchmark, generation, incremental, mart, policies, reports
+from scoreloom.plans.policies import POLICIES
 from scoreloom.operators.staging import stage_results
 from scoreloom.sources import jobs as job_source
 from scoreloom.sources import results as store
@@ -257,3 +258,119 @@ def test_late_rows_count_in_streams(spark, sf_dir, tmp_path):
             assert streamed.count() == batch.count() and streamed.exceptAll(batch).count() == 0
         else:
             assert streamed.agg(F.sum("samples")).first()[0] == rows.count()
+
+
+# --- benchmark runs ---------------------------------------------------------------------
+
+
+def test_pieces_are_timed():
+    """Asked at 10, a blank piece at 11, content at 12 and 15, the end noticed at 16."""
+    ticks = iter([12.0, 16.0])
+    made = generation.timed(iter(["", "two w", "", "ords", " "]), 10.0, lambda: next(ticks))
+    assert (made["response"], made["total_tokens"], made["error"]) == ("two words ", 2, None)
+    assert (made["first_token_latency"], made["avg_token_latency"]) == (2.0, 2.0)
+    assert (made["generation_time"], made["throughput"]) == (6.0, 2 / 6)
+    ticks = iter([3.0])
+    silent = generation.timed([], 3.0, lambda: next(ticks))
+    assert [silent[k] for k in ("response", "first_token_latency", "avg_token_latency", "throughput", "total_tokens")] == ["", 0.0, 0.0, 0.0, 0]
+
+
+def test_generator_rows_have_every_metric_or_an_error(spark):
+    calls = spark.createDataFrame([("a", "one two", "early_exit_28"), ("b", "bad", "early_exit_28")], "sample_id string, prompt string, policy_name string")
+
+    def generate(prompt, request):
+        for word in prompt.split():
+            if word == "bad":
+                raise ValueError("in the middle")
+            yield word + " "
+
+    rows = {r["sample_id"]: r for r in generation.apply_generator(calls, generate).collect()}
+    timed = ("first_token_latency", "avg_token_latency", "generation_time", "throughput", "total_tokens", "policy_overhead")
+    assert rows["a"]["response"] == "one two " and all(rows["a"][k] is not None for k in timed) and rows["a"]["policy_overhead"] == 0.02
+    assert all(rows["b"][k] is None for k in (*timed, "response")) and rows["b"]["error"] == "ValueError: in the middle"
+
+
+def test_a_stopped_run_goes_on_where_it_was(spark, tmp_path):
+    """The generator's process dies in the third slice; the next run calls it for what is not stored, and only that."""
+    log, path = tmp_path / "calls", str(tmp_path / "table")
+    log.mkdir()
+    jobs = spark.createDataFrame([(f"s{k}", "crmarena", f"prompt {k}", "truth") for k in range(12)], "sample_id string, benchmark string, prompt string, ground_truth string")
+    chosen = [p for p in POLICIES if p.name.startswith("early_exit")]
+    slot = F.pmod(F.xxhash64("sample_id", "policy_name", "benchmark"), F.lit(4))
+    fatal = jobs.withColumn("policy_name", F.lit("early_exit_28")).where(slot == 2).first()["sample_id"]
+    stop = tmp_path / "stop"
+    stop.touch()
+    log_dir, stop_file = str(log), str(stop)
+
+    def generate(prompt, request):
+        import os
+        import uuid
+
+        if os.path.exists(stop_file) and request["sample_id"] == fatal:
+            os._exit(1)
+        open(f"{log_dir}/{request['sample_id']}.{request['policy_name']}.{uuid.uuid4().hex}", "w").close()
+        return "an answer"
+
+    with pytest.raises(Exception):  # noqa: B017 - whatever a lost Python process turns into
+        benchmark.run_benchmark(jobs, generate, path, chosen, slices=4)
+    before = {p.name.rsplit(".", 1)[0] for p in log.iterdir()}
+    held = {f"{r['sample_id']}.{r['policy_name']}" for r in store.scan_results(spark, path).collect()}
+    assert held and held < {f"s{k}.{p.name}" for k in range(12) for p in chosen}
+    stop.unlink()
+    for p in log.iterdir():
+        p.unlink()
+    table = benchmark.run_benchmark(jobs, generate, path, chosen, slices=4)
+    after = sorted(p.name.rsplit(".", 1)[0] for p in log.iterdir())
+    assert len(after) == len(set(after)) == 24 - len(held) and not set(after) & held and held <= before
+    assert table.count() == table.select("sample_id", "policy_name").distinct().count() == 24
+    assert benchmark.pending(benchmark.plan_requests(jobs, chosen), path).count() == 0
+
+
+def test_failed_requests_wait_for_a_retry(spark, tmp_path):
+    path = str(tmp_path / "table")
+    jobs = spark.createDataFrame([("a", "crmarena", "p", "t")], "sample_id string, benchmark string, prompt string, ground_truth string")
+
+    def fail(prompt, request):
+        raise RuntimeError("busy")
+
+    one = [POLICIES[0]]
+    assert benchmark.run_benchmark(jobs, fail, path, one, attempts=1, slices=1).first()["error"] == "RuntimeError: busy"
+    assert benchmark.run_benchmark(jobs, lambda p, r: "x", path, one, slices=1).count() == 1
+    again = benchmark.run_benchmark(jobs, lambda p, r: "x", path, one, slices=1, retry_failed=True)
+    assert again.where("error IS NULL AND f1 IS NOT NULL").count() == 1 and again.count() == 2
+
+
+def test_refreshed_mart_equals_a_rebuilt_one(spark, sf_dir, tmp_path):
+    path = str(tmp_path / "mart")
+    staged = stage_results(results(spark, sf_dir))
+    runs = staged.withColumn("run", F.year("run_date").cast("string"))
+    incremental.refresh(runs.where("run < 1998"), path)
+    files = {p: p.stat().st_mtime_ns for p in (tmp_path / "mart").rglob("*.parquet")}
+    incremental.refresh(runs, path)
+    assert files and all(p.stat().st_mtime_ns == t for p, t in files.items())
+    shape = lambda df: df.select(*(F.round(c, 6).alias(c) if t == "double" else c for c, t in df.dtypes))
+    assert same_rows(shape(incremental.merged_stats(spark, path)), shape(mart.policy_stats(staged)))
+
+
+def test_summary_tells_when_it_was_made(spark, sf_dir):
+    stats = stage_results(results(spark, sf_dir)).groupBy(*mart.GROUP).agg(*mart.plain_statistics())
+    made = mart.build_summary(stats)
+    assert dict(made.dtypes)["summary_generated_at"] == "timestamp"
+    assert made.select((F.current_timestamp() - F.col("summary_generated_at") < F.expr("INTERVAL 1 HOUR")).alias("new")).distinct().collect() == [(True,)]
+
+
+def test_a_late_redelivery_is_found_in_the_table(spark, tmp_path):
+    """Batches of one stream, a replay by another stream days later, and rows that are new among old ones."""
+    rows = [(f"s{k}", "p", "b", float(k)) for k in range(6)]
+    schema = "sample_id string, policy_name string, benchmark string, throughput double"
+    source, path = str(tmp_path / "in"), str(tmp_path / "table")
+    arrive = lambda some: spark.createDataFrame(some, schema).coalesce(1).write.mode("append").parquet(source)
+    go = lambda log: flows.append_unseen(spark.readStream.schema(schema).parquet(source), path, f"{tmp_path}/{log}").awaitTermination()
+    arrive(rows[:3] + rows[:1])
+    go("one")
+    arrive(rows[1:5])
+    go("one")
+    go("two")
+    arrive(rows)
+    go("two")
+    assert sorted(r["sample_id"] for r in store.scan_results(spark, path).collect()) == [r[0] for r in rows]

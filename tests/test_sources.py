@@ -82,3 +82,38 @@ def test_a_folder_of_files_streams_like_one_file(spark, sf_dir, tmp_path, parts)
         )
         query.awaitTermination()
         assert spark.table("seen").first()["n"] == rows.count()
+
+
+def test_undeclared_columns_of_any_run_are_found(spark, tmp_path):
+    path = f"{tmp_path}/r"
+    key = {"sample_id": "a", "policy_name": "p", "benchmark": "b"}
+    results.append_results(spark.createDataFrame([key]), path)
+    results.append_results(spark.createDataFrame([{**key, "zeta": 0.5}]), path)
+    results.append_results(spark.createDataFrame([{**key, "alpha": [1]}]), path)
+    found = results.scan_open_results(spark, path)
+    assert found.columns == [*RESULTS.fieldNames(), "alpha", "zeta"] and found.schema[: len(RESULTS)] == RESULTS
+    assert sorted(map(repr, (tuple(r) for r in found.select("alpha", "zeta").collect()))) == ["(None, 0.5)", "(None, None)", "([1], None)"]
+    assert results.stored_keys(spark, path).count() == 3 and results.stored_keys(spark, f"{tmp_path}/no") is None
+
+
+def test_one_write_routes_good_and_rejected_rows(spark, tmp_path):
+    (tmp_path / "jobs.jsonl").write_text(LINES)
+    scanned = jobs.scan_jobs(spark, f"{tmp_path}/jobs.jsonl")
+    results.write_routed(scanned, F.col("reject"), f"{tmp_path}/routed")
+    good = results.scan_routed(spark, f"{tmp_path}/routed", scanned.schema, "good")
+    assert {r["sample_id"] for r in good.collect()} == {"a", "b"} and good.columns == scanned.columns
+    assert "route=good" not in good._jdf.queryExecution().executedPlan().toString().split("PartitionFilters: ")[0]
+    rejected = results.scan_routed(spark, f"{tmp_path}/routed", scanned.schema, "rejected")
+    assert sorted((r["reject"], r["_corrupt"]) for r in rejected.collect()) == sorted((r["reject"], r["_corrupt"]) for r in jobs.rejected_jobs(scanned).collect())
+    assert results.scan_routed(spark, f"{tmp_path}/routed", scanned.schema).groupBy("route").count().count() == 2
+
+
+def test_documents_without_an_item_are_paired_with_nothing(spark, tmp_path):
+    from scoreloom.sources.tables import text_pairs
+
+    docs = spark.createDataFrame([(0, "a"), (1, "b"), (2, "c"), (-1, "d"), (None, "e"), (5, None)], "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(0, "x"), (2, "z"), (7, "y")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([], "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    found = {r["response"]: r["ground_truth"] for r in text_pairs(spark, str(tmp_path)).collect()}
+    assert found == {"a": "x", "b": None, "c": "z", "d": "z", "e": None, None: "z"}

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from scoreloom.functions import overlap, registry, rouge, text
 from scoreloom.functions.porter import stem
-from scoreloom.functions.quality import score_pairs
+from scoreloom.functions.quality import metric_failures, score_pairs
 from scoreloom.functions.rouge import lcs_length
 from tests import brute
 
@@ -223,3 +223,21 @@ def test_rouge_scores_as_columns(spark):
     scores = rouge.rouge_scores("m")
     row = df.select(*(c.alias(n) for n, c in scores.items())).first()
     assert row["rouge_1"] == pytest.approx(0.8) and row["rouge_l"] == pytest.approx(0.4)
+
+
+def test_a_failing_metric_scores_null_and_is_counted(spark):
+    def picky(p, r):
+        if p == "bad":
+            raise KeyError(p)
+        return None if p == "none" else 1
+
+    registry.register_python_metric("picky", picky)
+    try:
+        scored = score_pairs(frame(spark, [("bad", "x"), ("good", "x"), ("none", "x"), (None, "x")])).select("response", "picky", "metric_errors", "f1").collect()
+        failures = metric_failures(score_pairs(frame(spark, [("bad", "x"), ("bad", "y"), ("none", "x")]))).collect()
+    finally:
+        registry.unregister_metric("picky")
+    found = {r["response"]: (r["picky"], r["metric_errors"]) for r in scored}
+    assert found == {"bad": (None, ["picky: KeyError"]), "good": (1.0, []), "none": (None, ["picky: TypeError"]), None: (None, [])}
+    assert sorted(map(tuple, failures)) == [("picky", "KeyError", 2), ("picky", "TypeError", 1)]
+    assert "metric_errors" not in score_pairs(frame(spark, [("a", "b")])).columns
