@@ -19,8 +19,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scoreloom.llm.common import word_hashes
-from scoreloom.llm.packing import Chunk, packed, squeeze, unsqueeze
+from scoreloom.llm.common import give_back, word_hashes
+from scoreloom.llm.packing import CHUNK, Chunk, packed, squeeze, unsqueeze
 
 # Distinct pre-tokens of chunks that meet in one bucket, on average.
 PER_BUCKET = 1 << 18
@@ -150,26 +150,34 @@ def _assemble(buckets: int):
             rows.append(ids[np.repeat(shift, many) + np.arange(many.sum())].astype("<u4").tobytes())
         doc_ids = pd.array(opened.ids, "Int64")
         doc_ids[opened.no_id] = pd.NA
+        del opened, ids, counts, first, told
+        give_back()
         return pd.DataFrame({"doc_id": doc_ids, "ids": rows})
 
     return work
 
 
 def encode(
-    docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame,
+    ranks: dict[bytes, int],
+    pattern: str,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    chunk: int = CHUNK,
 ) -> DataFrame:
     """(doc_id, ids) of every row: the ids of the whole text as little-endian 32-bit numbers.
 
     Each match of the pattern is encoded by itself; no special tokens. A null text counts as
     empty and has no ids. Rows without id and repeated rows are encoded like any other. The
-    ranks, whose size is the vocabulary's, are sent to every task.
+    ranks, whose size is the vocabulary's, are sent to every task. Smaller chunks need less memory
+    and move a little more.
     """
     find = regex.compile(pattern).findall
 
     def split(text: bytes) -> list[str]:
         return find(text.decode("utf-8", "replace"))
 
-    chunks = packed(docs, split, id_col, text_col)
+    chunks = packed(docs, split, id_col, text_col, chunk)
     total = chunks.agg(F.sum("n_distinct")).first()[0] or 0
     buckets = max(1, -(-total // PER_BUCKET))
     shared = docs.sparkSession.sparkContext.broadcast(ranks)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 import uuid
 
@@ -57,6 +58,16 @@ def drop_stored(spark: SparkSession) -> None:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def give_back() -> None:
+    """Return freed memory to the system: Python workers outlive their tasks, and later stages need the room."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
 def word_hashes(words, seed: int = 0) -> np.ndarray:
     """64-bit hashes of byte strings."""
     digest = xxhash.xxh64_intdigest

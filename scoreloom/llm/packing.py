@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scoreloom.llm.common import id_and_text, stored
+from scoreloom.llm.common import give_back, id_and_text, stored
 
 CHUNK = 8 << 20
 COLUMNS = "chunk long, ids binary, no_id binary, lengths binary, piece_lengths binary, pieces binary, codes binary, n_pieces long, n_distinct long"
@@ -110,6 +110,8 @@ def packed(
                     ids, lengths, codes, distinct, marks, held = fresh()
         if ids:
             yield _closed(number, ids, lengths, codes, distinct, marks)
+        del ids, lengths, codes, distinct, marks
+        give_back()
 
     rows, columns = id_and_text(docs, id_col, text_col), COLUMNS
     if marked:

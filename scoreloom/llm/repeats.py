@@ -21,8 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scoreloom.llm.common import rolling, settled, sha256_hex, spans, word_hashes
-from scoreloom.llm.packing import Chunk, packed, squeeze, unsqueeze
+from scoreloom.llm.common import give_back, rolling, settled, sha256_hex, spans, word_hashes
+from scoreloom.llm.packing import CHUNK, Chunk, packed, squeeze, unsqueeze
 
 WINDOW = 13
 BLOCK = 7
@@ -170,6 +170,8 @@ def _send_windows(buckets: int):
                 out["one"].append(one[part].tobytes())
                 out["two"].append(two[part].tobytes())
                 out["least"].append(squeeze(least[part]))
+            del windows, at, first, one, two, least
+        give_back()
         return pd.DataFrame(out)
 
     return work
@@ -220,22 +222,24 @@ def _finish(buckets: int):
                 out["kept"].append(left if gone else None)
                 out["kept_sha256"].append(sha256_hex(left))
                 out["mark"].append(int(mark))
+            del windows, own, at, first, one, two, cover, kept, pieces
+        give_back()
         frame = pd.DataFrame(out)
         return frame.astype({"doc_id": "Int64"})
 
     return work
 
 
-def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK) -> DataFrame:
     """One row per document: doc_id, n_words, n_removed, kept, kept_sha256, mark (the text's xxhash64).
 
     A word goes if it is covered by 13 consecutive words that also start in a document with a
     smaller id; windows are judged on the input. `kept` is what is left, words joined by one
     space, as bytes, and null where nothing was removed. Null and empty texts have no words; a
     row without id neither loses words nor takes any from others; rows with equal ids do not
-    remove each other's words.
+    remove each other's words. Smaller chunks need less memory and move a little more.
     """
-    chunks = packed(docs, words_of, id_col, text_col, marked=True)
+    chunks = packed(docs, words_of, id_col, text_col, chunk, marked=True)
     total = chunks.agg(F.sum("n_pieces")).first()[0] or 0
     buckets = max(1, -(-total // PER_BUCKET))
     sent = chunks.mapInArrow(_send_anchors(buckets), "bucket long, chunk long, values binary")
@@ -259,14 +263,14 @@ def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     )
 
 
-def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK) -> DataFrame:
     """All documents with their columns, the text of those that lost words being the words left.
 
     A document of which nothing is left stays with an empty text; other texts are not touched.
     A column n_chars follows the new text. Rows are told apart by id and text.
     """
     changed = (
-        find_repeats(docs, id_col, text_col)
+        find_repeats(docs, id_col, text_col, chunk)
         .where("n_removed > 0 AND doc_id IS NOT NULL")
         .select(F.col("doc_id").alias("__id"), F.col("mark").alias("__mark"), F.col("kept").cast("string").alias("__left"))
         .dropDuplicates(["__id", "__mark"])

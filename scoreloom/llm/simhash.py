@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scoreloom.llm.common import id_and_text, settled
+from scoreloom.llm.common import give_back, id_and_text, settled
 from scoreloom.llm.components import connected_components
 
 DISTANCE = 3
@@ -71,6 +71,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         for batch in batches:
             fps = [fingerprint(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64()), batch.column(2)], names=["doc_id", "fp", "mark"])
+        give_back()
 
     rows = id_and_text(docs, id_col, text_col)
     if marked:

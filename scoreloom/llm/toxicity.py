@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scoreloom.llm.common import GOLDEN, id_and_text, settled, spans, word_hashes
+from scoreloom.llm.common import GOLDEN, give_back, id_and_text, settled, spans, word_hashes
 
 BITS = 20
 SPREAD = 64
@@ -188,5 +188,6 @@ def drop_toxic(docs: DataFrame, model: ToxicityModel, threshold: float = THRESHO
                 part = batch.slice(first, 512)
                 texts = part.column(part.schema.get_field_index(text_col)).cast(pa.binary()).to_pylist()
                 yield part.filter(pa.array(shared.value.scores(texts) < threshold))
+        give_back()
 
     return docs.mapInArrow(work, docs.schema)

@@ -335,9 +335,8 @@ def without_repeats(rows):
 @pytest.mark.parametrize("per_bucket, chunk", [(1 << 20, 8 << 20), (700, 4000)])
 def test_repeats_equal_brute_force(docs, rows, monkeypatch, per_bucket, chunk):
     monkeypatch.setattr(repeats, "PER_BUCKET", per_bucket)
-    monkeypatch.setattr("scoreloom.llm.packing.packed.__defaults__", ("doc_id", "text", chunk, False))
     want = [(i, n, gone, hashlib.sha256(left.encode()).hexdigest()) for i, n, gone, left in without_repeats(rows)]
-    found = repeats.find_repeats(docs).drop("kept", "mark").collect()
+    found = repeats.find_repeats(docs, chunk=chunk).drop("kept", "mark").collect()
     assert sum(w[2] for w in want) > 300
     assert bag(found) == bag(want)
 
