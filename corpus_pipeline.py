@@ -13,6 +13,8 @@ from scoreloom.session import attach, scratch
 # The mix is cut from what is there: no document is taken twice, and the weights decide which
 # fifth of the words is left out.
 MIX = {"budget": 0.8, "max_epochs": 1}
+# Bytes of text that a task works on at once; five stages share the workers' memory.
+CHUNK = 3 << 20
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,7 +33,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages that an earlier document has are cut from the texts."""
     attach(spark)
-    return repeats.drop_repeats(docs)
+    return repeats.drop_repeats(docs, chunk=CHUNK)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,7 +46,7 @@ def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, n_tokens, ids, decoded_sha256): ids of the public multilingual ranks, and their text's digest."""
     attach(spark)
     ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
-    decoded = bpe.decode(bpe.encode(docs, ranks, public_tokenizers.PATTERN), ranks)
+    decoded = bpe.decode(bpe.encode(docs, ranks, public_tokenizers.PATTERN, chunk=CHUNK), ranks)
     return decoded.select(
         "doc_id", F.expr("length(ids) DIV 4").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256")
     )
