@@ -11,7 +11,7 @@ from scoreloom.catalog.runs import _TIMINGS, TIMED_SQL, TIMING_PLACES
 from scoreloom.session import scratch
 from scoreloom.sources.results import scan_results
 from scoreloom.sources.tables import chunks_from, results_from, table
-from scoreloom.streaming import flows
+from scoreloom.streaming import flows, requests
 
 
 def arriving(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -90,3 +90,45 @@ def stream_unseen_results(spark, sf_dir):
         flows.append_unseen(rows, path, scratch(spark, f"unseen-log-{delivery}")).awaitTermination()
     columns = ["sample_id", "policy_name", "benchmark", "throughput", "error"]
     return rounded(scan_results(spark, path).select(*columns))
+
+
+_DAY, _DELAY = 86_400_000, 3_600_000
+_FACTS_SQL = """min(s) AS s, min(f) AS f, max(e) AS e, CAST(sum(n) AS BIGINT) AS n"""
+
+
+@query(
+    "stream_requests",
+    f"""WITH marked AS (
+      SELECT event_id % 2 AS slice, concat_ws('/', user_id, strftime(ts, '%Y-%m-%d')) AS request_id,
+        epoch_us(date_trunc('day', ts)) AS s, epoch_us(ts) AS e,
+        CASE WHEN event_type <> 'error' THEN epoch_us(ts) END AS f,
+        CASE WHEN event_type <> 'error' THEN 1 ELSE 0 END AS n FROM events),
+    parts AS (SELECT slice, request_id, {_FACTS_SQL} FROM marked GROUP BY ALL),
+    clocks AS (SELECT max(e) FILTER (slice = 0) // 1000 - {_DELAY} AS early, max(e) // 1000 - {_DELAY} AS final FROM marked),
+    -- The first slice against the clock it sets: a request without late chunk stays open.
+    earlier AS (SELECT parts.*, (e + 999) // 1000 + {_DAY} <= early AS done FROM parts, clocks WHERE slice = 0),
+    later AS (
+      SELECT p.*, coalesce(NOT a.done, FALSE) AS joins, coalesce(a.done AND p.e <= a.e + {1000 * _DAY}, FALSE)
+        OR (p.e + 999) // 1000 + {_DAY} <= early AS gone
+      FROM parts p JOIN clocks ON TRUE LEFT JOIN earlier a USING (request_id) WHERE p.slice = 1),
+    alive AS (
+      SELECT request_id, {_FACTS_SQL} FROM (
+        SELECT request_id, s, f, e, n FROM earlier WHERE NOT done
+        UNION ALL SELECT request_id, s, f, e, n FROM later WHERE joins OR NOT gone) GROUP BY 1),
+    outcomes AS (
+      SELECT request_id, 'closed' AS outcome, s, f, e, n FROM earlier WHERE done
+      UNION ALL SELECT request_id, 'late', s, f, e, n FROM later WHERE gone AND NOT joins
+      UNION ALL SELECT request_id, CASE WHEN (e + 999) // 1000 + {_DAY} <= final THEN 'closed' ELSE 'open' END, s, f, e, n
+      FROM alive, clocks)
+    SELECT request_id, outcome, s AS started_at, f AS first_ts, e AS end_ts, n AS total_tokens FROM outcomes""",
+)
+def stream_requests(spark, sf_dir):
+    """All chunks in two arrivals, the second full of stragglers: requests closed and still open, and late parts."""
+    events = table(spark, sf_dir, "events")
+    folder, out, log = (scratch(spark, f"requests-{name}") for name in ("in", "out", "log"))
+    for arrival in range(2):
+        arrived = events.where(F.pmod("event_id", F.lit(2)) == arrival)
+        arrived.write.parquet(f"{folder}/arrival={arrival}")
+        chunks = chunks_from(spark.readStream.schema(events.schema).parquet(f"{folder}/arrival=*"))
+        requests.append_requests(requests.stream_requests(chunks), out, log).awaitTermination()
+    return requests.written_requests(spark, out).unionByName(requests.open_requests(spark, log))
