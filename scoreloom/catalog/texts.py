@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from scoreloom.catalog import twins
 from scoreloom.catalog.registry import query, rounded, rounded_sql
-from scoreloom.functions import coverage, overlap, registry, rouge, text
+from scoreloom.functions import coverage, overlap, registry, rouge, sentences, text
 from scoreloom.functions.quality import score_pairs
 from scoreloom.schemas import CRM_COLUMNS, WORF_COLUMNS
 from scoreloom.sources.tables import text_pairs, text_sides
@@ -231,6 +231,74 @@ def word_tokens(spark, sf_dir):
     return _sides(spark, sf_dir, F.array_join(text.word_tokens(_text()), " ").alias("tokens"))
 
 
+def _core_sql(piece: str) -> str:
+    opened = f"regexp_replace({piece}, {twins.quoted(sentences.OPENING)}, '')"
+    return f"lower(regexp_replace({opened}, {twins.quoted(sentences.CLOSING)}, ''))"
+
+
+def _type_sql(piece: str) -> str:
+    return f"regexp_replace({_core_sql(piece)}, {twins.quoted(sentences.PERIODS)}, '')"
+
+
+_SCORED = f"""{twins.SIDES},
+placed AS (
+    SELECT sample_id, side, text, unnest(words) AS piece, generate_subscripts(words, 1) AS i, len(words) AS last
+    FROM (SELECT *, {twins.words_sql("text", text.SPACES)} AS words FROM sides)),
+typed AS (
+    SELECT *, {_type_sql("piece")} AS type, regexp_matches({_core_sql("piece")}, {twins.quoted(sentences.ONE_PERIOD)}) AS ends
+    FROM placed),
+counted AS (
+    SELECT type, count(*) FILTER (ends) AS n_period, count(*) FILTER (NOT ends) AS n_plain
+    FROM typed WHERE regexp_matches(type, '\\p{{L}}') GROUP BY type),
+scored AS (
+    SELECT type, n_period, n_plain, length(replace(type, '.', '')) AS letters,
+      2 * (n_period * (ln({sentences.KEPT_PERIOD}) - ln(share)) + n_plain * (ln({1 - sentences.KEPT_PERIOD}) - ln(1 - share)))
+        * exp(-letters) * (length(type) - letters + 1) * pow(letters, -n_plain) AS score
+    FROM counted, (SELECT sum(n_period) / sum(2 * n_period + n_plain) AS share FROM counted) WHERE n_period > 0)"""
+
+
+@query(
+    "abbreviations",
+    rounded_sql(
+        f"""WITH {_SCORED} SELECT type, n_period, n_plain, score, score >= {sentences.THRESHOLD} AS abbreviation FROM scored""",
+        "score",
+    ),
+)
+def abbreviations(spark, sf_dir):
+    """How much every word that stands before a period looks like an abbreviation."""
+    scores = sentences.abbreviation_scores(text_sides(spark, sf_dir))
+    return rounded(scores.withColumn("abbreviation", F.col("score") >= sentences.THRESHOLD))
+
+
+_GUARDED = f"regexp_replace(piece, {twins.quoted(rf'[.]({sentences.CLOSERS})$')}, '{sentences.GUARD}' || {twins.quoted(chr(92) + '1')})"
+
+
+@query(
+    "sentence_ends",
+    f"""WITH {_SCORED},
+    judged AS (
+      SELECT sample_id, side, i, last, piece, regexp_matches(piece, {twins.quoted(sentences.PLAIN_END)})
+        AND type IN (SELECT type FROM scored WHERE score >= {sentences.THRESHOLD}) AS short FROM typed),
+    joined AS (
+      SELECT sample_id, side, string_agg(CASE WHEN short AND i < last THEN {_GUARDED} ELSE piece END, ' ' ORDER BY i) AS line,
+        count(*) FILTER (i = last OR (NOT short AND regexp_matches(piece, {twins.quoted(sentences.SENTENCE_END)}))) AS sentences
+      FROM judged GROUP BY ALL)
+    SELECT s.sample_id, s.side, CASE WHEN text IS NOT NULL THEN coalesce(sentences, 0) END AS sentences,
+      CASE WHEN text IS NOT NULL THEN coalesce(replace(array_to_string({twins.word_tokens_sql("line")}, ' '), '{sentences.GUARD}', '.'), '') END AS tokens
+    FROM sides s LEFT JOIN joined USING (sample_id, side)""",
+)
+def sentence_ends(spark, sf_dir):
+    """Sentences and word tokens of whole texts, by the abbreviations these texts teach."""
+    texts = text_sides(spark, sf_dir).select("sample_id", "side", "text")
+    known = sentences.with_abbreviations(texts, ["sample_id", "side"], sentences.learn_abbreviations(texts))
+    return known.select(
+        "sample_id",
+        "side",
+        sentences.sentence_count(_text(), F.col("abbreviations")).alias("sentences"),
+        F.array_join(sentences.sentence_word_tokens(_text(), F.col("abbreviations")), " ").alias("tokens"),
+    )
+
+
 @query(
     "length_metrics",
     rounded_sql(
