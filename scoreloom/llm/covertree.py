@@ -7,8 +7,9 @@ both radii.
 
 The upper levels are tables. A node with too many vectors is divided among centres picked
 farthest-first from a bounded sample of it, and the node pairs of a level are joined to their
-children and pruned. Leaves are small enough for one task: it carries the tree on with halving
-radii and descends both sides at once. What a task returns is, for each vector, how many links
+children and pruned. Outliers can take all centres level after level, so below `BY_CENTRE` levels a
+node keeps one centre and is divided by hash. A leaf never has more than `LEAF` vectors: a task
+carries the tree on with halving radii and descends both sides at once. What a task returns is, for each vector, how many links
 it found, and a spanning forest of them, so no group is written out as pairs.
 """
 
@@ -29,6 +30,10 @@ LEAF = 1024
 FAN = 32
 SAMPLE = 512
 SLACK = 1e-9
+# Levels divided among centres; where that left a node too large, the next ones divide it by hash.
+BY_CENTRE = 8
+# Node numbers of this many levels fit 64 bits.
+DEEPEST = 11
 
 _POINT = "label string, node long, id long, copies long, vec binary"
 
@@ -133,12 +138,18 @@ def _near(pairs: DataFrame, reach: float) -> DataFrame:
 
 
 def _levels(x: np.ndarray, reach: float) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Nested nodes of a leaf's vectors, radii halving: (centre, radius, parent) per level, members last."""
+    """Nested nodes of a leaf's vectors, radii halving: (centre, radius, parent) per level, members last.
+
+    The distances are one matrix, of at most LEAF by LEAF. A radius that no node exceeds makes no level.
+    """
     d = _distances(x, x)
     n = len(x)
     levels = [(np.array([0]), np.array([d[0].max()]), np.array([0]))]
     owner, rho = np.zeros(n, np.int64), 1.0
-    while rho > reach / 4 and levels[-1][1].max() > rho:
+    while rho > reach / 4:
+        if levels[-1][1].max() <= rho:
+            rho /= 2
+            continue
         centres, parents = [], []
         new = np.full(n, -1, np.int64)
         for at in range(n):
@@ -289,11 +300,14 @@ def _divide(points: DataFrame) -> tuple[DataFrame, DataFrame, int]:
         large = settled(
             placed.groupBy("label", "node").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > LEAF)
         )
-        if large.isEmpty() or len(levels) > 11:
+        if large.isEmpty():
             break
+        if len(levels) > DEEPEST:
+            raise RuntimeError(f"vectors too many for {DEEPEST} levels of {FAN} children")
+        wanted = SAMPLE if len(levels) <= BY_CENTRE else 1
         some = Window.partitionBy("label", "node").orderBy(F.xxhash64("id"), "id")
         open_ = placed.join(large, ["label", "node"])
-        sample = open_.withColumn("rank", F.row_number().over(some)).where(F.col("rank") <= SAMPLE)
+        sample = open_.withColumn("rank", F.row_number().over(some)).where(F.col("rank") <= wanted)
         centres = settled(
             sample.select("label", "node", "size", "vec")
             .groupBy("label", "node")

@@ -33,9 +33,10 @@ def vectors(seed, n, spread):
     return x.astype(np.float32)
 
 
-@pytest.mark.parametrize("leaf", [1024, 40])
-def test_vector_links_equal_brute_force(spark, monkeypatch, leaf):
+@pytest.mark.parametrize(("leaf", "by_centre"), [(1024, 8), (40, 8), (40, 1)])
+def test_vector_links_equal_brute_force(spark, monkeypatch, leaf, by_centre):
     monkeypatch.setattr(covertree, "LEAF", leaf)
+    monkeypatch.setattr(covertree, "BY_CENTRE", by_centre)
     x = vectors(1, 260, 0.1)
     x[5] = x[6] = x[7]
     x[8] = 3 * x[9]
@@ -74,6 +75,43 @@ def test_vectors_that_cannot_be_divided_and_none(spark, monkeypatch):
     assert covertree.near_duplicates(frame.where("false")).count() == 0
 
 
+def test_node_that_stays_too_large_is_an_error(spark, monkeypatch):
+    monkeypatch.setattr(covertree, "LEAF", 8)
+    monkeypatch.setattr(covertree, "DEEPEST", 0)
+    frame = spark.createDataFrame([(k, [1.0, float(k)], 0) for k in range(60)], "vec_id long, embedding array<double>, label int")
+    with pytest.raises(RuntimeError, match="too many"):
+        covertree.near_duplicates(frame)
+
+
+@pytest.mark.parametrize("reach_of_root", [0.7, 0.3])
+def test_leaf_of_small_radius_is_pruned_by_its_levels(monkeypatch, reach_of_root):
+    """Clusters around one direction: the root's radius is below 1, and inner levels still part them."""
+    rnd = np.random.default_rng(5)
+    away = rnd.normal(size=(64, 24))
+    away *= 0.9 * reach_of_root / np.linalg.norm(away, axis=1, keepdims=True)
+    away[:, 0] = 1
+    x = np.repeat(away, 16, axis=0) + 0.002 * rnd.normal(size=(1024, 24))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    threshold = 0.999
+    reach = float(np.sqrt(2 - 2 * threshold))
+    levels = covertree._levels(x, reach)
+    assert levels[0][1][0] <= 1 and len(levels) >= 3
+    radii = [level[1].max() for level in levels]
+    assert radii == sorted(radii, reverse=True) and len(levels[-1][0]) == len(x)
+    compared, whole = 0, np.einsum
+
+    def counting(rule, a, b):
+        nonlocal compared
+        compared += len(a)
+        return whole(rule, a, b)
+
+    monkeypatch.setattr(covertree.np, "einsum", counting)
+    found = {tuple(p) for pairs in covertree._descend(x, x, True, threshold) for p in pairs.tolist()}
+    i, j = np.nonzero(np.triu(x @ x.T >= threshold, 1))
+    assert found == set(zip(i.tolist(), j.tolist())) and len(found) > 1000
+    assert compared < len(x) ** 2 / 8
+
+
 PAGES = [
     (1, "https://A.Example.ORG/es/x?q#f", '<a href="http://bad.net/">b</a>'),
     (2, "http://example.org/en/17", None),
