@@ -21,14 +21,10 @@ CUT_EVERY = 4
 # Rounds go on until CUT_EVERY of them add less than this to all hosts together. What further
 # rounds would add to any host is then less than 1.1 times this.
 TOLERANCE = 1e-6
-# Rounds of the SQL twin, which is exact where no host links to another.
-ROUNDS = 8
 LIMIT = 0.5
 # Scores are compared after rounding, so that the order of a sum does not show.
 DIGITS = 12
 
-# A quoted link with a scheme: the SQL twin reads only these.
-LINK = "(?i)href[ \\t\\r\\n]*=[ \\t\\r\\n]*[\"']([a-z][a-z0-9+.-]*://[^\"']*)[\"']"
 # Links to hosts, with a scheme or that of the page: quoted, and without quotes.
 _TO_HOST = "((?:[a-z][a-z0-9+.-]*:)?//"
 QUOTED = f"(?i)href[ \\t\\r\\n]*=[ \\t\\r\\n]*[\"'][ \\t\\r\\n]*{_TO_HOST}[^\"']*)[\"']"

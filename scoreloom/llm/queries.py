@@ -210,41 +210,48 @@ def _url_sql() -> str:
     host = lambda rest: (
         f"coalesce(translate(regexp_extract({rest}, '^([^/?#]*)', 1), '{linkgraph.UPPER}', '{linkgraph.LOWER}'), '')"
     )
-    link = linkgraph.LINK.replace("'", "''")
-    d = linkgraph.DAMPING
+    patterns = [x.replace("'", "''") for x in (linkgraph.QUOTED, linkgraph.BARE)]
+    found = ", ".join(f"regexp_extract_all(html, '{x}', 1)" for x in patterns)
+    every = linkgraph.CUT_EVERY
     walks = []
     for name, seed, source, target in (("trust", "allow", "source", "target"), ("distrust", "block", "target", "source")):
+        # What each round adds; the rounds counted end where the operator ends them.
         walks.append(f"""
     {name}_seed AS (
         SELECT host, count(*) FILTER (said = '{seed}') / CAST(count(*) AS DOUBLE) AS mass
         FROM judged GROUP BY host HAVING mass > 0),
     {name}_part AS (
         SELECT {source} AS s, {target} AS t, links / sum(links) OVER (PARTITION BY {source}) AS part FROM links),
-    {name}_0 AS (SELECT * FROM {name}_seed)""")
-        for k in range(linkgraph.ROUNDS):
-            walks.append(f"""
-    {name}_{k + 1} AS (
-        SELECT host, sum(mass) AS mass FROM (
-            SELECT host, mass FROM {name}_seed UNION ALL
-            SELECT t, mass * part * {d} FROM {name}_{k} JOIN {name}_part ON host = s) GROUP BY host)""")
+    {name}_added AS (
+        SELECT 0 AS round, host, mass FROM {name}_seed
+        UNION ALL
+        SELECT round + 1, t, sum(mass * part * {linkgraph.DAMPING})
+        FROM (SELECT *, sum(mass) OVER () AS whole FROM {name}_added) JOIN {name}_part ON host = s
+        WHERE whole > {linkgraph.TOLERANCE / 1000} GROUP BY ALL),
+    {name}_block AS (
+        SELECT (round + {every - 1}) // {every} AS block, sum(mass) AS mass FROM {name}_added WHERE round > 0 GROUP BY ALL),
+    {name} AS (
+        SELECT host, sum(mass) AS mass FROM {name}_added WHERE round <= {every} * coalesce(
+            (SELECT min(block) FROM {name}_block WHERE mass < {linkgraph.TOLERANCE}), 1_000_000) GROUP BY host)""")
     return f"""
-WITH rests AS (
+WITH RECURSIVE rests AS (
     SELECT page_id, html, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) END AS rest FROM pages),
 placed AS (
     SELECT page_id, html, {host("rest")} AS host, coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path FROM rests),
 judged AS (
     SELECT page_id, host, path, CASE {rule} END AS rule, CASE {said} END AS said FROM placed),
 found AS (
-    SELECT host AS source, unnest(regexp_extract_all(html, '{link}', 1)) AS link FROM placed),
+    SELECT host AS source, unnest(list_concat({found})) AS link FROM placed),
+whole AS (SELECT source, CASE WHEN starts_with(link, '//') THEN 'same:' || link ELSE link END AS link FROM found),
 links AS (
     SELECT source, target, count(*) AS links FROM (
-        SELECT source, {host("substr(link, instr(link, '://') + 3)")} AS target FROM found)
+        SELECT source, {host("substr(link, instr(link, '://') + 3)")} AS target FROM whole)
     WHERE source <> target AND source <> '' AND target <> '' GROUP BY ALL),
 {",".join(walks)}
 SELECT page_id, j.host, path, rule, coalesce(said, CASE
     WHEN round(coalesce(b.mass, 0) - coalesce(a.mass, 0), {linkgraph.DIGITS}) > {linkgraph.LIMIT}
     THEN 'block' ELSE 'allow' END) AS verdict
-FROM judged j LEFT JOIN trust_{linkgraph.ROUNDS} a ON a.host = j.host LEFT JOIN distrust_{linkgraph.ROUNDS} b ON b.host = j.host
+FROM judged j LEFT JOIN trust a ON a.host = j.host LEFT JOIN distrust b ON b.host = j.host
 """
 
 
