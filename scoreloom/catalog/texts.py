@@ -9,6 +9,7 @@ from scoreloom.catalog import twins
 from scoreloom.catalog.registry import query, rounded, rounded_sql
 from scoreloom.functions import coverage, overlap, registry, rouge, sentences, text
 from scoreloom.functions.quality import score_pairs
+from scoreloom.functions.vocabulary import stemmed_by_vocabulary
 from scoreloom.schemas import CRM_COLUMNS, WORF_COLUMNS
 from scoreloom.sources.tables import text_pairs, text_sides
 
@@ -40,9 +41,8 @@ def _tokenised(spark, sf_dir) -> DataFrame:
     )
 
 
-def _counted(spark, sf_dir) -> DataFrame:
-    counts = overlap.overlap_counts("p", "r")
-    return _tokenised(spark, sf_dir).select("sample_id", counts.alias("counts"))
+def _counted(spark, sf_dir, count) -> DataFrame:
+    return _tokenised(spark, sf_dir).select("sample_id", count("p", "r").alias("counts"))
 
 
 _TOKENISED = f"""{twins.PAIRS},
@@ -100,7 +100,7 @@ def exact_match(spark, sf_dir):
     ),
 )
 def token_overlap(spark, sf_dir):
-    return _keyed(_counted(spark, sf_dir), overlap.token_overlap("counts"))
+    return _keyed(_counted(spark, sf_dir, overlap.set_counts), overlap.token_overlap("counts"))
 
 
 @query(
@@ -115,7 +115,7 @@ def token_overlap(spark, sf_dir):
 )
 def semantic_similarity(spark, sf_dir):
     score = overlap.semantic_similarity("counts")
-    return _keyed(_counted(spark, sf_dir), {"semantic_similarity": score})
+    return _keyed(_counted(spark, sf_dir, overlap.copy_counts), {"semantic_similarity": score})
 
 
 @query(
@@ -222,6 +222,23 @@ def porter_stem(spark, sf_dir):
     return counted.withColumn("stem", rouge.stem_tokens("token"))
 
 
+@query(
+    "stemmed_texts",
+    f"""WITH {twins.SIDES},
+    split AS (SELECT sample_id, side, text, {twins.words_sql(twins.rouge_text_sql("text"))} AS l FROM sides),
+    tokens AS (SELECT sample_id, side, i, l[i] AS token FROM (SELECT *, unnest(range(1, len(l) + 1)) AS i FROM split)),
+    vocabulary AS (SELECT DISTINCT token FROM tokens), {twins.stems_sql("vocabulary")},
+    joined AS (
+      SELECT sample_id, side, string_agg(stem, ' ' ORDER BY i) AS line FROM tokens JOIN stems USING (token) GROUP BY sample_id, side)
+    SELECT sample_id, side, CASE WHEN text IS NOT NULL THEN coalesce(line, '') END AS stemmed
+    FROM split LEFT JOIN joined USING (sample_id, side)""",
+)
+def stemmed_texts(spark, sf_dir):
+    """Whole texts of both sides with every token stemmed, by one vocabulary for all of them."""
+    stems = stemmed_by_vocabulary(text_sides(spark, sf_dir), ["sample_id", "side"], text.rouge_tokens(_text()))
+    return stems.select("sample_id", "side", F.array_join("stems", " ").alias("stemmed"))
+
+
 @query(
     "word_tokens",
     f"""WITH {twins.SIDES} SELECT sample_id, side,

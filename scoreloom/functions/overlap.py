@@ -9,9 +9,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Up to this many tokens on the right, looking up its repeats beats sorting both sides.
-SHORT = 512
-
 
 def ratio_or_zero(top: str, bottom: str) -> str:
     """Quotient, 0 for a zero denominator, NULL when either side is NULL."""
@@ -36,21 +33,12 @@ def exact_match(left: str, right: str) -> Column:
     return F.expr(f"CAST({left} = {right} AS DOUBLE)")
 
 
-def _copies(tokens: str, gram: str) -> str:
-    return f"(array_size({tokens}) - array_size(array_remove({tokens}, {gram})))"
-
-
-def shared_copies_of_short(left: str, right: str) -> str:
-    """One for every shared gram, and more only for grams the short right side repeats."""
-    repeats = f"filter({right}, (x, i) -> array_position({right}, x) <= i)"
-    more = f"least({_copies(left, 'g')}, {_copies(right, 'g')}) - 1"
-    return (
-        f"(array_size(array_intersect({left}, {right})) + "
-        f"aggregate(array_intersect({repeats}, {left}), 0, (total, g) -> total + {more}))"
-    )
+def _repeats(tokens: str) -> str:
+    """The token array in order, without the first copy of each token."""
+    return f"transform(array(sort_array({tokens})), o -> filter(o, (x, i) -> x = get(o, i - 1)))[0]"
 
 
-def shared_copies_by_sort(left: str, right: str) -> str:
+def _shared_in_order(left: str, right: str) -> str:
     """One ordered walk: copies from the left stock up, copies from the right use them up."""
     stock = "(CASE WHEN x.gram = s.gram THEN s.stock ELSE 0 END)"
     used = f"(x.side = 1 AND {stock} > 0)"
@@ -66,22 +54,30 @@ def shared_copies_by_sort(left: str, right: str) -> str:
 
 
 def shared_copies(left: str, right: str) -> str:
-    """Size of the multiset intersection of two token arrays."""
-    return (
-        f"CASE WHEN array_size({right}) <= {SHORT} THEN {shared_copies_of_short(left, right)} "
-        f"WHEN {left} IS NOT NULL AND {right} IS NOT NULL "
-        f"THEN {shared_copies_by_sort(left, right)} END"
-    )
+    """Size of the multiset intersection of two token arrays.
 
+    One for every shared token, and the walk for what both sides repeat of them; most texts repeat
+    little, so the walk is short, and long texts cost no more than putting them in order.
+    """
+    return f"array_size(array_intersect({left}, {right})) + {_shared_in_order(_repeats(left), _repeats(right))}"
 
-def overlap_counts(prediction: str, reference: str) -> Column:
-    """Set and multiset sizes of two token arrays, counted once for all scores below."""
+
+def set_counts(prediction: str, reference: str) -> Column:
+    """Sizes of two token sets and of what they share."""
     p, r = prediction, reference
     return F.expr(
         f"""struct(
           array_size(array_intersect({p}, {r})) AS shared,
           array_size(array_distinct({p})) AS predicted,
-          array_size(array_distinct({r})) AS expected,
+          array_size(array_distinct({r})) AS expected)"""
+    )
+
+
+def copy_counts(prediction: str, reference: str) -> Column:
+    """Lengths of two token arrays and the size of their multiset intersection."""
+    p, r = prediction, reference
+    return F.expr(
+        f"""struct(
           {shared_copies(p, r)} AS copies,
           array_size({p}) AS predicted_size,
           array_size({r}) AS expected_size)"""
@@ -89,7 +85,7 @@ def overlap_counts(prediction: str, reference: str) -> Column:
 
 
 def token_overlap(counts: str) -> dict[str, Column]:
-    """Precision, recall and F1 over token sets, from an :func:`overlap_counts` column."""
+    """Precision, recall and F1 over token sets, from a :func:`set_counts` column."""
     shared, predicted, expected = (f"{counts}.{c}" for c in ("shared", "predicted", "expected"))
     return {
         "precision": F.expr(ratio_or_zero(shared, predicted)),
@@ -99,7 +95,7 @@ def token_overlap(counts: str) -> dict[str, Column]:
 
 
 def semantic_similarity(counts: str) -> Column:
-    """Shared token copies over the geometric mean of both lengths."""
+    """Shared token copies over the geometric mean of both lengths, from a :func:`copy_counts` column."""
     weight = f"sqrt(CAST({counts}.predicted_size AS DOUBLE) * {counts}.expected_size)"
     return F.expr(ratio_or_zero(f"{counts}.copies", weight))
 
@@ -107,11 +103,10 @@ def semantic_similarity(counts: str) -> Column:
 def _ngrams(tokens: str, n: int) -> str:
     if n == 1:
         return tokens
+    later = ", ".join(f"get({tokens}, i + {k})" for k in range(1, n))
     return (
-        f"CASE WHEN array_size({tokens}) >= {n} THEN "
-        f"transform(sequence(1, array_size({tokens}) - {n - 1}), "
-        f"i -> array_join(slice({tokens}, i, {n}), ' ')) "
-        f"WHEN {tokens} IS NOT NULL THEN CAST(array() AS ARRAY<STRING>) END"
+        f"transform(slice({tokens}, 1, greatest(array_size({tokens}) - {n - 1}, 0)), "
+        f"(x, i) -> concat_ws(' ', x, {later}))"
     )
 
 

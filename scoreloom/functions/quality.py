@@ -49,7 +49,8 @@ def score_pairs(
     }
     counts = {
         "_exact": overlap.exact_match("_norm_p", "_norm_r"),
-        "_counts": overlap.overlap_counts("_tok_p", "_tok_r"),
+        "_sets": overlap.set_counts("_tok_p", "_tok_r"),
+        "_copies": overlap.copy_counts("_tok_p", "_tok_r"),
     }
     if not stem:
         for side in "pr":
@@ -68,7 +69,7 @@ def score_pairs(
         counted = counted.withColumns({f"_user_{name}": metric(pred, ref) for name, metric in guarded.items()})
 
     metrics: dict[str, Column] = {"exact_match": F.col("_exact")}
-    metrics |= overlap.token_overlap("_counts")
+    metrics |= overlap.token_overlap("_sets")
     if stem:
         metrics |= rouge_scores("_match")
     else:
@@ -76,7 +77,7 @@ def score_pairs(
         metrics["rouge_2"] = overlap.rouge_n("_grams_2")
         sizes = ("_grams_1.predicted", "_grams_1.expected")
         metrics["rouge_l"] = F.expr(overlap.f_measure("_match", *sizes))
-    metrics["semantic_similarity"] = overlap.semantic_similarity("_counts")
+    metrics["semantic_similarity"] = overlap.semantic_similarity("_copies")
     metrics |= overlap.length_metrics("_len_p", "_len_r")
     for name, suite in SUITES.items():
         metrics |= suite.scores(f"_{name}_p", f"_{name}_r")

@@ -1,4 +1,6 @@
 import random
+import re
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -7,6 +9,7 @@ from scoreloom.functions import overlap, registry, rouge, text
 from scoreloom.functions.porter import stem
 from scoreloom.functions.quality import metric_failures, score_pairs
 from scoreloom.functions.rouge import lcs_length
+from scoreloom.functions.vocabulary import stemmed_by_vocabulary, vocabulary_of
 from tests import brute
 
 # Three published smoke-test pairs with scores worked out from the formulas,
@@ -184,14 +187,67 @@ def test_word_count(spark):
     assert one(spark, "x", "", text.word_count) == 0
 
 
-def test_both_multiset_paths_agree(spark):
-    pairs = made_up_pairs(30, 60, 5)
-    df = frame(spark, pairs).select(text.rouge_tokens(F.col("response")).alias("a"), text.rouge_tokens(F.col("ground_truth")).alias("b"))
-    both = df.select(
-        F.expr(overlap.shared_copies_of_short("a", "b")).alias("short"),
-        F.expr(overlap.shared_copies_by_sort("a", "b")).alias("sort"),
+def test_shared_copies_against_counters(spark):
+    pairs = made_up_pairs(30, 60, 5) + [("a " * 900 + "b", "a " * 700 + "b b"), ("", "a a"), ("a a", "b b")]
+    df = frame(spark, pairs).select("sample_id", *(F.array_remove(F.split(c, " "), "").alias(c) for c in ("response", "ground_truth")))
+    found = {r["sample_id"]: r["n"] for r in df.select("sample_id", F.expr(overlap.shared_copies("response", "ground_truth")).alias("n")).collect()}
+    for i, (p, r) in enumerate(pairs):
+        assert found[str(i)] == sum((Counter(p.split()) & Counter(r.split())).values())
+
+
+# The same subsequence as built-in expressions: bit-parallel over blocks of 62 places of the right
+# side, with carries from block to block.
+BLOCK = 62
+FULL = (1 << BLOCK) - 1
+PLACES = f"""map_from_entries(transform(array_distinct(r), t -> struct(t, transform(sequence(0, (size(r) - 1) div {BLOCK}),
+    b -> aggregate(slice(r, b * {BLOCK} + 1, {BLOCK}), struct(0L AS m, 1L AS bit),
+                   (s, x) -> struct(s.m + IF(x = t, s.bit, 0L) AS m, shiftleft(s.bit, 1) AS bit), s -> s.m)))))"""
+ADDED = "(get(rows, size(s.done)) + (get(rows, size(s.done)) & m) + s.carry)"
+SUBSEQUENCE = f"""size(r) - aggregate(
+    aggregate(l, transform(sequence(0, (size(r) - 1) div {BLOCK}),
+                           b -> {FULL}L & (shiftleft(1L, least({BLOCK}, size(r) - b * {BLOCK})) - 1)),
+      (rows, t) -> IF(NOT map_contains_key(places, t), rows, aggregate(places[t],
+        struct(CAST(array() AS ARRAY<BIGINT>) AS done, 0L AS carry),
+        (s, m) -> struct(concat(s.done, array(({ADDED} | (get(rows, size(s.done)) & ~m)) & {FULL}L)) AS done,
+                         shiftright({ADDED}, {BLOCK}) AS carry), s -> s.done))),
+    struct(0 AS n, 0 AS b), (s, row) -> struct(
+      s.n + bit_count(row & (shiftleft(1L, least({BLOCK}, size(r) - s.b * {BLOCK})) - 1)) AS n, s.b + 1 AS b), s -> s.n)"""
+
+
+def test_subsequence_equals_its_built_in_form(spark):
+    pairs = [(p, r) for p, r in made_up_pairs(60, 40, 7) + made_up_pairs(6, 400, 8) if r]
+    df = frame(spark, pairs).select("response", "ground_truth", F.split("response", " ").alias("l"), F.split("ground_truth", " ").alias("r"))
+    both = df.withColumn("places", F.expr(PLACES)).select(
+        F.expr(SUBSEQUENCE).alias("built_in"), rouge.common_subsequence("response", "ground_truth").alias("arrow")
     )
-    assert all(r["short"] == r["sort"] for r in both.collect())
+    assert all(r["built_in"] == r["arrow"] for r in both.collect())
+
+
+TEXTS = [("a", "running cats ran"), ("a", None), (None, "Running, DOGS; the"), ("b", ""), ("b", "the the skies"), ("b", "the the skies")]
+
+
+@pytest.mark.parametrize("batch", ["1", "2000"])
+def test_stems_by_vocabulary(spark, batch):
+    """Nulls, empty texts, repeated rows and keys, in batches with and without tokens."""
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        df = spark.createDataFrame(TEXTS, "k string, t string")
+        found = stemmed_by_vocabulary(df, ["k"], text.rouge_tokens(F.col("t"))).collect()
+        assert stemmed_by_vocabulary(df.limit(0), ["k"], text.rouge_tokens(F.col("t"))).count() == 0
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    wanted = [
+        (k, None if t is None else [stem(w) for w in re.sub("[^a-z0-9]+", " ", t.lower()).split()]) for k, t in TEXTS
+    ]
+    assert sorted(map(repr, map(tuple, found))) == sorted(map(repr, wanted))
+
+
+def test_each_token_is_stemmed_once(spark):
+    """A word of every batch meets the vocabulary once per batch, and is one row of it."""
+    tokens = spark.range(5000).selectExpr("IF(id % 3 = 0, 'hot', concat('w', id % 50)) AS token")
+    vocabulary = vocabulary_of(tokens)
+    assert vocabulary.count() == vocabulary.select("token").distinct().count() == 51
 
 
 def test_registered_metrics(spark):
