@@ -28,8 +28,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from scoreloom.llm.common import GOLDEN, id_and_text, mixed, stored
+from scoreloom.operators.numbering import number_rows
 
 BLOCK = 8 << 20
+# Bytes of text that one part, a range of consecutive rows, should hold at most.
+PART = 256 << 20
 KEYS = 1 << 16
 GAMMA = 2.0
 LEVELS = 32
@@ -164,7 +167,7 @@ class TokenStore:
 
 
 def _packer(width: int):
-    """Cut sorted rows (part, doc_id, ids) into blocks."""
+    """Cut sorted rows (part, doc_id, spot, ids) into blocks; turns count from 1 within a part."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, number, before, last, turn = None, 0, 0, None, 0
@@ -180,6 +183,9 @@ def _packer(width: int):
                     "part": [part],
                     "before": [before],
                     "n_ids": [int(lengths.sum())],
+                    "first_id": pa.array([held[0][0]], pa.int64()),
+                    "last_id": pa.array([held[-1][0]], pa.int64()),
+                    "last_turn": [abs(held[-1][1])],
                     "doc_ids": [ids.tobytes()],
                     "turns": [np.array([t for _, t, _ in held], np.int64).tobytes()],
                     "lengths": [lengths.tobytes()],
@@ -188,7 +194,7 @@ def _packer(width: int):
             )
 
         for batch in batches:
-            for p, doc_id, ids in zip(*(c.to_pylist() for c in batch.columns)):
+            for p, doc_id, ids in zip(*(batch.column(c).to_pylist() for c in ("part", "doc_id", "ids"))):
                 if held and (p != part or size + len(ids) > BLOCK):
                     yield block()
                     before += size // width
@@ -207,7 +213,7 @@ def _packer(width: int):
     return work
 
 
-_BLOCK_COLUMNS = "block long, part long, before long, n_ids long, doc_ids binary, turns binary, lengths binary, payload binary"
+_BLOCK_COLUMNS = "block long, part long, before long, n_ids long, first_id long, last_id long, last_turn long, doc_ids binary, turns binary, lengths binary, payload binary"
 _PLACES = "bucket long, key long, block long, place long, n long, start long"
 _INDEX = "bucket long, sizes binary, bits binary, prints binary, blocks binary, places binary, lengths binary, starts binary"
 
@@ -219,6 +225,10 @@ def _places(buckets: int):
         for batch in batches:
             for row in batch.to_pylist():
                 ids, turns, lengths = (np.frombuffer(row[c], np.int64) for c in ("doc_ids", "turns", "lengths"))
+                if row["carried"]:
+                    # Earlier parts hold rows of the id this part begins with.
+                    first = row["first_id"]
+                    turns = turns + np.where((ids == (first or 0)) & ((turns < 0) == (first is None)), row["carried"] * np.sign(turns), 0)
                 keys = _keys(ids, turns)
                 place = np.cumsum(lengths) - lengths
                 yield pa.RecordBatch.from_pydict(
@@ -255,22 +265,46 @@ def _build(group: pd.DataFrame) -> pd.DataFrame:
     )
 
 
+def _parts(ids: pa.Array, spots: np.ndarray, bounds: np.ndarray, unknown: int) -> np.ndarray:
+    """The part of every row, ascending with (id, spot): `unknown` parts without id, then one after each bound.
+
+    An id that is several bounds has as many parts, and its rows are dealt to them by spot.
+    """
+    own = ids.fill_null(0).to_numpy()
+    none = ids.is_null().to_numpy(zero_copy_only=False)
+    first = np.searchsorted(bounds, own, side="left")
+    many = np.maximum(np.searchsorted(bounds, own, side="right") - first, 1)
+    first, many = np.where(none, 0, first + unknown), np.where(none, unknown, many)
+    place = (spots.view(np.uint64) + np.uint64(1 << 63)) >> np.uint64(32)
+    return first + (place * many.astype(np.uint64) >> np.uint64(32)).astype(np.int64)
+
+
 def write_store(
-    docs: DataFrame, tokenizer_json: str, vocabulary: int, end_id: int, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame,
+    tokenizer_json: str,
+    vocabulary: int,
+    end_id: int,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    part_bytes: int = PART,
 ) -> TokenStore:
     """Encode all documents and store their ids, `end_id` after each.
 
-    Documents lie in ascending order of id, rows without id first, rows with equal ids in the
-    order of their ids' bytes. A null text counts as empty: only the end id. An empty table
+    Documents lie in ascending order of id, rows without id first, rows with equal ids in an
+    order fixed when they are read, so that an id with a third of all rows, or no id, fills many
+    parts like anything else. A null text counts as empty: only the end id. An empty table
     makes an empty store. Other columns are not read. The tokenizer's file is sent to every
     task as text; its tokens must not span white space.
     """
     spark = docs.sparkSession
     width = 2 if max(vocabulary, end_id + 1) <= 1 << 16 else 4
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = id_and_text(docs, id_col, text_col)
+    counted = rows.agg(F.count("*").alias("n"), F.count("doc_id").alias("known"), F.sum(F.octet_length("text")).alias("bytes")).first()
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), (counted["bytes"] or 0) // part_bytes + 1)
     cuts = [k / parts for k in range(1, parts)] or [0.5]
-    sketch = docs.agg(F.percentile_approx(F.col(id_col).cast("long"), cuts, 100 * parts).alias("at")).first()["at"]
-    bounds = np.unique(np.array(sketch or [], np.int64))
+    sketch = rows.agg(F.percentile_approx("doc_id", cuts, 10 * parts).alias("at")).first()["at"]
+    bounds = np.array(sketch or [], np.int64)
+    unknown = max(1, round(parts * (counted["n"] - counted["known"]) / max(1, counted["n"])))
     json = spark.sparkContext.broadcast(tokenizer_json)
     end = np.array([end_id], f"<u{width}").tobytes()
 
@@ -278,29 +312,46 @@ def write_store(
         encoder = _encoder(json.value, width)
         for batch in batches:
             ids = [x + end for x in encoder.encode(batch.column(1).to_pylist())]
-            own = batch.column(0)
-            part = np.searchsorted(bounds, own.fill_null(-(1 << 63)).to_numpy(), side="left")
+            own, spot = batch.column(0), batch.column(2)
+            part = _parts(own, spot.to_numpy(), bounds, unknown)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(part, pa.int64()), own, pa.array(ids, pa.binary())], names=["part", "doc_id", "ids"]
+                [pa.array(part, pa.int64()), own, spot, pa.array(ids, pa.binary())], names=["part", "doc_id", "spot", "ids"]
             )
 
-    rows = id_and_text(docs, id_col, text_col).mapInArrow(encode, "part long, doc_id long, ids binary")
+    spotted = rows.withColumn("spot", F.xxhash64(F.monotonically_increasing_id()))
     payload = stored(
-        rows.repartition(parts, "part")
-        .sortWithinPartitions("part", "doc_id", "ids")
+        spotted.mapInArrow(encode, "part long, doc_id long, spot long, ids binary")
+        .repartition(parts, "part")
+        .sortWithinPartitions("part", "doc_id", "spot")
         .mapInArrow(_packer(width), _BLOCK_COLUMNS),
         "block",
     )
     blocks = spark.table(payload)
-    # One row for each part: ids in the parts before it.
-    sums = blocks.groupBy("part").agg(F.sum("n_ids").alias("n"), F.sum(F.length("doc_ids") / 8).cast("long").alias("docs"))
-    in_order = Window.partitionBy(F.lit(0)).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sums.select("part", F.coalesce(F.sum("n").over(in_order), F.lit(0)).alias("offset"))
+    # One row for each part: ids in the parts before it, and how many rows of its first id they hold.
+    sums = blocks.groupBy("part").agg(
+        F.sum("n_ids").alias("n"),
+        F.sum(F.length("doc_ids") / 8).cast("long").alias("docs"),
+        F.min_by("first_id", "block").alias("first_id"),
+        F.max_by("last_id", "block").alias("last_id"),
+        F.max_by("last_turn", "block").alias("last_turn"),
+    )
+    by_part = Window.partitionBy(F.lit(0)).orderBy("part")
+    in_order = by_part.rowsBetween(Window.unboundedPreceding, -1)
+    of_id = Window.partitionBy("last_id").orderBy("part").rowsBetween(Window.unboundedPreceding, 0)
+    goes_on = F.lag("last_id").over(by_part).eqNullSafe(F.col("first_id"))
+    offsets = sums.withColumn("held", F.sum("last_turn").over(of_id)).select(
+        "part",
+        "first_id",
+        F.coalesce(F.sum("n").over(in_order), F.lit(0)).alias("offset"),
+        F.when(goes_on, F.lag("held", 1, 0).over(by_part)).otherwise(0).alias("carried"),
+    )
     total = sums.agg(F.sum("docs")).first()[0] or 0
     buckets = max(1, -(-total // KEYS))
     directory = blocks.select("part", "block", "before", "doc_ids", "turns", "lengths").join(offsets, "part")
     index = stored(
-        directory.select("block", (F.col("offset") + F.col("before")).alias("start"), "doc_ids", "turns", "lengths")
+        directory.select(
+            "block", (F.col("offset") + F.col("before")).alias("start"), "first_id", "carried", "doc_ids", "turns", "lengths"
+        )
         .mapInArrow(_places(buckets), _PLACES)
         .groupBy("bucket")
         .applyInPandas(_build, _INDEX),
@@ -342,9 +393,9 @@ def read_ids(spark: SparkSession, store: TokenStore, wanted: DataFrame, id_col:
     all documents before.
     """
     buckets, kind = store.buckets, f"<u{store.width}"
-    turn = F.row_number().over(Window.partitionBy(id_col).orderBy(id_col))
-    turns = wanted.select(F.col(id_col).cast("long").alias("doc_id")).select(
-        "doc_id", F.when(F.col("doc_id").isNull(), -turn).otherwise(turn).cast("long").alias("turn")
+    asked = wanted.select(F.col(id_col).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("spot"))
+    turns = number_rows(asked, ["doc_id"], ["spot"], "turn").select(
+        "doc_id", F.when(F.col("doc_id").isNull(), -F.col("turn")).otherwise(F.col("turn")).cast("long").alias("turn")
     )
 
     def keyed(batches):

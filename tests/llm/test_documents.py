@@ -165,6 +165,32 @@ def test_token_store_equals_the_library(spark, docs, rows):
     assert [r["doc_id"] for r in tokenstore.read_ids(spark, store, absent).collect()] == [701]
 
 
+@pytest.mark.parametrize("hot", [5, None])
+def test_a_hot_id_fills_many_parts(spark, hot):
+    """A third of all rows under one id, or none, equal texts among them: split, in order, and every row found."""
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    own = Tokenizer.from_file(path)
+    rows = [(hot, "the same row") if k % 2 else (hot, f"row {k}") for k in range(300)] + [(k, f"text {k}") for k in range(600)]
+    docs = make(spark, rows).repartition(4).cache()
+    store = tokenstore.write_store(docs, open(path).read(), 49_408, 2, part_bytes=400)
+    blocks = spark.table(store.blocks).select("part", "doc_ids", "turns").collect()
+    sizes = {}
+    for b in blocks:
+        sizes[b["part"]] = sizes.get(b["part"], 0) + len(b["doc_ids"]) // 8
+    assert max(sizes.values()) < 120
+    found = tokenstore.read_ids(spark, store, docs.select("doc_id")).collect()
+    wanted = ((i, np.array(own.encode(t, add_special_tokens=False).ids + [2], "<u4").tobytes()) for i, t in rows)
+    assert bag((r["doc_id"], bytes(r["ids"])) for r in found) == bag(wanted)
+    ordered = sorted(found, key=lambda r: r["start"])
+    assert [r["start"] for r in ordered] == [sum(x["n_tokens"] for x in ordered[:k]) for k in range(len(ordered))]
+    keys = [-1 if r["doc_id"] is None else r["doc_id"] for r in ordered]
+    assert keys == sorted(keys)
+    twice = spark.createDataFrame([(hot,)] * 2, "doc_id long")
+    assert tokenstore.read_ids(spark, store, twice).count() == 2
+
+
 def test_token_store_of_an_empty_table(spark, none):
     store = tokenstore.write_store(none, open(public_tokenizers.path("word_bpe_49k.json")).read(), 49_408, 2)
     assert tokenstore.read_ids(spark, store, none.select("doc_id")).count() == 0
