@@ -7,13 +7,13 @@ abbreviations are short, and they seldom stand without their period.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scoreloom.functions.text import SPACES, word_tokens
+from scoreloom.functions.text import SPACES, bound, word_tokens
 from scoreloom.session import settle
 
 # The paper's threshold, and its chance that an abbreviation is written with its period.
@@ -107,27 +107,37 @@ def _abbreviated(piece: Column, abbreviations: Column) -> Column:
     return F.rlike(piece, F.lit(PLAIN_END)) & F.array_contains(abbreviations, word_type(piece))
 
 
+def _with_pieces(text: Column, body: Callable[[Column], Column]) -> Column:
+    """body(pieces), with the text split once and not once more for every piece."""
+    return bound(pieces(text), body)
+
+
 def sentence_count(text: Column, abbreviations: Column) -> Column:
     """Sentences of a text: . ! ? end one before white space, an abbreviation's period does not; nor need the last."""
-    parts = pieces(text)
-    last = F.size(parts) - 1
-    ends = F.transform(
-        parts,
-        lambda piece, i: (i == last) | (F.rlike(piece, F.lit(SENTENCE_END)) & ~_abbreviated(piece, abbreviations)),
-    )
-    return F.size(F.filter(ends, lambda end: end)).cast("long")
+
+    def counted(parts: Column) -> Column:
+        last = F.size(parts) - 1
+        ends = F.transform(
+            parts,
+            lambda piece, i: (i == last) | (F.rlike(piece, F.lit(SENTENCE_END)) & ~_abbreviated(piece, abbreviations)),
+        )
+        return F.size(F.filter(ends, lambda end: end))
+
+    return _with_pieces(text, counted).cast("long")
 
 
 def sentence_word_tokens(text: Column, abbreviations: Column) -> Column:
     """:func:`word_tokens` of a text whose abbreviations keep their period, unless they end the text."""
-    parts = pieces(text)
-    last = F.size(parts) - 1
-    guarded = F.transform(
-        parts,
-        lambda piece, i: F.when(
-            (i < last) & _abbreviated(piece, abbreviations),
-            F.regexp_replace(piece, rf"\.({CLOSERS})\z", f"{GUARD}$1"),
-        ).otherwise(piece),
-    )
-    tokens = word_tokens(F.array_join(guarded, " "))
+
+    def guarded(parts: Column) -> Column:
+        last = F.size(parts) - 1
+        return F.transform(
+            parts,
+            lambda piece, i: F.when(
+                (i < last) & _abbreviated(piece, abbreviations),
+                F.regexp_replace(piece, rf"\.({CLOSERS})\z", f"{GUARD}$1"),
+            ).otherwise(piece),
+        )
+
+    tokens = word_tokens(F.array_join(_with_pieces(text, guarded), " "))
     return F.transform(tokens, lambda token: F.replace(token, F.lit(GUARD), F.lit(".")))

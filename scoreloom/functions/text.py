@@ -71,14 +71,14 @@ def _has_any(text: Column, parts: Iterable[str]) -> Column:
     return F.exists(listed, lambda part: F.contains(text, part))
 
 
-def _bound(value: Column, body: Callable[[Column], Column]) -> Column:
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value), with value computed once however often body mentions it."""
     return F.get(F.transform(F.array(value), body), 0)
 
 
 def normalized_tokens(normalized: Column) -> Column:
     """Word tokens of text that went through :func:`normalize_text`."""
-    spaced = _bound(
+    spaced = bound(
         normalized,
         lambda line: F.when(
             _has_any(line, [*JOINED_WORDS, *QUOTES]), _replace(line, CONTRACTIONS_AND_QUOTES)
@@ -103,10 +103,10 @@ def word_tokens(text: Column) -> Column:
         return F.when(F.contains(line, F.lit("'")), quoted).otherwise(line)
 
     def split_joined(line: Column) -> Column:
-        joined = _bound(F.lower(line), lambda low: _has_any(low, JOINED_WORDS))
+        joined = bound(F.lower(line), lambda low: _has_any(low, JOINED_WORDS))
         return F.when(joined, _replace(line, CONTRACTIONS)).otherwise(line)
 
-    spaced = _bound(_bound(spaced, split_quoted), split_joined)
+    spaced = bound(bound(spaced, split_quoted), split_joined)
     return F.array_remove(F.split(spaced, SPACES), "")
 
 
