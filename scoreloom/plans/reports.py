@@ -196,10 +196,19 @@ def value_bounds(results: DataFrame) -> DataFrame:
 
 
 def uniqueness_report(results: DataFrame) -> DataFrame:
-    """Distinct texts per column, compared by SHA-256 so that no text is shuffled."""
+    """Distinct texts per column, compared by SHA-256 so that no text is shuffled.
+
+    Half a digest, 16 bytes, and its column's number are a row of one exchange; that two of 10 ** 9 texts share
+    it has a chance below 10 ** -20.
+    """
     columns = {"prompt": "prompts", "response": "responses", "ground_truth": "ground_truths"}
-    return results.agg(
-        *(F.count_distinct(F.sha2(c, 256)).alias(f"unique_{n}") for c, n in columns.items())
+    marks = [
+        F.struct(F.lit(i).cast("byte").alias("place"), F.unhex(F.substring(F.sha2(c, 256), 1, 32)).alias("digest"))
+        for i, c in enumerate(columns)
+    ]
+    distinct = results.select(F.inline(F.array(*marks))).where("digest IS NOT NULL").distinct()
+    return distinct.agg(
+        *(F.count_if(F.col("place") == i).alias(f"unique_{n}") for i, n in enumerate(columns.values()))
     )
 
 
