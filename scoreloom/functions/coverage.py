@@ -41,10 +41,14 @@ def covered(predicted: str, expected: str) -> str:
     return f"CASE WHEN {predicted} > {expected} AND {expected} > 0 THEN 1D ELSE {ratio} END"
 
 
-def crm_hits(text: str) -> Column:
-    """Keywords of each family found in raw text. The families share no keyword."""
+def _lower(text: str, lowered: bool) -> str:
+    return text if lowered else f"lower({text})"
+
+
+def crm_hits(text: str, lowered: bool = False) -> Column:
+    """Keywords of each family found in raw text, or in its lower case. The families share no keyword."""
     fields = (f"{_keyword_hits('t', ws)} AS {name}" for name, ws in CRM_KEYWORDS.items())
-    return F.expr(f"transform(array(lower({text})), t -> struct({', '.join(fields)}))[0]")
+    return F.expr(f"transform(array({_lower(text, lowered)}), t -> struct({', '.join(fields)}))[0]")
 
 
 def crm_coverage(predicted: str, expected: str) -> dict[str, Column]:
@@ -61,10 +65,10 @@ def crm_coverage(predicted: str, expected: str) -> dict[str, Column]:
     return scores
 
 
-def worf_hits(text: str) -> Column:
-    """Reasoning words and kinds of list structure found in raw text."""
+def worf_hits(text: str, lowered: bool = False) -> Column:
+    """Reasoning words and kinds of list structure found in raw text, or in its lower case."""
     return F.expr(
-        f"transform(array(lower({text})), t -> struct("
+        f"transform(array({_lower(text, lowered)}), t -> struct("
         f"{_keyword_hits('t', ANALYSIS_WORDS)} AS analytical, "
         f"{_structure_hits('t')} AS structure))[0]"
     )

@@ -33,16 +33,17 @@ def score_pairs(
     failed on a row, as 'name: exception'.
     """
     pred, ref = F.col(prediction), F.col(reference)
+    low_p, low_r = F.col("_low_p"), F.col("_low_r")
     prepared = {
-        "_norm_p": normalize_text(pred),
-        "_norm_r": normalize_text(ref),
-        "_len_p": F.array_size(word_tokens(pred)),
-        "_len_r": F.array_size(word_tokens(ref)),
+        "_norm_p": normalize_text(pred, low_p),
+        "_norm_r": normalize_text(ref, low_r),
+        "_len_p": F.array_size(word_tokens(pred, low_p)),
+        "_len_r": F.array_size(word_tokens(ref, low_r)),
     }
     for name, suite in SUITES.items():
         inside = F.col(benchmark) == name
-        prepared[f"_{name}_p"] = F.when(inside, suite.hits(prediction))
-        prepared[f"_{name}_r"] = F.when(inside, suite.hits(reference))
+        prepared[f"_{name}_p"] = F.when(inside, suite.hits("_low_p", True))
+        prepared[f"_{name}_r"] = F.when(inside, suite.hits("_low_r", True))
     tokens = {
         "_tok_p": normalized_tokens(F.col("_norm_p")),
         "_tok_r": normalized_tokens(F.col("_norm_r")),
@@ -59,7 +60,9 @@ def score_pairs(
             counts[f"_grams_{n}"] = overlap.gram_counts("_gram_p", "_gram_r", n)
     matches = stemmed_matches if stem else common_subsequence
     counted = (
-        df.withColumn("_match", matches(rouge_text(pred), rouge_text(ref)))
+        # Every other step works on the lower case: it is taken once.
+        df.withColumns({"_low_p": F.lower(pred), "_low_r": F.lower(ref)})
+        .withColumn("_match", matches(rouge_text(pred, low_p), rouge_text(ref, low_r)))
         .withColumns(prepared)
         .withColumns(tokens)
         .withColumns(counts)

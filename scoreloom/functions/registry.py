@@ -19,12 +19,12 @@ PairMetric = Callable[[Column, Column], Column]
 class Suite:
     """Cleaning, headline metric, and extra metrics: hits per text, scores from both hits.
 
-    Hits and scores take column names.
+    Hits and scores take column names; hits also whether the column is lower case already.
     """
 
     clean: Callable[[Column], Column]
     headline: str
-    hits: Callable[[str], Column]
+    hits: Callable[..., Column]
     scores: Callable[[str, str], dict[str, Column]]
 
 

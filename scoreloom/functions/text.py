@@ -59,9 +59,9 @@ def strip(text: Column) -> Column:
     return F.regexp_replace(text, EDGES, "")
 
 
-def normalize_text(text: Column) -> Column:
-    """Lower case, ASCII punctuation deleted, white space collapsed and trimmed."""
-    bare = F.regexp_replace(F.lower(text), PUNCTUATION_RUN, "")
+def normalize_text(text: Column, lowered: Column | None = None) -> Column:
+    """Lower case, ASCII punctuation deleted, white space collapsed and trimmed; `lowered` is the text's lower case, if known."""
+    bare = F.regexp_replace(F.lower(text) if lowered is None else lowered, PUNCTUATION_RUN, "")
     return F.trim(F.regexp_replace(bare, SPACES, " "))
 
 
@@ -87,10 +87,11 @@ def normalized_tokens(normalized: Column) -> Column:
     return _words(spaced)
 
 
-def word_tokens(text: Column) -> Column:
+def word_tokens(text: Column, lowered: Column | None = None) -> Column:
     """Word tokens of raw text: punctuation and contractions become tokens.
 
-    Every period before white space counts as a sentence end; no abbreviation list is used.
+    Every period before white space counts as a sentence end; no abbreviation list is used. `lowered` is
+    the text's lower case, if known: a joined word stands in it wherever it stands in the spaced text.
     """
     spaced = F.concat(F.lit(" "), text, F.lit(" "))
     for rule in (END_PERIOD, SYMBOLS, COLON_COMMA):
@@ -103,7 +104,10 @@ def word_tokens(text: Column) -> Column:
         return F.when(F.contains(line, F.lit("'")), quoted).otherwise(line)
 
     def split_joined(line: Column) -> Column:
-        joined = bound(F.lower(line), lambda low: _has_any(low, JOINED_WORDS))
+        if lowered is not None:
+            joined = _has_any(lowered, JOINED_WORDS)
+        else:
+            joined = bound(F.lower(line), lambda low: _has_any(low, JOINED_WORDS))
         return F.when(joined, _replace(line, CONTRACTIONS)).otherwise(line)
 
     spaced = bound(bound(spaced, split_quoted), split_joined)
@@ -115,9 +119,9 @@ def word_count(text: Column) -> Column:
     return F.array_size(F.array_remove(F.split(text, SPACES), ""))
 
 
-def rouge_text(text: Column) -> Column:
+def rouge_text(text: Column, lowered: Column | None = None) -> Column:
     """Lower-case ASCII letters and digits, everything else a single space."""
-    return F.trim(F.regexp_replace(F.lower(text), "[^a-z0-9]+", " "))
+    return F.trim(F.regexp_replace(F.lower(text) if lowered is None else lowered, "[^a-z0-9]+", " "))
 
 
 def rouge_tokens(text: Column) -> Column:

@@ -5,6 +5,7 @@ import pathlib
 import pytest
 from pyspark.sql import functions as F
 
+from scoreloom.functions.quality import score_pairs
 from scoreloom.plans import reports
 from scoreloom.sources import results as store
 from scoreloom.streaming import flows
@@ -92,3 +93,15 @@ def test_a_stateful_batch_leaves_few_files(spark, tmp_path):
         spark.conf.set("spark.sql.shuffle.partitions", former)
     assert store.scan_results(spark, path).count() == 2_000
     assert 0 < len(files(path, "parquet")) <= flows.TURNS * spark.sparkContext.defaultParallelism
+
+
+def test_scores_take_the_lower_case_of_a_text_once(spark):
+    pairs = spark.createDataFrame(
+        [("crmarena", "CANNOT help: Sorry!", "i cannot help"), ("worfbench", "First, 1) CONSIDER", None)],
+        "benchmark STRING, response STRING, ground_truth STRING",
+    )
+    scored = score_pairs(pairs)
+    assert scored._jdf.queryExecution().optimizedPlan().toString().count("lower(") == 2
+    first = scored.where("benchmark = 'crmarena'").first()
+    # can, not, help, :, Sorry, !
+    assert (first.prediction_length, first.reference_length, first.customer_service_coverage) == (6, 4, 1.0)
