@@ -1,5 +1,6 @@
 """The stateful request stream: nothing counted twice, nothing lost."""
 
+import random
 from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
@@ -76,3 +77,73 @@ def test_hot_request_is_shuffled_as_few_rows(spark, tmp_path):
     frame = requests.stream_requests(spark.readStream.schema(CHUNKS).parquet(f"{tmp_path}/in/arrival=*"))
     plan = frame._jdf.queryExecution().analyzed().toString()
     assert plan.index("TransformWithState") < plan.index("MapInArrow") < plan.index("EventTimeWatermark")
+
+
+def judged(arrivals, hour=3600, gap=4 * 3600):
+    """Closed, late and open parts by one request at a time, in seconds since noon."""
+    clock, alive, marks, out = None, {}, {}, []
+    for rows in arrivals:
+        parts = {}
+        for request, started, ts, content in rows:
+            if ts is not None:
+                at = int((ts - NOON).total_seconds())
+                parts.setdefault(request, []).append((started, at if content else None, at, len((content or "").split())))
+        for request, facts in parts.items():
+            end = max(f[2] for f in facts)
+            gone = clock is not None and end + gap <= clock
+            if request not in alive and (gone or (request in marks and end <= marks[request] + gap)):
+                out.append((request, "late", facts))
+            else:
+                alive.setdefault(request, []).extend(facts)
+        newest = max(f[2] for facts in parts.values() for f in facts) - hour
+        clock = newest if clock is None else max(clock, newest)
+        for request, facts in list(alive.items()):
+            end = max(f[2] for f in facts)
+            if end + gap <= clock:
+                marks[request] = end
+                out.append((request, "closed", alive.pop(request)))
+    out += [(request, "open", facts) for request, facts in alive.items()]
+
+    def when(seconds):
+        return None if not seconds else NOON + timedelta(seconds=min(seconds))
+
+    return sorted(
+        (
+            (
+                request,
+                outcome,
+                min((f[0] for f in facts if f[0]), default=None),
+                when([f[1] for f in facts if f[1] is not None]),
+                NOON + timedelta(seconds=max(f[2] for f in facts)),
+                sum(f[3] for f in facts),
+            )
+            for request, outcome, facts in out
+        ),
+        key=str,
+    )
+
+
+def test_requests_of_a_group_are_one_state_value(spark, tmp_path):
+    rng, arrivals, root = random.Random(3), [], str(tmp_path)
+    ids = [None, "", *(f"r{i}" for i in range(600))]
+    # Where doubles hold no single microseconds.
+    starts = [None, NOON, datetime(9999, 12, 31, 23, 59, 59, 999_999)]
+    for low, high in ((0, 10), (2, 14), (3, 30), (8, 31)):
+        hours = (None if rng.random() < 0.02 else rng.randrange(4 * low, 4 * high + 1) / 4 for _ in range(1000))
+        texts = ("", None, "one", "two words")
+        arrivals.append([(rng.choice(ids), rng.choice(starts), *chunk("", h, rng.choice(texts))[2:]) for h in hours])
+        spark.createDataFrame(arrivals[-1], CHUNKS).write.parquet(f"{root}/in/arrival={len(arrivals)}")
+        arriving = spark.readStream.schema(CHUNKS).parquet(f"{root}/in/arrival=*")
+        stream = requests.stream_requests(arriving, "1 hour", timedelta(hours=4), groups=3)
+        query = requests.append_requests(stream, f"{root}/out", f"{root}/log")
+        query.awaitTermination()
+        # A value and a timer, kept under two keys, for a group: not for each of the requests.
+        operators = [op for p in query.recentProgress for op in p.stateOperators]
+        assert max(op.numRowsTotal for op in operators) <= 9
+        assert max(op.numRowsUpdated for op in operators) <= 9
+
+    parts = requests.written_requests(spark, f"{root}/out").unionByName(requests.open_requests(spark, f"{root}/log"))
+    times = [F.timestamp_micros(c).alias(c) for c in ("started_at", "first_ts", "end_ts")]
+    got = sorted(map(tuple, parts.select("request_id", "outcome", *times, "total_tokens").collect()), key=str)
+    assert got == judged(arrivals)
+    assert {outcome for _, outcome, *_ in got} == {"closed", "late", "open"}
