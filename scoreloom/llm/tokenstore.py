@@ -16,18 +16,22 @@ from __future__ import annotations
 
 import os
 import re
+import string
 from array import array
+from codecs import charmap_decode
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import filterfalse
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from scoreloom.llm.common import GOLDEN, id_and_text, mixed, stored
+from scoreloom.llm.common import GOLDEN, give_back, id_and_text, mixed, stored
 from scoreloom.operators.numbering import number_rows
 
 BLOCK = 8 << 20
@@ -38,8 +42,11 @@ GAMMA = 2.0
 LEVELS = 32
 # Words that a worker remembers the ids of.
 MEMO = 600_000
-TAIL = ".,!?;:"
+# Marks: a run of them after letters is a pre-token of its own.
+TAIL = string.punctuation
 PLAIN = re.compile("[a-z\xdf-\xf6\xf8-\xff]+").fullmatch
+# Letters of Latin-1 once A-Z are small: none of them combines with another.
+LETTERS = "^[a-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+$"
 
 
 class _Encoder:
@@ -52,53 +59,81 @@ class _Encoder:
         self.tokenizer = Tokenizer.from_str(json)
         self.kind = "H" if width == 2 else "I"
         self.tokenize = self.tokenizer.model.tokenize
-        # The model's spelling of letters beyond ASCII: one visible character for each of its bytes.
-        self.spelled = {
-            ord(c): self.tokenizer.pre_tokenizer.pre_tokenize_str(c)[0][0] for c in map(chr, range(0xDF, 0x100)) if c != "\xf7"
-        }
+        # The model's spelling of letters beyond ASCII: one visible character for each of their bytes.
+        signs = list(map(chr, range(256)))
+        for letter in map(chr, range(0xDF, 0x100)):
+            if PLAIN(letter):
+                for byte, sign in zip(letter.encode(), self.tokenizer.pre_tokenizer.pre_tokenize_str(letter)[0][0]):
+                    signs[byte] = sign
+        self.signs = "".join(signs)
+        # Words met since the memo was last half full, and those of the half before.
         self.words: dict[bytes, bytes] = {}
-        self.often: set[bytes] = set()
-        self.tails: dict[str, list[int]] = {"": []}
+        self.older: dict[bytes, bytes] = {}
+        self.tails: dict[bytes, bytes] = {}
+
+    def _bytes(self, ids: list[int]) -> bytes:
+        return array(self.kind, ids).tobytes()
 
-    def _tail(self, marks: str) -> list[int]:
-        if marks not in self.tails:
-            self.tails[marks] = self.tokenizer.encode(marks, add_special_tokens=False).ids
-        return self.tails[marks]
+    def _tails(self, marks: list[bytes]) -> list[bytes]:
+        if len(self.tails) > MEMO:
+            self.tails.clear()
+        for new in set(marks).difference(self.tails):
+            self.tails[new] = self._bytes(self.tokenizer.encode(new.decode(), add_special_tokens=False).ids)
+        return list(map(self.tails.__getitem__, marks))
 
-    def _learn(self, words: set[bytes]) -> None:
+    def _learn(self, words: list[bytes]) -> None:
         """Remember the ids of new words."""
         rest = []
         for word in words:
             text = word.decode("utf-8", "replace")
-            low = text.lower()
-            core = low.rstrip(TAIL)
-            # Small Latin letters are one pre-token that no normaliser changes, marks after them another.
-            if core.isascii() and core.isalpha() or PLAIN(core):
-                spelled = core if core.isascii() else core.translate(self.spelled)
-                found = [token.id for token in self.tokenize(spelled)]
-                if core != low:
-                    found += self._tail(low[len(core) :])
-                self.words[word] = array(self.kind, found).tobytes()
-            else:
-                rest.append((word, text))
+            spelled = text.lower()
+            # Small Latin letters are one pre-token that no normaliser changes.
+            if not (spelled.isascii() and spelled.isalpha()):
+                if not PLAIN(spelled):
+                    rest.append((word, text))
+                    continue
+                spelled, _ = charmap_decode(spelled.encode(), "strict", self.signs)
+            self.words[word] = self._bytes([token.id for token in self.tokenize(spelled)])
         texts = [text for _, text in rest]
         for (word, _), found in zip(rest, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
-            self.words[word] = array(self.kind, found.ids).tobytes()
-
-    def encode(self, texts: list[bytes | None]) -> list[bytes]:
-        rows = [(t or b"").split() for t in texts]
-        words = set().union(*rows)
-        new = words - self.words.keys()
-        self.often |= words - new
+            self.words[word] = self._bytes(found.ids)
+
+    def _ids(self, words: list[bytes]) -> list[bytes]:
+        """Ids of distinct words."""
+        if len(self.words) > MEMO // 2:
+            # Words met in neither half go.
+            self.older, self.words = self.words, {}
+        new = []
+        for word in filterfalse(self.words.__contains__, words):
+            ids = self.older.get(word)
+            if ids is None:
+                new.append(word)
+            else:
+                self.words[word] = ids
         self._learn(new)
-        ids = self.words.__getitem__
-        out = [b"".join(map(ids, row)) for row in rows]
-        if len(self.words) > MEMO:
-            # Words met in one batch only go first.
-            if len(self.often) > MEMO // 2:
-                self.often &= words
-            self.words = {word: self.words[word] for word in self.often}
-        return out
+        return list(map(self.words.__getitem__, words))
+
+    def encode(self, texts: pa.Array | list[bytes | None]) -> list[bytes]:
+        rows = pc.ascii_split_whitespace(pa.array(texts, pa.binary()).fill_null(b"").view(pa.string()))
+        words = rows.values.dictionary_encode()
+        word = words.dictionary
+        # A word of Latin letters with marks after it has the ids of its small form, then those of the marks.
+        core = pc.ascii_rtrim(pc.ascii_lower(word), TAIL)
+        plain = pc.match_substring_regex(core, LETTERS)
+        forms = pc.if_else(plain, core, word).dictionary_encode()
+        ids = pa.array(self._ids(_binary(forms.dictionary)), pa.binary()).take(forms.indices)
+        marks = pc.subtract(pc.binary_length(word), pc.binary_length(core))
+        marked = pc.and_(plain, pc.greater(marks, 0))
+        tails = self._tails([w[-k:] for w, k in zip(_binary(word.filter(marked)), marks.filter(marked).to_pylist())])
+        joined = pc.binary_join_element_wise(ids.filter(marked), pa.array(tails, pa.binary()), b"")
+        ids = pc.replace_with_mask(ids, marked, joined).take(words.indices)
+        # Texts lie one after the other in the bytes of their words.
+        ends = np.frombuffer(ids.buffers()[1], np.int32)[rows.offsets.to_numpy()]
+        return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(ends), ids.buffers()[2]]).to_pylist()
+
+
+def _binary(words: pa.Array) -> list[bytes]:
+    return words.view(pa.binary()).to_numpy(zero_copy_only=False).tolist()
 
 
 _encoders: dict[int, _Encoder] = {}
@@ -311,12 +346,13 @@ def write_store(
     def encode(batches):
         encoder = _encoder(json.value, width)
         for batch in batches:
-            ids = [x + end for x in encoder.encode(batch.column(1).to_pylist())]
+            ids = [x + end for x in encoder.encode(batch.column(1))]
             own, spot = batch.column(0), batch.column(2)
             part = _parts(own, spot.to_numpy(), bounds, unknown)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(part, pa.int64()), own, spot, pa.array(ids, pa.binary())], names=["part", "doc_id", "spot", "ids"]
             )
+        give_back()
 
     spotted = rows.withColumn("spot", F.xxhash64(F.monotonically_increasing_id()))
     payload = stored(

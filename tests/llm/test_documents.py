@@ -208,6 +208,24 @@ def test_special_strings_and_marks_encode_like_the_library():
     assert [np.frombuffer(g, "<u2").tolist() for g in got] == [own.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_forms_of_a_word_are_learned_once_and_memory_is_bounded(monkeypatch):
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    own = Tokenizer.from_file(path)
+    encoder = tokenstore._Encoder(open(path).read(), 2)
+    texts = ["Stone stone, STONE. stone!? stone) stone### Stone*", " Stone's stone' É É. \t", "H\u0331. \u212a, a_b_ \u00c9\u0301; '", ""]
+    got = encoder.encode([*(t.encode() for t in texts), None, b"\xc3 a\xff, \xcc"])
+    wanted = [*texts, "", b"\xc3 a\xff, \xcc".decode("utf-8", "replace")]
+    assert [np.frombuffer(g, "<u2").tolist() for g in got] == [own.encode(t, add_special_tokens=False).ids for t in wanted]
+    assert sum(w.lower().startswith(b"stone") for w in encoder.words) == 2  # stone, stone's
+    monkeypatch.setattr(tokenstore, "MEMO", 100)
+    for k in range(30):
+        row = " ".join(f"often {chr(97 + j % 26)}{chr(97 + k % 26)}word{chr(97 + j // 26)}," for j in range(40))
+        assert np.frombuffer(encoder.encode([row.encode()])[0], "<u2").tolist() == own.encode(row, add_special_tokens=False).ids
+    assert len(encoder.words) <= 50 + 41 and len(encoder.older) <= 50 + 41 and b"often" in encoder.words
+
+
 def test_perfect_hash_is_minimal():
     keys = np.random.default_rng(1).integers(0, 2**63, 5000).astype(np.uint64)
     slots = tokenstore.PerfectHash.over(np.unique(keys)).slots(np.unique(keys))
