@@ -112,6 +112,74 @@ def test_leaf_of_small_radius_is_pruned_by_its_levels(monkeypatch, reach_of_root
     assert compared < len(x) ** 2 / 8
 
 
+def test_vectors_that_do_not_cluster_are_compared_in_blocks(monkeypatch):
+    """One matrix product for a block of vectors, and no level of a node for each: pairs are not gathered one by one."""
+    rnd = np.random.default_rng(6)
+    x = rnd.normal(size=(2000, 32))
+    x[1500:] = x[:500] + 0.02 * rnd.normal(size=(500, 32))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    gathered, whole = 0, np.einsum
+
+    def counting(rule, a, b):
+        nonlocal gathered
+        gathered += len(a)
+        return whole(rule, a, b)
+
+    monkeypatch.setattr(covertree.np, "einsum", counting)
+    found = [tuple(p) for pairs in covertree._descend(x, x, True, 0.98) for p in pairs.tolist()]
+    i, j = np.nonzero(np.triu(x @ x.T >= 0.98, 1))
+    assert sorted(found) == sorted(zip(i.tolist(), j.tolist())) and len(found) >= 500
+    assert gathered < 20 * len(x)
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_links_between_two_leaves_equal_brute_force(seed):
+    rnd = np.random.default_rng(seed)
+    width = int(rnd.integers(2, 12))
+    centres = rnd.normal(size=(int(rnd.integers(1, 40)), width))
+
+    def unit(n):
+        x = centres[rnd.integers(0, len(centres), n)] + 10.0 ** rnd.uniform(-4, 0) * rnd.normal(size=(n, width))
+        return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+    a, b = unit(int(rnd.integers(1, 700))), unit(int(rnd.integers(1, 700)))
+    for threshold in (0.5, 0.98, 0.99999):
+        for same, other in ((True, a), (False, b)):
+            cosines = np.einsum("id,jd->ij", a, other)
+            wanted = cosines >= threshold
+            if same:
+                wanted = np.triu(wanted, 1)
+            found = np.zeros_like(wanted, int)
+            for pairs in covertree._descend(a, other, same, threshold):
+                np.add.at(found, tuple(pairs.T), 1)
+            assert ((found == wanted) | (np.abs(cosines - threshold) < 1e-14)).all()
+
+
+def test_forest_joins_what_pairs_join():
+    rnd = np.random.default_rng(8)
+    for pairs in (rnd.integers(0, 300, (250, 2)), np.column_stack([np.arange(299), np.arange(1, 300)]), np.array([[k, 0] for k in range(300)])):
+        root, plain = np.arange(300), list(range(300))
+        kept = np.concatenate([covertree._forest(part, root) for part in np.array_split(pairs, 3)])
+        for i, j in pairs.tolist():
+            plain = [plain[i] if p == plain[j] else p for p in plain]
+        assert {(root[i] == root[j]) for i, j in pairs} == {True}
+        assert len(set(root.tolist())) == len(set(plain)) == 300 - len(kept)
+
+
+def test_single_precision_vectors_and_negative_zeros(spark, monkeypatch):
+    monkeypatch.setattr(covertree, "LEAF", 20)
+    x = vectors(2, 120, 0.1)
+    rows = [(k, [float(v) for v in x[k]], 0) for k in range(120)]
+    rows += [(200, [0.0, 1.0], 0), (201, [-0.0, 1.0], 0), (202, [0.0, 2.0], 0), (203, [-0.0, 0.0], 0)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    found = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in covertree.near_duplicates(frame).collect()}
+    units = x / np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True)
+    links = (units @ units.T >= 0.98).sum(axis=1) - 1
+    assert [found[k][0] for k in range(120)] == links.tolist() and links.sum() > 200
+    assert found[200] == found[201] == found[202] == (2, 200) and found[203] == (0, 203)
+    assert len(found) == len(rows)
+
+
 PAGES = [
     (1, "https://A.Example.ORG/es/x?q#f", '<a href="http://bad.net/">b</a>'),
     (2, "http://example.org/en/17", None),
