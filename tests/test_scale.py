@@ -80,6 +80,39 @@ def test_rows_that_come_once_are_not_shuffled(spark, monkeypatch):
     assert "SortMergeJoin" not in plan._jdf.queryExecution().executedPlan().toString()
 
 
+def test_an_unseen_batch_is_not_held_in_memory(spark, tmp_path, monkeypatch):
+    schema = "sample_id STRING, policy_name STRING, benchmark STRING, response STRING"
+    source, path, held, computed = str(tmp_path / "in"), str(tmp_path / "table"), [], spark.sparkContext.accumulator(0)
+    before, judge = {r.id() for r in spark.sparkContext._jsc.sc().getRDDStorageInfo()}, flows.unseen
+
+    def looking(arrived, seen):
+        held.extend(r.id() for r in spark.sparkContext._jsc.sc().getRDDStorageInfo() if r.id() not in before)
+        return judge(arrived, seen)
+
+    def counted(batches):
+        for batch in batches:
+            computed.add(batch.num_rows)
+            yield batch
+
+    monkeypatch.setattr(flows, "unseen", looking)
+    monkeypatch.setattr(flows, "BROADCAST_ROWS", 5)
+    rows(spark, 40, 2).unionByName(rows(spark, 3).withColumn("benchmark", F.lit(None).cast("string"))).write.parquet(source)
+    for log in ("one", "two", "three"):
+        if log == "three":
+            # Some rows twice, and what a broken attempt left.
+            rows(spark, 80, 2).unionByName(rows(spark, 50, 2)).write.mode("overwrite").parquet(source)
+            rows(spark, 9).write.parquet(f"{path}/_staged-0")
+        stream = spark.readStream.schema(schema).parquet(source).mapInArrow(counted, schema)
+        flows.append_unseen(stream, path, str(tmp_path / log)).awaitTermination()
+        assert not list(pathlib.Path(path).glob("_staged*"))
+    assert not held
+    # Each row of the three deliveries once.
+    assert computed.value == 43 + 43 + 130
+    stored = store.scan_results(spark, path)
+    # A batch replaces what a batch of its number wrote: the last delivery's replaces both before it.
+    assert stored.where("benchmark IS NOT NULL").distinct().count() == stored.count() == 80
+
+
 def test_a_stateful_batch_leaves_few_files(spark, tmp_path):
     rows(spark, 2_000, 2).write.parquet(str(tmp_path / "in"))
     former = spark.conf.get("spark.sql.shuffle.partitions")
