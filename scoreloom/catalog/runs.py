@@ -133,7 +133,7 @@ def append_results(spark, sf_dir):
 @query("export_csv", _stored_sql())
 def export_csv(spark, sf_dir):
     path = scratch(spark, "csv")
-    store.export_csv(results(spark, sf_dir), path)
+    store.export_csv(results(spark, sf_dir), path, "gzip")
     return rounded(store.scan_csv(spark, path, RESULTS).select(*_STORED.split(", ")))
 
 

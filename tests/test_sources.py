@@ -30,6 +30,25 @@ def test_csv_keeps_whole_results(spark, sf_dir, tmp_path):
     assert order(back) == order(rows)
 
 
+def test_compressed_csv_keeps_every_text(spark, tmp_path):
+    rows = spark.createDataFrame([(str(k), t) for k, t in enumerate(TEXTS)], "sample_id string, response string")
+    results.export_csv(results.conform(rows), f"{tmp_path}/csv", "gzip")
+    back = results.scan_csv(spark, f"{tmp_path}/csv", RESULTS)
+    assert {int(r["sample_id"]): r["response"] for r in back.collect()} == dict(enumerate(TEXTS))
+
+
+def test_exported_results_take_little_disk(spark, sf_dir, monkeypatch, tmp_path):
+    from scoreloom.catalog import runs
+    from scoreloom.sources.tables import results as made
+
+    monkeypatch.setattr(runs, "scratch", lambda session, name: f"{tmp_path}/{name}")
+    exported = runs.export_csv(spark, sf_dir)
+    results.export_csv(made(spark, sf_dir), f"{tmp_path}/plain")
+    size = lambda name: sum(p.stat().st_size for p in (tmp_path / name).glob("part-*"))
+    assert 0 < size("csv") < size("plain") / 3
+    assert exported.count() == made(spark, sf_dir).count()
+
+
 LINES = """{"sample_id": "a", "prompt": "p", "ground_truth": "g", "metadata": {"k": "v"}}
 {"id": "b", "prompt": "p", "ground_truth": "g"}
 {"prompt": "p", "ground_truth": "g"}
